@@ -174,60 +174,86 @@ def partial_count(line: Column) -> Column:
                   ).otherwise(F.lit(0))
 
 
-def parse_position(df: DataFrame, line: str, keep: str = "pos") -> DataFrame:
-    """Add struct ``keep`` = ``{x, y, z, method}``; null when nothing matches.
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    ``line`` must already be in normal form. Methods: strict, relaxed, headless,
-    decimal_recovery.
-    """
-    text = F.col(line)
 
-    def groups(pattern: str) -> Column:
-        marks = "".join(f"{_MARK}${i}" for i in range(1, 7))
-        found = F.regexp_replace(text, rf"(?is)\A.*?{pattern}.*\z", marks)
-        return F.when(found.startswith(_MARK), found)
+def position(line: Column) -> Column:
+    """``{x, y, z, method}`` of a line in normal form; null when nothing matches.
+
+    Methods, strictest first: strict, relaxed, headless, decimal_recovery. A
+    looser pattern runs only on lines every stricter one missed.
+    """
+    marks = "".join(f"{_MARK}${i}" for i in range(1, 7))
 
     def axis(parts: Column, i: int) -> Column:
         km, m = parts[2 * i + 1], parts[2 * i + 2]
         return F.when(km != "", km.try_cast("double")).otherwise(m.try_cast("double") / 1000.0)
 
-    def triple(name: str) -> list[Column]:
-        parts = F.split(F.col(name), _MARK)
-        return [axis(parts, i) for i in range(3)]
-
-    def undotted(values: Column) -> Column:
-        amount = values.cast("double") / 10000.0
-        return F.when(amount < COORD_MAX_KM, amount)
-
-    staged = (df
-              .withColumn("_strict", groups(STRICT))
-              .withColumn("_relaxed", F.when(F.col("_strict").isNull(), groups(RELAXED)))
-              .withColumn("_head", F.when(
-                  F.col("_strict").isNull() & F.col("_relaxed").isNull() & text.rlike(ZONE_HINT),
-                  groups(HEADLESS))))
-    hx, hy, hz = triple("_head")
-    staged = staged.withColumn("_head", F.when(in_range(hx, hy, hz), F.col("_head")))
-    matched = F.coalesce("_strict", "_relaxed", "_head")
-    staged = (staged
-              .withColumn("_hit", matched)
-              .withColumn("_how", F.when(F.col("_strict").isNotNull(), F.lit("strict"))
-                          .when(F.col("_relaxed").isNotNull(), F.lit("relaxed"))
-                          .when(F.col("_head").isNotNull(), F.lit("headless")))
-              .withColumn("_digits", F.when(matched.isNull() & text.rlike(UNDOTTED),
-                                            F.regexp_extract_all(text, F.lit(UNDOTTED), F.lit(2))))
-              .withColumn("_signs", F.when(F.size("_digits") >= 3,
-                                           F.regexp_extract_all(text, F.lit(UNDOTTED), F.lit(1)))))
-    x, y, z = triple("_hit")
-    found = F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.col("_how").alias("method"))
-    r = [F.when(F.col("_signs")[i] == "-", -undotted(F.col("_digits")[i]))
-         .otherwise(undotted(F.col("_digits")[i])) for i in range(3)]
-    rescued = F.struct(r[0].alias("x"), r[1].alias("y"), r[2].alias("z"),
-                       F.lit("decimal_recovery").alias("method"))
-    usable = (F.col("_signs").isNotNull()
-              & r[0].isNotNull() & r[1].isNotNull() & r[2].isNotNull())
-    return (staged
-            .withColumn(keep, F.when(F.col("_hit").isNotNull(), found).when(usable, rescued))
-            .drop("_strict", "_relaxed", "_head", "_hit", "_how", "_digits", "_signs"))
+    def matched(text: Column, pattern: str, method: str) -> Column:
+        found = F.regexp_replace(text, rf"(?is)\A.*?{pattern}.*\z", marks)
+        return let(found, lambda g: F.when(g.startswith(_MARK), let(
+            F.split(g, _MARK), lambda p: F.struct(
+                axis(p, 0).alias("x"), axis(p, 1).alias("y"), axis(p, 2).alias("z"),
+                F.lit(method).alias("method")))))
+
+    def undotted(sign: Column, digits: Column) -> Column:
+        amount = digits.try_cast("double") / 10000.0
+        return F.when(amount < COORD_MAX_KM, F.when(sign == "-", -amount).otherwise(amount))
+
+    def rescued(text: Column) -> Column:
+        digits = F.regexp_extract_all(text, F.lit(UNDOTTED), F.lit(2))
+        signs = F.regexp_extract_all(text, F.lit(UNDOTTED), F.lit(1))
+
+        def built(d: Column) -> Column:
+            return let(signs, lambda s: F.struct(
+                undotted(s[0], d[0]).alias("x"), undotted(s[1], d[1]).alias("y"),
+                undotted(s[2], d[2]).alias("z"), F.lit("decimal_recovery").alias("method")))
+
+        found = let(digits, lambda d: F.when(F.size(d) >= 3, built(d)))
+        return let(found, lambda p: F.when(
+            p["x"].isNotNull() & p["y"].isNotNull() & p["z"].isNotNull(), p))
+
+    def cascade(text: Column) -> Column:
+        headless = let(matched(text, HEADLESS, "headless"), lambda p: F.when(
+            in_range(p["x"], p["y"], p["z"]), p))
+        return F.coalesce(matched(text, STRICT, "strict"), matched(text, RELAXED, "relaxed"),
+                          F.when(text.rlike(ZONE_HINT), headless), rescued(text))
+
+    return let(line, cascade)
+
+
+def reading(text: Column) -> Column:
+    """Correct, classify and parse one line.
+
+    ``{fixed, is_position, location, ooc, x, y, z, method, accepted}``. Only lines
+    that may be positions are normalised and parsed.
+    """
+    def described(fixed: Column) -> Column:
+        usable = is_position_line(fixed) & ~is_absolute_frame(fixed)
+        return let(usable, lambda ok: let(
+            F.when(ok, position(normalize_line(fixed))), lambda p: F.struct(
+                fixed.alias("fixed"), ok.alias("is_position"),
+                F.when(is_system_line(fixed), let(system_id(fixed), system_location)).alias("location"),
+                F.when(ok, zone_name(fixed)).alias("ooc"),
+                p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["method"].alias("method"),
+                F.coalesce(in_range(p["x"], p["y"], p["z"]), F.lit(False)).alias("accepted"))))
+
+    return let(correct_literals(text), described)
+
+
+def with_parsed(df: DataFrame, line: str, parse, keep: str) -> DataFrame:
+    """Attach ``parse(line)`` as column ``keep``.
+
+    Goes through a one-element generator, so that a later filter on the outcome
+    is not pushed below the parse and does not repeat it.
+    """
+    return df.select("*", F.explode_outer(F.transform(F.array(F.col(line)), parse)).alias(keep))
+
+
+def parse_position(df: DataFrame, line: str, keep: str = "pos") -> DataFrame:
+    return with_parsed(df, line, position, keep)
 
 
 # ---------------------------------------------------------------------------
@@ -241,41 +267,39 @@ def rejoin_orphans(text: Column) -> Column:
     absorb, from itself and the next two lines only. One fold over the lines then
     skips what an earlier line has taken.
     """
-    lines = F.split(text, "\n")
-
     def decimals(s: Column) -> Column:
         return F.regexp_count(s, F.lit(r"-?\d+\.\d{1,4}"))
 
-    def described(line: Column, i: Column) -> Column:
-        head = F.rtrim(line)
-        one = F.coalesce(F.trim(F.get(lines, i + 1)), F.lit(""))
-        two = F.coalesce(F.trim(F.get(lines, i + 2)), F.lit(""))
+    def follows(s: Column) -> Column:
+        return s.rlike(r"^-?\d") & (decimals(s) > 0)
+
+    def described(line: Column, head: Column, one: Column, two: Column) -> Column:
         empty_marker = F.lower(head).endswith("pos:") & one.rlike(r"\d")
         metres = head.rlike(METRE_SUBZONE) & ~F.lower(head).contains("km")
-        open_line = head.rlike(POS_LIKE) & ~metres & (decimals(head) < 3)
-
-        def follows(s: Column) -> Column:
-            return s.rlike(r"^-?\d") & (decimals(s) > 0)
-
-        takes_one = open_line & follows(one)
-        takes_two = takes_one & (decimals(head) + decimals(one) < 3) & follows(two)
-        appetite = F.when(empty_marker, 1).when(takes_two, 2).when(takes_one, 1).otherwise(0)
-        glued = (F.when(appetite == 2, F.concat_ws(" ", head, one, two))
-                 .when(appetite == 1, F.concat_ws(" ", head, one)).otherwise(line))
-        return F.struct(appetite.alias("n"), glued.alias("t"))
+        takes_one = head.rlike(POS_LIKE) & ~metres & (decimals(head) < 3) & follows(one)
+        takes_two = (decimals(head) + decimals(one) < 3) & follows(two)
+        appetite = F.when(empty_marker, 1).when(takes_one, F.when(takes_two, 2).otherwise(1)).otherwise(0)
+        return let(appetite, lambda n: F.struct(n.alias("n"), F.when(n == 2, F.concat_ws(" ", head, one, two))
+                   .when(n == 1, F.concat_ws(" ", head, one)).otherwise(line).alias("t")))
 
     start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
 
     def fold(acc: Column, item: Column) -> Column:
-        taken = acc["skip"] > 0
-        return F.when(taken, F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out"))
+        return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out"))
                       ).otherwise(F.struct(item["n"].alias("skip"),
                                            F.concat(acc["out"], F.array(item["t"])).alias("out")))
 
+    def joined(lines: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.trim(F.get(lines, i)), F.lit(""))
+        told = F.transform(lines, lambda line, i: let(
+            F.struct(F.rtrim(line).alias("h"), at(i + 1).alias("o"), at(i + 2).alias("t")),
+            lambda n: described(line, n["h"], n["o"], n["t"])))
+        return F.array_join(F.aggregate(told, start, fold)["out"], "\n")
+
     # A text without any position-like token has nothing to rejoin.
     touched = text.rlike(POS_LIKE) | F.lower(text).contains("pos:")
-    joined = F.array_join(F.aggregate(F.transform(lines, described), start, fold)["out"], "\n")
-    return F.when(touched, joined).otherwise(text)
+    return F.when(touched, let(F.split(text, "\n"), joined)).otherwise(text)
 
 
 def text_lines(df: DataFrame, text: str, line: str = "line", number: str = "line_no") -> DataFrame:

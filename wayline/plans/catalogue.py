@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.plans import geometry_queries
+from wayline.plans import geometry_queries, text_queries, track_queries  # noqa: F401
 from wayline.plans.registry import ORACLES, QUERIES
 
 
