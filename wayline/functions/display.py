@@ -17,14 +17,13 @@ FRESHNESS = ["LIVE", "AGING", "STALE", "LOST"]
 
 
 def fixed(value: Column, digits: int, signed: bool = False) -> Column:
-    """Decimal text rounded half to even, with an optional plus sign.
+    """Decimal text of the exact binary value, ties to even, with an optional plus sign.
 
-    ``format_string`` rounds ties away from zero; ``bround`` first makes ties
-    come out even.
+    ``format_number`` rounds that way (``format_string`` rounds the shortest
+    decimal form, ties away from zero); its thousands separators are removed.
     """
-    size = F.bround(F.abs(value), digits)
-    rounded = F.when(value < 0, -size).otherwise(size)
-    return F.format_string(f"%{'+' if signed else ''}.{digits}f", rounded)
+    text = F.translate(F.format_number(value, digits), ",", "")
+    return F.when(value >= 0, F.concat(F.lit("+"), text)).otherwise(text) if signed else text
 
 
 def format_distance(km: Column) -> Column:
