@@ -148,29 +148,25 @@ def overlapped(df: DataFrame, index: Column, reach: int, rows_per_block: int,
             .drop("_copy"))
 
 
-def smallest(df: DataFrame, keys: list[str], ranked_by: str, tie: str, wanted: Column,
-             bucket: Column) -> DataFrame:
-    """Keep the ``wanted`` smallest rows of each key without sorting a key in one task.
+def mark_smallest(df: DataFrame, keys: list[str], ranked_by: str, tie: str, wanted: Column,
+                  bucket: Column, flag: str = "chosen") -> DataFrame:
+    """Flag the ``wanted`` smallest rows of each key without sorting a key in one task.
 
-    ``bucket`` is a coarse, order-preserving prefix of ``ranked_by``. Whole
-    buckets below the cut are kept by comparison alone; only the single bucket
-    that straddles the cut is ranked row by row. ``wanted`` may use ``_n``, the
+    ``bucket`` is a coarse, order-preserving prefix of ``ranked_by``. Buckets
+    wholly below or above the cut are settled by comparison alone; only the one
+    bucket that straddles it is ranked row by row. ``wanted`` may use ``_n``, the
     number of rows of the key.
     """
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_m"))
-    all_rows = Window.partitionBy(*keys)
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (counts
-            .withColumn("_n", F.sum("_m").over(all_rows))
-            .withColumn("_below", F.coalesce(F.sum("_m").over(below), F.lit(0)))
-            .withColumn("_wanted", wanted)
-            .filter((F.col("_below") < F.col("_wanted")))
-            .withColumn("_room", F.col("_wanted") - F.col("_below"))
-            .select(*keys, "_bucket", "_m", "_room"))
-    joined = tagged.join(cuts, [*keys, "_bucket"])
-    whole = joined.filter(F.col("_room") >= F.col("_m"))
+    rooms = (counts
+             .withColumn("_n", F.sum("_m").over(Window.partitionBy(*keys)))
+             .withColumn("_room", wanted - F.coalesce(F.sum("_m").over(below), F.lit(0)))
+             .select(*keys, "_bucket", "_m", "_room"))
+    joined = tagged.join(rooms, [*keys, "_bucket"])
+    straddles = (F.col("_room") > 0) & (F.col("_room") < F.col("_m"))
+    settled = joined.filter(~straddles).withColumn(flag, F.col("_room") >= F.col("_m"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(ranked_by, tie))
-    split = (joined.filter(F.col("_room") < F.col("_m")).withColumn("_rank", rank)
-             .filter(F.col("_rank") <= F.col("_room")).drop("_rank"))
-    return whole.unionByName(split).drop("_bucket", "_m", "_room")
+    ranked = joined.filter(straddles).withColumn(flag, rank <= F.col("_room"))
+    return settled.select(*df.columns, flag).unionByName(ranked.select(*df.columns, flag))

@@ -142,12 +142,10 @@ def w22(spark, sf_dir):
     return C.next_free_names(p.select(F.col("p_name").alias("name")), numbered.union(p.select("p_name")))
 
 
-@query("u3_accepted_slugs", "select distinct s as category from (select distinct unnest(['','hidden','cave','circuit','tactical','industry','logistics','loot','racing','exploration','logistics_black_market','hostile_combat']) as s) where exists (select 1 from supplier where s_suppkey%12 between 0 and 11)")
+@query("u3_accepted_slugs", V.duck("poi", body="select s_suppkey, category from poi where category in ('','hidden','cave','circuit','tactical','industry','logistics','loot','racing') union select s_suppkey, category from poi where category in ('exploration','logistics_black_market','hostile_combat')"))
 def u3(spark, sf_dir):
-    # Slugs the catalogue may use, kept only while there is a catalogue.
-    some = V.table(spark, sf_dir, "supplier").select(F.lit(1).alias("one")).limit(1)
-    slugs = C.accepted_slugs(spark).withColumn("one", F.lit(1))
-    return slugs.join(some, "one", "left_semi").select("category")
+    slugs = F.broadcast(C.accepted_slugs(spark))
+    return _poi(spark, sf_dir).join(slugs, "category", "left_semi").select("s_suppkey", "category")
 
 
 _PAR = "k as (select o_orderkey, (['max_speed_km_s','sigma_a','sigma_z','gate_nis','coast_s','arrival_radius_m','min_confidence'])[o_orderkey%7+1] as name, case when o_custkey%11=0 then null else (o_totalprice-150000)/1000.0 end as v from orders)"
