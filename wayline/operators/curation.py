@@ -189,10 +189,12 @@ def character_boxes(df: DataFrame, text: str, width: str, keep: list[str]) -> Da
 
     Slices are at least one pixel apart.
     """
-    n = F.length(text)
-    slice_w = F.greatest(F.lit(1.0), F.col(width) / n)
-    glyphs = df.filter(n > 0).select(*keep, F.col(width).alias("_w"), slice_w.alias("_s"), F.posexplode(
-        F.concat(F.filter(F.split(F.col(text), ""), lambda c: c != ""), F.array(F.lit("\t")))).alias("pos", "char"), n.alias("_n"))
+    chars = F.concat(F.filter(F.split(F.col(text), ""), lambda c: c != ""), F.array(F.lit("\t")))
+    # Text-sized values are dropped before the explode, so rows stay small.
+    cut = (df.filter(F.length(text) > 0)
+           .select(*keep, F.col(width).alias("_w"), F.length(text).alias("_n"), chars.alias("_chars")))
+    glyphs = (cut.select("*", F.greatest(F.lit(1.0), F.col("_w") / F.col("_n")).alias("_s"))
+              .select(*keep, "_w", "_n", "_s", F.posexplode("_chars").alias("pos", "char")))
     end = F.col("pos") == F.col("_n")
     x0 = F.bround(F.col("pos") * F.col("_s")).cast("bigint")
     x1 = F.bround((F.col("pos") + 1) * F.col("_s")).cast("bigint")

@@ -44,11 +44,11 @@ def p13(spark, sf_dir):
 _STEM = "regexp_extract(relpath,'([^/]*)\\.png$',1)"
 
 
-@query("j9_resume_sources", V.duck("pair", body=f"jr as (select distinct regexp_extract({_STEM},'^(.*)_[^_]*_[^_]*$',1) as p from pair where doc_id%7=0), sc as (select distinct coalesce(source,'src') as src from pair) select src from sc where substr(replace(src,' ','_'),1,32) not in (select p from jr)"))
+@query("j9_resume_sources", V.duck("pair", body=f"jr as (select distinct regexp_extract({_STEM},'^(.*)_[^_]*_[^_]*$',1) as p from pair where source like '%1%'), sc as (select distinct coalesce(source,'src') as src from pair) select src from sc where substr(replace(src,' ','_'),1,32) not in (select p from jr)"))
 def j9(spark, sf_dir):
     p = _pair(spark, sf_dir)
     sources = p.select(F.coalesce("source", F.lit("src")).alias("src")).distinct()
-    return U.resume(sources, p.filter("doc_id % 7 = 0"), "src")
+    return U.resume(sources, p.filter(F.col("source").contains("1")), "src")
 
 
 @query("j10_labels_with_media", V.duck("pair", body="select p.doc_id from pair p where p.relpath in (select relpath from pair q join labels l on q.doc_id=l.doc_id)"))

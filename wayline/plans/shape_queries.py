@@ -19,7 +19,7 @@ cu as (select *, cast(sum(n) over w as double) as wb, cast(sum(t*n) over w as do
 va as (select *, case when tw>wb then wb*(tw-wb)*power(sb/wb-(ts-sb)/(tw-wb),2) end as var from cu),
 ot as materialized (select frame_id, coalesce(arg_max(t, (var, -t)) filter (var > 0), 0) as threshold from va group by 1)"""
 _DENS = _OTSU + ", dn as materialized (select p.frame_id, y, avg(case when v>=threshold then 1.0 else 0.0 end) as density from pixel p join ot on p.frame_id=ot.frame_id group by 1,2)"
-_BAND = _DENS + """, rn as (select *, y - row_number() over (partition by frame_id order by y) as run from dn where density > 0.3),
+_BAND = _DENS + """, rn as (select *, y - row_number() over (partition by frame_id order by y) as run from dn where density > 0.04),
 b0 as (select frame_id, min(y) as y0, max(y)+1 as y1 from rn group by frame_id, run having count(*) >= 6),
 bd as materialized (select *, cast(row_number() over (partition by frame_id order by y0) as int) as band from b0)"""
 
@@ -29,8 +29,7 @@ def _density(spark, sf_dir):
 
 
 def _bands(spark, sf_dir):
-    # Fixture pixels are noisy outside their bands, hence the higher density floor.
-    return P.text_bands(_density(spark, sf_dir), KEY, F.col("density") > 0.3)
+    return P.text_bands(_density(spark, sf_dir), KEY, F.col("density") > P.BAND_DENSITY)
 
 
 @query("a14_otsu_threshold", V.duck("pixel", body=_OTSU + " select frame_id, threshold from ot"))
@@ -60,7 +59,7 @@ def w19(spark, sf_dir):
     return P.nth_band(_bands(spark, sf_dir), KEY, 3, 60)
 
 
-@query("p18_box_support", V.duck("box", body="select frame_id, row_idx, count(*) as glyphs, count(glyph) as confident from (select *, frame_id//20 as f2 from box) where w>=4 group by frame_id, row_idx having count(*)>=3 and count(glyph)>=2 and false union all select f2, row_idx, count(*), count(glyph) from (select *, frame_id//20 as f2 from box) where w>=4 group by 1,2 having count(*)>=8 and count(glyph)>=6"))
+@query("p18_box_support", V.duck("box", body="select f2 as frame_id, row_idx, count(*) as glyphs, count(glyph) as confident from (select *, frame_id//20 as f2 from box) where w>=4 group by 1,2 having count(*)>=8 and count(glyph)>=6"))
 def p18(spark, sf_dir):
     b = V.box(spark, sf_dir).withColumn("frame_id", F.expr("frame_id div 20"))
     return P.supported_rows(P.large_enough(b), ROW)
