@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"double": T.DoubleType(), "string": T.StringType(), "bigint": T.LongType(),
+          "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    pairs = [item.split() for item in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 TELEMETRY = _fields(
@@ -17,7 +22,7 @@ TELEMETRY = _fields(
 POI = _fields("name string, x double, y double, z double, location string, ooc string, kind string, "
               "category string, description string")
 
-POI_READ = _fields(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in POI.fields)}, _corrupt string")
+POI_READ = T.StructType([*POI.fields, T.StructField("_corrupt", T.StringType())])
 
 # One keyed stream carries ticks and commands. ``event``: tick, set, clear, reset
 # (forget motion and target) or source (capture source changed).

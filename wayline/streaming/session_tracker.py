@@ -18,8 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wayline import schemas
 from wayline.functions.zones import zones_match_local
-from wayline.operators import tracker as S
-from wayline.operators import tracks as K
+from wayline.operators.tracker import (FilterState, GateState, Tuning, filter_step, gate_step,
+                                       nullable_list)
+from wayline.operators.tracks import GRACE_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COMMANDS = ("source", "reset", "clear", "set")
@@ -27,8 +28,8 @@ COMMANDS = ("source", "reset", "clear", "set")
 
 @dataclass
 class Session:
-    gate: S.GateState = field(default_factory=S.GateState)
-    motion: S.FilterState = field(default_factory=S.FilterState)
+    gate: GateState = field(default_factory=GateState)
+    motion: FilterState = field(default_factory=FilterState)
     target: dict | None = None
     epoch: int = 0
     t_set: float | None = None
@@ -45,10 +46,10 @@ class Session:
     @classmethod
     def load(cls, text: str) -> Session:
         raw = json.loads(text)
-        gate = S.GateState(**raw.pop("gate"))
+        gate = GateState(**raw.pop("gate"))
         gate.at = tuple(gate.at) if gate.at else None
         gate.reads = [tuple(p) for p in gate.reads]
-        motion = S.FilterState(**raw.pop("motion"))
+        motion = FilterState(**raw.pop("motion"))
         motion.cov = tuple(motion.cov)
         return cls(gate=gate, motion=motion, **raw)
 
@@ -65,7 +66,7 @@ def command(s: Session, row: dict) -> None:
     """Apply a set, clear, reset or source command."""
     event, t = row["event"], row["t_capture"]
     if event == "source":
-        s.gate, s.motion = S.GateState(), S.FilterState(epoch=s.motion.epoch)
+        s.gate, s.motion = GateState(), FilterState(epoch=s.motion.epoch)
         s.source_epoch, s.locked = int(row["source_epoch"]), False
         s.t_set = t if s.target is not None else None
         return
@@ -78,19 +79,19 @@ def command(s: Session, row: dict) -> None:
         s.motion.clear_motion()
 
 
-def tick(s: Session, row: dict, tuning: S.Tuning, grace_s: float, memo: dict) -> dict | None:
+def tick(s: Session, row: dict, tuning: Tuning, grace_s: float, memo: dict) -> dict | None:
     """One tick; None when it was captured under an earlier source."""
     if int(row["source_epoch"] or 0) != s.source_epoch:
         return None
     t, zone = row["t_capture"], row["ooc"]
     failed = row["error"] is not None
     fix = None if failed or row["x"] is None else (row["x"], row["y"], row["z"])
-    reason, smoothed, zone_reset = S.gate_step(s.gate, t, fix, zone, tuning, memo)
+    reason, smoothed, zone_reset = gate_step(s.gate, t, fix, zone, tuning, memo)
     if smoothed is not None and s.target is not None and not s.locked:
         s.locked = zones_match_local(zone, s.target["ooc"], memo)
     inside = in_zone(s, t, grace_s)
     target = s.target["at"] if s.target else None
-    took, px, py, pz, vx, vy, vz, speed, moving, age, state, dist = S.filter_step(
+    took, px, py, pz, vx, vy, vz, speed, moving, age, state, dist = filter_step(
         s.motion, t, smoothed, zone_reset, target, s.target["kind"] if s.target else None, inside, s.epoch, tuning)
     s.t, s.shown, s.was_in_zone = t, state, inside
     status = "no_read" if fix is None else "rejected" if reason else "ok"
@@ -126,7 +127,7 @@ def frame(sid, rows: list[dict]) -> pd.DataFrame:
 
 
 class SessionTracker(StatefulProcessor):
-    def __init__(self, tuning: S.Tuning = S.Tuning(), grace_s: float = K.GRACE_S):
+    def __init__(self, tuning: Tuning = Tuning(), grace_s: float = GRACE_S):
         self.tuning, self.grace_s = tuning.bounded(), grace_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -143,7 +144,7 @@ class SessionTracker(StatefulProcessor):
         batch = batch.sort_values(["t_capture", "_rank", "seq"], kind="stable")
         s, out = self._session(), []
         names = list(batch.columns)
-        for values in zip(*[S._listed(batch[c]) for c in names]):
+        for values in zip(*[nullable_list(batch[c]) for c in names]):
             row = dict(zip(names, values))
             if row["event"] != "tick":
                 command(s, row)
@@ -190,7 +191,7 @@ class SessionTracker(StatefulProcessor):
         pass
 
 
-def track_sessions(events: DataFrame, tuning: S.Tuning = S.Tuning(), grace_s: float = K.GRACE_S,
+def track_sessions(events: DataFrame, tuning: Tuning = Tuning(), grace_s: float = GRACE_S,
                    watermark: str = "10 seconds") -> DataFrame:
     """Tracker results for a stream of session inputs. Needs the RocksDB state store."""
     return (events.withWatermark("ts", watermark).groupBy("sid")
