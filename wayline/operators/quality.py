@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import text as X
 from wayline.functions.display import fixed
+from wayline.session import settle
 
 # Confidence buckets, drift (km), mirror gap (km).
 SCORE_BUCKETS = [(0.95, "0.95-1.00"), (0.85, "0.85-0.95"), (0.70, "0.70-0.85"), (0.50, "0.50-0.70")]
@@ -52,7 +53,8 @@ def sample_outcome(method: Column, partial: Column) -> Column:
 def classify_lines(df: DataFrame, text: str) -> DataFrame:
     """Normalise and parse every line for diagnostics: no keyword pre-filter."""
     parsed = X.with_parsed(df, text, lambda t: X.position(X.normalize_line(t)), "pos")
-    return parsed.withColumn("partial", X.partial_count(F.col(text)))
+    return (parsed.withColumn("partial", X.partial_count(F.col(text)))
+            .withColumn("text_chars", F.length(text)))
 
 
 def classify_samples(lines: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
@@ -64,7 +66,8 @@ def classify_samples(lines: DataFrame, keys: list[str], order: str = "line_no")
     hit = F.when(F.col("pos").isNotNull(), F.col(order))
     grouped = lines.groupBy(*keys).agg(
         F.min_by("pos", hit).alias("pos"), F.max("partial").alias("partial"),
-        F.count(F.lit(1)).alias("detections"), F.min("score").alias("min_score"))
+        F.count(F.lit(1)).alias("detections"), F.min("score").alias("min_score"),
+        F.sum("text_chars").alias("text_chars"))
     return grouped.withColumn("outcome", sample_outcome(F.col("pos.method"), F.col("partial")))
 
 
@@ -104,7 +107,12 @@ def suspect_reason(values: dict[str, Column], middles: dict[str, Column]) -> Col
 
 
 def flag_outliers(samples: DataFrame, run: list[str]) -> DataFrame:
-    """Mark matched samples far from their run's median; runs need three matches."""
+    """Mark matched samples far from their run's median; runs need three matches.
+
+    Samples are one small row per frame and are read several times here, so they
+    are stored once rather than parsed again for every use.
+    """
+    samples = settle(samples)
     matched = samples.filter(F.col("x").isNotNull())
     enough = matched.groupBy(*run).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_MATCHED)
     mids = upper_medians(matched, run, ["x", "y", "z"]).join(enough, run).drop("_n")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators.ordered import Ordering, row_index, running_sum, scan
+from wayline.session import spread
 
 # Width of a time block in seconds of capture time. Fixture tracks span a few
 # hundred seconds, so this cuts each session into several blocks.
@@ -124,9 +125,12 @@ select sid, t_capture as ts, case when seq%40=39 then 'clear' else 'set' end as
 """
 
 
-def _from_sql(sql: str, *tables: str):
+def _from_sql(sql: str, *tables: str, costly: bool = False):
+    """``costly`` views feed per-row work that is worth spreading over all cores."""
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         named = {t: table(spark, sf_dir, t) for t in tables}
+        if costly:
+            named = {t: spread(df) for t, df in named.items()}
         text = sql
         for t in tables:
             text = text.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t} ", f"join {{{t}}} ")
@@ -155,11 +159,11 @@ def target_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TARGET_SQL.replace("from track", "from {track}"), track=track(spark, sf_dir))
 
 
-hud_line = _from_sql(_HUD_SQL, "lineitem")
+hud_line = _from_sql(_HUD_SQL, "lineitem", costly=True)
 pass_vote = _from_sql(_PASS_SQL, "lineitem")
 pixel = _from_sql(_PIXEL_SQL, "lineitem")
 poi = _from_sql(_POI_SQL, "supplier", "nation")
-pair = _from_sql(_PAIR_SQL, "documents")
+pair = _from_sql(_PAIR_SQL, "documents", costly=True)
 manifest_old = _from_sql(_MANIFEST_OLD, "part")
 manifest_new = _from_sql(_MANIFEST_NEW, "part")
 log_line = _from_sql(_LOG_SQL, "events")
@@ -172,7 +176,7 @@ def box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leg(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _LEG_SQL.replace("from lineitem", "from {lineitem}").replace("join poi", "join {poi}")
-    return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"), poi=poi(spark, sf_dir))
+    return spark.sql(text, lineitem=spread(table(spark, sf_dir, "lineitem")), poi=poi(spark, sf_dir))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a costly stage over a plain file scan with few splits.
+
+    A scan of many files has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names.
 
