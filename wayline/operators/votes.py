@@ -1,9 +1,9 @@
 """Voting between competing readings of one frame.
 
-Copies of one position are merged first. Neighbours within the tolerance are then
-found through a grid of cells a few tolerances wide: a position only meets
-positions in the cells it reaches, and is reduced to sums at once. No frame is
-gathered and no all-pairs join is formed.
+Copies of one position are merged first and the rest summed up per grid cell.
+Votes around one true position share a few cells and are counted by those sums;
+single votes are compared only across the shell where a cell is partly within the
+tolerance. No frame is gathered and no all-pairs join is formed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions.text import in_range
+from wayline.session import settle
 
 # Agreement (km), override distance (km), score of the glyph vote.
 AGREE_KM = 1.0
@@ -33,42 +34,66 @@ def distinct_positions(votes: DataFrame, keys: list[str], order: str, extra: lis
         F.max_by(first, best).alias("best"))
 
 
-# A cell is a few tolerances wide: positions reach 3.4 cells on average, 8 at most.
-_CELL_WIDTHS = 4.0
-_SLACK = 1.000001
+# Cells are half a tolerance wide: everything in a cell and its direct neighbours
+# agrees, everything four or more cells away does not, and only the shell between
+# has to be compared vote by vote. Cells meet through tiles of eight cells.
+_PER_TOLERANCE, _INNER, _OUTER, _TILE = 2, 1, 3, 8
+_CELL = ["_ix", "_iy", "_iz"]
 
 
-def _cell(c: Column, tol: float) -> Column:
-    return F.floor(c / (tol * _CELL_WIDTHS))
+def _totals(n: str, best: str, xyz: list[str], order: str, weighted: bool = True) -> list[Column]:
+    rank = F.struct(F.col(f"{best}.score"), (-F.col(f"{best}.{order}")).alias("rev"))
+    sums = [F.sum(F.col(c) * F.col(n)) if weighted else F.sum(c) for c in xyz]
+    return [F.sum(n).alias("size"), *[v.alias(f"sum_{c}") for v, c in zip(sums, "xyz")],
+            F.max_by(best, rank).alias("best")]
 
 
-def _touched(c: str, tol: float) -> Column:
-    """Cells along one axis that hold everything within ``tol``."""
-    near = tol * _SLACK
-    return F.array_distinct(F.array(_cell(F.col(c) - near, tol), _cell(F.col(c) + near, tol)))
+def _cell_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of occupied cells that may hold agreeing votes, with flag ``inner``.
+
+    Their number is bounded by geometry, not by the number of votes.
+    """
+    def tiles(c: str) -> Column:
+        return F.array_distinct(F.array(F.floor((F.col(c) - _OUTER) / _TILE), F.floor((F.col(c) + _OUTER) / _TILE)))
+
+    touched = F.flatten(F.transform(tiles("_ix"), lambda i: F.flatten(F.transform(
+        tiles("_iy"), lambda j: F.transform(tiles("_iz"), lambda k: F.struct(
+            i.alias("_tx"), j.alias("_ty"), k.alias("_tz")))))))
+    here = cells.select(*keys, *_CELL, F.explode(touched).alias("_t")).select(*keys, *_CELL, "_t.*")
+    there = cells.select(*keys, *[F.col(c).alias(f"_j{c[-1]}") for c in _CELL],
+                         *[F.floor(F.col(c) / _TILE).alias(f"_t{c[-1]}") for c in _CELL],
+                         "size", *[f"sum_{c}" for c in "xyz"], "best")
+    far = F.greatest(*[F.abs(F.col(f"_i{c}") - F.col(f"_j{c}")) for c in "xyz"])
+    return (here.join(there, [*keys, "_tx", "_ty", "_tz"]).filter(far <= _OUTER)
+            .withColumn("inner", far <= _INNER).drop("_tx", "_ty", "_tz"))
 
 
 def neighbourhoods(votes: DataFrame, keys: list[str], order: str = "ord", tol: float = AGREE_KM,
                    extra: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct position: members within ``tol`` on every axis, their sums and best vote."""
-    spots = distinct_positions(votes, keys, order, list(extra))
-    touched = F.flatten(F.transform(_touched("x", tol), lambda i: F.flatten(F.transform(
-        _touched("y", tol), lambda j: F.transform(_touched("z", tol), lambda k: F.struct(
-            i.alias("_cx"), j.alias("_cy"), k.alias("_cz")))))))
-    reach = (spots.select(*keys, "x", "y", "z", "first", F.explode(touched).alias("_cell"))
-             .select(*keys, "x", "y", "z", "first", "_cell.*"))
-    other = spots.select(*keys, *[_cell(F.col(c), tol).alias(f"_c{c}") for c in "xyz"], F.col("n").alias("on"),
+    width = tol / _PER_TOLERANCE
+    # Read four times below, so stored once.
+    spots = settle(distinct_positions(votes, keys, order, list(extra)).withColumns(
+        {f"_i{c}": F.floor(F.col(c) / width) for c in "xyz"}))
+    cells = spots.groupBy(*keys, *_CELL).agg(*_totals("n", "best", list("xyz"), order))
+    pairs = _cell_pairs(cells, keys)
+    inside = pairs.filter("inner").groupBy(*keys, *_CELL).agg(
+        *_totals("size", "best", ["sum_x", "sum_y", "sum_z"], order, weighted=False))
+
+    other = spots.select(*keys, *[F.col(f"_i{c}").alias(f"_j{c}") for c in "xyz"], F.col("n").alias("on"),
                          F.col("best").alias("obest"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    near = None
+    shell = pairs.filter("not inner").select(*keys, *_CELL, "_jx", "_jy", "_jz")
+    met = spots.select(*keys, *_CELL, *"xyz").join(shell, [*keys, *_CELL]).join(other, [*keys, "_jx", "_jy", "_jz"])
     for c in "xyz":
-        close = F.abs(F.col(f"o{c}") - F.col(c)) <= tol
-        near = close if near is None else near & close
-    met = reach.join(other, [*keys, "_cx", "_cy", "_cz"]).filter(near)
-    best = F.struct(F.col("obest.score"), (-F.col(f"obest.{order}")).alias("rev"))
-    return met.groupBy(*keys, "x", "y", "z").agg(
-        F.first("first").alias("first"), F.sum("on").alias("size"),
-        *[F.sum(F.col(f"o{c}") * F.col("on")).alias(f"sum_{c}") for c in "xyz"],
-        F.max_by("obest", best).alias("best"))
+        met = met.filter(F.abs(F.col(f"o{c}") - F.col(c)) <= tol)
+    outside = met.groupBy(*keys, *"xyz").agg(*_totals("on", "obest", ["ox", "oy", "oz"], order))
+
+    fields = ["size", "sum_x", "sum_y", "sum_z", "best"]
+    parts = (spots.drop("best").join(inside, [*keys, *_CELL]).select(*keys, *"xyz", "first", *fields)
+             .unionByName(outside.withColumn("first", F.lit(None).cast(spots.schema["first"].dataType))))
+    return parts.groupBy(*keys, *"xyz").agg(
+        F.first("first", ignorenulls=True).alias("first"),
+        *_totals("size", "best", ["sum_x", "sum_y", "sum_z"], order, weighted=False))
 
 
 def consensus(votes: DataFrame, keys: list[str], order: str = "ord", tol: float = AGREE_KM,
