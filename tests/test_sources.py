@@ -48,7 +48,7 @@ def test_catalogue_files(spark, tmp_path):
     assert S.read_catalogue(spark, str(tmp_path / "bad.json")).count() == 0
     out = str(tmp_path / "out")
     S.write_catalogue(S.read_catalogue(spark, str(tmp_path / "many.json")), out)
-    back = S.read_catalogue(spark, out + "/*.json").orderBy("name").collect()
+    back = S.read_catalogue(spark, out, lines=True).orderBy("name").collect()
     assert [(r["name"], r["ooc"], r["category"]) for r in back] == [("A", None, ""), ("B", "q", "")]
     S.export_one(S.read_catalogue(spark, str(tmp_path / "many.json")), "B", out + "1")
     assert [r["name"] for r in S.read_catalogue(spark, out + "1/*.json").collect()] == ["B"]

@@ -110,82 +110,75 @@ def _ramp(age: str, stops, null_old: bool) -> str:
     return out + " end"
 
 
-def _scalars():
-    """name → (Spark columns, SQL columns)."""
+def _columns():
+    """Spark columns per query; needs a session."""
     p, t, v, k = _p(), _t(), _v(), _kind()
     bearing = G.absolute_bearing(p, t, k)
     offsets = G.velocity_bearing(v, p, t, k)
     deg = F.col("deg")
     age = F.when(F.col("ord") % 13 != 0, F.col("age"))
-    sage = "(case when ord%13<>0 then age end)"
     moving = F.col("ord") % 3 != 0
     return {
-        "f2_normalize_angle": ({"angle": r(G.normalize_angle(deg))}, {"angle": dr(_wrap("deg"))}),
-        "f3_effective_dz": ({"dz": r(G.effective_dz(p, t, k))}, {"dz": dr(_DZ)}),
-        "f4_body_relative": ({"body": G.body_relative(p, t)}, {"body": _REL}),
-        "f5_flat_plane": ({"dist": r(G.flat_distance(p, t)), "yaw": r(G.flat_heading(p, t))},
-                          {"dist": dr(_FLAT), "yaw": dr(_head(_DX, _DY))}),
-        "f6_great_circle_distance": ({"dist": r(G.great_circle_distance(p, t))}, {"dist": dr(_GC)}),
-        "f7_great_circle_bearing": ({"yaw": r(G.great_circle_bearing(p, t))}, {"yaw": dr(_GCB)}),
-        "f8_absolute_bearing": (
-            {c: r(bearing[c]) for c in ("dx", "dy", "dz", "yaw_deg", "pitch_deg", "distance_km")},
-            {"dx": dr(_DX), "dy": dr(_DY), "dz": dr(_DZ), "yaw_deg": dr(_YAW),
-             "pitch_deg": dr(_PITCH), "distance_km": dr(_DIST)}),
-        "f9_target_distance": (
-            {"dist": r(G.target_distance(p, t, k, moving))},
-            {"dist": f"case when ord%3<>0 then {dr(_DIST)} end"}),
-        "f10_delta_vector": (
-            {c: r(G.delta_vector(p, t, k)[c]) for c in ("dx", "dy", "dz")},
-            {"dx": dr(_DX), "dy": dr(_DY), "dz": dr(_DZ)}),
-        "f11_velocity_bearing": (
-            {"yaw_off": r(offsets["yaw_off"]), "pitch_off": r(offsets["pitch_off"])},
-            {"yaw_off": dr(_YOFF), "pitch_off": dr(_POFF)}),
-        "p21_trusted_direction": (
-            {"yaw_off": r(G.trusted_offsets(moving, v, offsets)["yaw_off"])},
-            {"yaw_off": f"case when ord%3<>0 and {_VH}>=0.05 then {dr(_YOFF)} end"}),
-        "f12_format_distance": ({"txt": D.format_distance(G.guided_distance(p, t, k))},
-                                {"txt": _dist_text(_DIST)}),
-        "f13_format_axis_delta": ({"txt": D.format_axis_delta(G.great_circle_bearing(p, t) * 7.0)},
-                                  {"txt": _axis_text(f"({_GCB}*7)")}),
-        "f14_pitch_indicator": ({"txt": D.pitch_indicator(bearing["pitch_deg"])},
-                                {"txt": _pitch_text(_PITCH)}),
-        "f15_world_arrow": ({"txt": D.world_arrow(bearing["yaw_deg"], bearing["pitch_deg"])},
-                            {"txt": _world(_YAW, _PITCH)}),
-        "f16_velocity_arrow": (
-            {"txt": D.velocity_arrow(offsets["yaw_off"], offsets["pitch_off"])},
-            {"txt": _velocity(_YOFF, _POFF)}),
-        "f18_freshness_level": (
-            {"lvl": D.freshness_level(age)},
-            {"lvl": f"case when {sage} is null then 3 when {sage}<3 then 0 when {sage}<7 then 1 when {sage}<12 then 2 else 3 end"}),
-        "f19_colour_ramp": (
-            {"plain": D.colour_ramp(age, D.PLAIN_STOPS, False), "panel": D.colour_ramp(age, D.PANEL_STOPS, True)},
-            {"plain": _ramp(sage, D.PLAIN_STOPS, False), "panel": _ramp(sage, D.PANEL_STOPS, True)}),
-        "f1_normalize_zone": ({"zone": Z.normalize_zone(F.col("ooc"))},
-                              {"zone": "coalesce(regexp_replace(lower(ooc),'[^a-z0-9]+','','g'),'')"}),
-        "f20_display_zone": ({"zone": D.display_zone(F.col("ooc"))},
-                             {"zone": "case when ooc is null or ooc='' then '?' else trim(replace(ooc,'_',' ')) end"}),
-        "f30_canonical_label": ({"txt": X.canonical_label(F.col("px"), F.col("py"), F.col("pz"))},
-                                {"txt": "concat('Pos:',printf('%.4f',px),'km ',printf('%.4f',py),'km ',printf('%.4f',pz),'km')"}),
-        "w14_extrapolated_position": (
-            {c: r(F.when(moving & F.col("age").between(0.3, 3.0), p[i] + v[i] * F.col("age")))
+        "f2_normalize_angle": {"angle": r(G.normalize_angle(deg))},
+        "f3_effective_dz": {"dz": r(G.effective_dz(p, t, k))},
+        "f4_body_relative": {"body": G.body_relative(p, t)},
+        "f5_flat_plane": {"dist": r(G.flat_distance(p, t)), "yaw": r(G.flat_heading(p, t))},
+        "f6_great_circle_distance": {"dist": r(G.great_circle_distance(p, t))},
+        "f7_great_circle_bearing": {"yaw": r(G.great_circle_bearing(p, t))},
+        "f8_absolute_bearing": {c: r(bearing[c]) for c in ("dx", "dy", "dz", "yaw_deg", "pitch_deg", "distance_km")},
+        "f9_target_distance": {"dist": r(G.target_distance(p, t, k, moving))},
+        "f10_delta_vector": {c: r(G.delta_vector(p, t, k)[c]) for c in ("dx", "dy", "dz")},
+        "f11_velocity_bearing": {"yaw_off": r(offsets["yaw_off"]), "pitch_off": r(offsets["pitch_off"])},
+        "p21_trusted_direction": {"yaw_off": r(G.trusted_offsets(moving, v, offsets)["yaw_off"])},
+        "f12_format_distance": {"txt": D.format_distance(G.guided_distance(p, t, k))},
+        "f13_format_axis_delta": {"txt": D.format_axis_delta(G.great_circle_bearing(p, t) * 7.0)},
+        "f14_pitch_indicator": {"txt": D.pitch_indicator(bearing["pitch_deg"])},
+        "f15_world_arrow": {"txt": D.world_arrow(bearing["yaw_deg"], bearing["pitch_deg"])},
+        "f16_velocity_arrow": {"txt": D.velocity_arrow(offsets["yaw_off"], offsets["pitch_off"])},
+        "f18_freshness_level": {"lvl": D.freshness_level(age)},
+        "f19_colour_ramp": {"plain": D.colour_ramp(age, D.PLAIN_STOPS, False), "panel": D.colour_ramp(age, D.PANEL_STOPS, True)},
+        "f1_normalize_zone": {"zone": Z.normalize_zone(F.col("ooc"))},
+        "f20_display_zone": {"zone": D.display_zone(F.col("ooc"))},
+        "f30_canonical_label": {"txt": X.canonical_label(F.col("px"), F.col("py"), F.col("pz"))},
+        "w14_extrapolated_position": {c: r(F.when(moving & F.col("age").between(0.3, 3.0), p[i] + v[i] * F.col("age")))
              for i, c in enumerate("xyz")},
-            {c: f"case when ord%3<>0 and age between 0.3 and 3.0 then {dr(f'p{c}+v{c}*age')} end" for c in "xyz"}),
     }
 
 
-_NAMES = ["f2_normalize_angle", "f3_effective_dz", "f4_body_relative", "f5_flat_plane",
-          "f6_great_circle_distance", "f7_great_circle_bearing", "f8_absolute_bearing",
-          "f9_target_distance", "f10_delta_vector", "f11_velocity_bearing",
-          "p21_trusted_direction", "f12_format_distance", "f13_format_axis_delta",
-          "f14_pitch_indicator", "f15_world_arrow", "f16_velocity_arrow", "f18_freshness_level",
-          "f19_colour_ramp", "f1_normalize_zone", "f20_display_zone", "f30_canonical_label",
-          "w14_extrapolated_position"]
+_AGE = "(case when ord%13<>0 then age end)"
+
+# The same columns in oracle SQL.
+_SQL = {
+    "f2_normalize_angle": {"angle": dr(_wrap("deg"))},
+    "f3_effective_dz": {"dz": dr(_DZ)},
+    "f4_body_relative": {"body": _REL},
+    "f5_flat_plane": {"dist": dr(_FLAT), "yaw": dr(_head(_DX, _DY))},
+    "f6_great_circle_distance": {"dist": dr(_GC)},
+    "f7_great_circle_bearing": {"yaw": dr(_GCB)},
+    "f8_absolute_bearing": {"dx": dr(_DX), "dy": dr(_DY), "dz": dr(_DZ), "yaw_deg": dr(_YAW),
+             "pitch_deg": dr(_PITCH), "distance_km": dr(_DIST)},
+    "f9_target_distance": {"dist": f"case when ord%3<>0 then {dr(_DIST)} end"},
+    "f10_delta_vector": {"dx": dr(_DX), "dy": dr(_DY), "dz": dr(_DZ)},
+    "f11_velocity_bearing": {"yaw_off": dr(_YOFF), "pitch_off": dr(_POFF)},
+    "p21_trusted_direction": {"yaw_off": f"case when ord%3<>0 and {_VH}>=0.05 then {dr(_YOFF)} end"},
+    "f12_format_distance": {"txt": _dist_text(_DIST)},
+    "f13_format_axis_delta": {"txt": _axis_text(f"({_GCB}*7)")},
+    "f14_pitch_indicator": {"txt": _pitch_text(_PITCH)},
+    "f15_world_arrow": {"txt": _world(_YAW, _PITCH)},
+    "f16_velocity_arrow": {"txt": _velocity(_YOFF, _POFF)},
+    "f18_freshness_level": {"lvl": f"case when {_AGE} is null then 3 when {_AGE}<3 then 0 when {_AGE}<7 then 1 when {_AGE}<12 then 2 else 3 end"},
+    "f19_colour_ramp": {"plain": _ramp(_AGE, D.PLAIN_STOPS, False), "panel": _ramp(_AGE, D.PANEL_STOPS, True)},
+    "f1_normalize_zone": {"zone": "coalesce(regexp_replace(lower(ooc),'[^a-z0-9]+','','g'),'')"},
+    "f20_display_zone": {"zone": "case when ooc is null or ooc='' then '?' else trim(replace(ooc,'_',' ')) end"},
+    "f30_canonical_label": {"txt": "concat('Pos:',printf('%.4f',px),'km ',printf('%.4f',py),'km ',printf('%.4f',pz),'km')"},
+    "w14_extrapolated_position": {c: f"case when ord%3<>0 and age between 0.3 and 3.0 then {dr(f'p{c}+v{c}*age')} end" for c in "xyz"},
+}
 
 
 def _register():
-    for name in _NAMES:
+    for name in _SQL:
         def run(spark, sf_dir, name=name):
-            cols, _ = _scalars()[name]
+            cols = _columns()[name]
             return V.leg(spark, sf_dir).select(
                 "frame_id", "ord", *[c.alias(n) for n, c in cols.items()])
         query(name)(run)
@@ -196,7 +189,7 @@ _register()
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, (_, sql) in _scalars().items():
+    for name, sql in _SQL.items():
         body = "select frame_id, ord, " + ", ".join(f"{e} as {n}" for n, e in sql.items()) + " from leg"
         out[name] = V.duck("leg", body=body)
     return out

@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Line order inside a frame. Unique as long as (line number, part, supplier) is.
-_ORD = "(cast(l_linenumber as bigint)*1000000000000000 + l_partkey*100000 + l_suppkey)"
+# Line order inside a frame. Unique as long as (line number, part, supplier, quantity) is.
+_ORD = "(cast(l_linenumber as bigint)*1000000000000000 + l_partkey*100000000 + l_suppkey*1000 + cast(l_quantity as bigint))"
 
 _HUD_SQL = f"""
 with a as (select l_orderkey as frame_id, {_ORD} as line_no, l_suppkey%4+1 as zn, l_suppkey%8 as v,

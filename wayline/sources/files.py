@@ -64,11 +64,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return matches is not None and len(matches) > 0
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One object or an array per file; missing or unreadable files give no rows."""
+def read_catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One object or an array per file; missing or unreadable files give no rows.
+
+    ``lines`` reads tables written by ``write_catalogue``, one object per line.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], schemas.POI)
-    df = (spark.read.schema(schemas.POI_READ).option("multiLine", True).option("mode", "PERMISSIVE")
+    df = (spark.read.schema(schemas.POI_READ).option("multiLine", not lines).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt").json(path))
     # Mentioning a data column keeps counting legal: Spark refuses queries that
     # read the corrupt-record column alone.
@@ -77,6 +80,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalogue(pois: DataFrame, path: str) -> None:
+    """The wire schema as JSON lines, so that any number of tasks can write."""
     wire_form(pois).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
