@@ -62,6 +62,8 @@ def test_numbers_as_text(spark):
     for km, want in axis:
         assert one(spark, D.format_axis_delta(F.lit(km))) == want == (f"{km:+.1f}" if abs(km) < 10 else f"{km:+.0f}" if abs(km) < 1000 else f"{km / 1000:+.1f}k")
     assert one(spark, D.format_axis_delta(F.lit(None).cast("double"))) == "?"
+    for d, values in ((3, (-0.0005, 0.0005, 0.00049, 0.0015, -2.0005)), (1, (0.05, -0.05, 0.049, 0.15)), (0, (0.5, 0.51, 1.5, -0.4))):
+        assert [one(spark, D.fixed(F.lit(v), d)) for v in values] == [f"{v:.{d}f}" for v in values]
     for km in (0.0005, 0.0025, 0.9996, 1.005, 2.675, 12345.678):
         want = f"{km * 1000:.0f} m" if km < 1 else f"{km:.2f} km"
         assert one(spark, D.format_distance(F.lit(km))) == want
