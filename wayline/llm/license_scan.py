@@ -233,11 +233,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
 def oracle() -> str:
     """The query's columns in DuckDB SQL; templates become regular expressions over words."""
-    at = {p: f"list_filter(range(1, len(w) + 1), i -> {' and '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))})" for p in BASE}
+    at = {p: f"list_filter(range(1, len(w) + 1), lambda i: {' and '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(p.split()))})" for p in BASE}
     places = "list_concat(" + ", ".join(at.values()) + ")" if len(at) == 2 else "flatten([" + ", ".join(at.values()) + "])"
     base = ", ".join(f"case when contains(j, ' {p} ') then '{label}' end" for p, label in BASE.items())
     method = ", ".join(f"case when regexp_matches(j, ' {to_regex(t)}') then '{label}' end" for label, t in TEMPLATES.items())
-    pack = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], x -> x is not null))), ','), '')"
+    pack = "coalesce(array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x is not null))), ','), '')"
     return f"""
     with words as (
         select doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
