@@ -43,22 +43,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bit_table(df: DataFrame, value: Column, bits: int = 24) -> bytes:
-    """Set membership of 64-bit values in a table of 2**bits bits, whatever the number of rows.
+def bit_table(df: DataFrame, value: Column, bits: int = 24) -> np.ndarray:
+    """Set membership of longs in a table of 2**bits bits, by their low bits and whatever the number of rows.
 
     A value that was not in the rows may be reported as one that was, never the
     other way round. Up to 2**bits / 64 words of eight bytes reach the driver.
     """
-    at = F.shiftrightunsigned(value.cast("long"), 64 - bits)
-    words = (df.where(value.isNotNull())
-             .select(F.shiftright(at, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (at % 64).cast("int")).alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b"))).toArrow()
+    at = value.cast("long").bitwiseAND((1 << bits) - 1)
+    words = df.where(value.isNotNull()).select(at.alias("at")).selectExpr("shiftright(at, 6) as w", "shiftleft(1L, cast(at % 64 as int)) as b")
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.tobytes()
+    return out.view(np.uint64)
 
 
-def in_bit_table(table: np.ndarray, values: np.ndarray, bits: int = 24) -> np.ndarray:
-    """table: the words of bit_table() as unsigned integers."""
-    at = values.astype(np.uint64) >> np.uint64(64 - bits)
+def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.uint64) & np.uint64(len(table) * 64 - 1)
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe_automaton, crf_quality, exact_topk, license_scan, pii_bootstrap, url_rules, vp_search
+from wayline.llm import bpe_automaton, crf_quality, exact_topk, license_scan, ngram_jaccard, pii_bootstrap, url_rules, vp_search
 from wayline.llm.common import table
 
 
@@ -46,8 +46,13 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_vp_search, op3_pii_bootstrap, op4_bpe_automaton, op6_crf_quality, op8_exact_topk, op9_url_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_vp_search, op3_pii_bootstrap, op4_bpe_automaton, op6_crf_quality, op8_exact_topk, op9_url_rules,
+                                 op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
