@@ -26,15 +26,22 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder that spark.checkpoint.dir names.
-
-    A folder is chosen here only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one is chosen here only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

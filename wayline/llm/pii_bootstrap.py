@@ -218,9 +218,11 @@ def cut(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 4, digits: int = 4, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """docs, all columns as they were, with personal data in the text replaced by <KIND>. Null texts stay null.
 
+    size_col, if given, is set to the new text's length.
+
     Fixed forms are found again where the text is; only spans added by context
     are joined, by the text's hash.
     """
@@ -243,4 +245,7 @@ def redact(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: i
             columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(wide)]
             yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
 
-    return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    done = joined.mapInArrow(run, plain.schema)
+    if size_col:
+        done = done.withColumn(f"c{docs.columns.index(size_col)}", F.length(f"c{at}").cast("long"))
+    return done.toDF(*docs.columns)

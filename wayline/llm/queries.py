@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import bpe_automaton, crf_quality, exact_topk, license_scan, ngram_jaccard, pii_bootstrap, url_rules, vp_search
+from wayline.llm import bestfit_packing, bpe_automaton, crf_quality, exact_topk, license_scan, log_templates, ngram_jaccard, pii_bootstrap, url_rules, vp_search
 from wayline.llm.common import table
 
 
@@ -32,11 +32,19 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return crf_quality.score(docs, crf_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_templates.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -51,9 +59,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_vp_search, op3_pii_bootstrap, op4_bpe_automaton, op6_crf_quality, op8_exact_topk, op9_url_rules,
-                                 op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_license_scan, op2_vp_search, op3_pii_bootstrap, op4_bpe_automaton, op5_bestfit_packing, op6_crf_quality,
+                                 op7_log_templates, op8_exact_topk, op9_url_rules, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op8_exact_topk": exact_topk.oracle(), "op9_url_rules": url_rules.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op7_log_templates": log_templates.oracle(), "op8_exact_topk": exact_topk.oracle(),
+            "op9_url_rules": url_rules.oracle()}
