@@ -232,7 +232,8 @@ def redact(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: i
     marked = _marked(plain.select(F.col(f"c{key}").cast("long").alias("doc_id"), F.col(f"c{at}").alias("text"), text_id.alias("text_id")), rounds, confidence, support, digits)
     added = marked.where("added is not null").groupBy("text_id").agg(F.first("added").alias("added"))
     joined = plain.withColumn("text_id", text_id).join(added, "text_id", "left").select(*plain.columns, "added")
-    wide = len(plain.columns)
+    names = plain.columns
+    wide = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +244,7 @@ def redact(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: i
                     text = cut(text, spans) if spans else text
                 new.append(text)
             columns = [pa.array(new, pa.string()) if k == at else batch.column(k) for k in range(wide)]
-            yield pa.RecordBatch.from_arrays(columns, names=plain.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     done = joined.mapInArrow(run, plain.schema)
     if size_col:
