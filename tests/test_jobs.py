@@ -249,3 +249,22 @@ def test_manifest_rules(spark):
     versions = spark.createDataFrame([(f"p{v}", v) for v in ("1.2.0", "1.10.0", "v1.9.9", "0.1.0", "bad", "2.0.0")], "name string, version string")
     keep = spark.createDataFrame([("p0.1.0",)], "name string")
     assert {r["name"] for r in N.prunable(versions, 2, keep).collect()} == {"p1.2.0", "pv1.9.9"}
+
+
+def test_sources_with_a_long_common_beginning_are_resumed_apart(spark):
+    start = "s" * 40
+    sources = spark.createDataFrame([(f"{start}a",), (f"{start}b",)], "src string")
+    journal = spark.createDataFrame([(f"x/{start}a_000001_row0.png",)], "relpath string")
+    assert [r.src for r in U.resume(sources, journal, "src").collect()] == [f"{start}b"]
+
+
+def test_all_white_space_is_trimmed(spark):
+    lines = spark.createDataFrame([("a.png\t\r",), ("b.png\t Pos 1\r",), ("c.png\t x\t",)], "value string")
+    assert sorted(tuple(r) for r in U.parse_labels(lines).collect()) == [("b.png", "Pos 1"), ("c.png", "x")]
+
+
+def test_search_finds_coordinates_as_plain_numbers(spark):
+    rows = [("a", 0.0005, 1e7, 3.0, ""), ("b", 12.5, 0.0, -1e30, "")]
+    df = spark.createDataFrame(rows, "name string, x double, y double, z double, category string")
+    found = lambda needle: [r.name for r in C.search(df, needle).collect()]
+    assert found("0.0005") == found("10000000.0") == ["a"] and found("12.5") == ["b"] and found("e-4") == []

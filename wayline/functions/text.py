@@ -179,6 +179,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def stripped(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def position(line: Column) -> Column:
     """``{x, y, z, method}`` of a line in normal form; null when nothing matches.
 
@@ -291,9 +296,9 @@ def rejoin_orphans(text: Column) -> Column:
 
     def joined(lines: Column) -> Column:
         def at(i: Column) -> Column:
-            return F.coalesce(F.trim(F.get(lines, i)), F.lit(""))
+            return F.coalesce(stripped(F.get(lines, i)), F.lit(""))
         told = F.transform(lines, lambda line, i: let(
-            F.struct(F.rtrim(line).alias("h"), at(i + 1).alias("o"), at(i + 2).alias("t")),
+            F.struct(F.regexp_replace(line, r"(?U)\s+$", "").alias("h"), at(i + 1).alias("o"), at(i + 2).alias("t")),
             lambda n: described(line, n["h"], n["o"], n["t"])))
         return F.array_join(F.aggregate(told, start, fold)["out"], "\n")
 
@@ -306,7 +311,7 @@ def text_lines(df: DataFrame, text: str, line: str = "line", number: str = "line
     """One row per non-blank trimmed line."""
     others = [c for c in df.columns if c != text]
     return (df.select(*others, F.posexplode(F.split(text, "\n")).alias(number, line))
-            .withColumn(line, F.trim(line)).filter(F.col(line) != ""))
+            .withColumn(line, stripped(F.col(line))).filter(F.col(line) != ""))
 
 
 # ---------------------------------------------------------------------------

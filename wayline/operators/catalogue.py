@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions.display import fixed
+from wayline.functions.text import stripped
 
 # Categories in display order with label and colour, and the names
 # older catalogues used.
@@ -96,15 +97,15 @@ def validation_error(fields: dict[str, Column]) -> Column:
     for name in REQUIRED:
         rule = F.lit(f"Missing required field: '{name}'.")
         missing = F.when(fields[name].isNull(), rule) if missing is None else missing.when(fields[name].isNull(), rule)
-    kind = F.lower(F.trim(fields["kind"]))
-    category = F.trim(F.coalesce(fields["category"], F.lit("")))
+    kind = F.lower(stripped(fields["kind"]))
+    category = stripped(F.coalesce(fields["category"], F.lit("")))
     numeric = fields["x"].try_cast("double").isNotNull()
     for a in "yz":
         numeric = numeric & fields[a].try_cast("double").isNotNull()
     slugs = [c for c, _, _ in CATEGORIES] + list(OLD_CATEGORIES)
     expected = ", ".join(sorted(s for s in slugs if s))
     return (missing
-            .when(F.trim(fields["name"]) == "", F.lit("Field 'name' must not be empty."))
+            .when(stripped(fields["name"]) == "", F.lit("Field 'name' must not be empty."))
             .when(~numeric, F.lit("Fields x/y/z must be numeric."))
             .when(~kind.isin(KINDS), F.concat(F.lit("Field 'kind' must be 'surface' or 'space' (got '"), kind, F.lit("').")))
             .when(~category.isin(slugs), F.concat(F.lit("Unknown category '"), category,
@@ -119,11 +120,11 @@ def validate(df: DataFrame) -> DataFrame:
     judged = df.withColumn("error", validation_error(text))
     ok = F.col("error").isNull()
     clean = {
-        "name": F.trim(text["name"]), **{a: text[a].try_cast("double") for a in "xyz"},
-        "location": _or(F.trim(text["location"]), "Unknown"),
-        "ooc": F.when(text["ooc"] != "", F.trim(text["ooc"])), "kind": F.lower(F.trim(text["kind"])),
-        "category": F.trim(F.coalesce(text["category"], F.lit(""))),
-        "description": F.trim(F.coalesce(text["description"], F.lit("")))}
+        "name": stripped(text["name"]), **{a: text[a].try_cast("double") for a in "xyz"},
+        "location": _or(stripped(text["location"]), "Unknown"),
+        "ooc": F.when(text["ooc"] != "", stripped(text["ooc"])), "kind": F.lower(stripped(text["kind"])),
+        "category": stripped(F.coalesce(text["category"], F.lit(""))),
+        "description": stripped(F.coalesce(text["description"], F.lit("")))}
     others = [c for c in df.columns if c not in WIRE]
     return judged.select(*others, *[F.when(ok, v).alias(c) for c, v in clean.items()], "error")
 
@@ -141,7 +142,7 @@ RAW_ENTRY = ", ".join(f"{c} string" for c in WIRE)
 
 def parse_documents(docs: DataFrame, doc: list[str], text: str, single: bool = False) -> tuple[DataFrame, DataFrame]:
     """JSON documents (one object or an array of them) → validated entries, verdict per document."""
-    body = F.trim(F.col(text))
+    body = stripped(F.col(text))
     as_list = F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).when(body.startswith("["), body)
     items = F.from_json(as_list, f"array<struct<{', '.join(f'{c}: string' for c in WIRE)}>>")
     read = docs.select(*doc, body.alias("_body"), items.alias("_items"))
@@ -171,6 +172,12 @@ def in_category(df: DataFrame, slug: str) -> DataFrame:
     return df.filter(F.col("category") == slug)
 
 
+def _plain_number(v: Column) -> Column:
+    """A double without exponent, as far as 18 digits before and after the point hold it."""
+    digits = F.regexp_replace(v.try_cast("decimal(36,18)").cast("string"), "0+$", "")
+    return F.coalesce(F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits), v.cast("string"))
+
+
 def search(df: DataFrame, needle: str) -> DataFrame:
     """Case-insensitive substring over name, description, coordinates and category label."""
     if not needle:
@@ -181,7 +188,7 @@ def search(df: DataFrame, needle: str) -> DataFrame:
         if c in df.columns:
             found = found | F.lower(F.coalesce(c, F.lit(""))).contains(low)
     for c in "xyz":
-        found = found | F.col(c).cast("string").contains(low)
+        found = found | _plain_number(F.col(c)).contains(low)
     return with_category(df).filter(found).drop("label", "colour")
 
 

@@ -26,7 +26,7 @@ def parse_labels(lines: DataFrame, value: str = "value") -> DataFrame:
     parts = F.split(F.col(value), "\t", 2)
     others = [c for c in lines.columns if c != value]
     return (lines.filter(F.col(value).contains("\t"))
-            .select(*others, parts[0].alias("relpath"), F.trim(parts[1]).alias("transcript"))
+            .select(*others, parts[0].alias("relpath"), X.stripped(parts[1]).alias("transcript"))
             .filter(F.col("transcript") != ""))
 
 
@@ -61,8 +61,8 @@ def routing_counters(df: DataFrame, keys: list[str], digest: str, order: str) ->
 
 
 def resume(sources: DataFrame, journal: DataFrame, name: str, relpath: str = "relpath") -> DataFrame:
-    """Sources whose prefix is not in the journal yet."""
-    prefix = F.substring(F.replace(X.file_stem(F.col(name)), F.lit(" "), F.lit("_")), 1, 32)
+    """Sources whose stem, blanks as underscores, is no prefix in the journal yet."""
+    prefix = F.replace(X.file_stem(F.col(name)), F.lit(" "), F.lit("_"))
     done = journal.select(X.source_prefix(X.file_stem(F.col(relpath))).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     return sources.join(done, prefix == F.col("_p"), "left_anti")
 

@@ -24,10 +24,12 @@ def s5(spark, sf_dir):
 
 
 
-@query("p11_useful_transcript", V.duck("pair", body="tt as (select doc_id, case doc_id%6 when 0 then '' when 1 then 'ab' when 2 then 'a1' else transcript end as t from pair) select doc_id from tt where length(t)>=3 and (regexp_matches(t,'[0-9]') or regexp_matches(lower(t),'pos|zone|cam|fov|km'))"))
+@query("p11_useful_transcript", V.duck("pair", body="tt as (select doc_id, transcript as t from pair union all select doc_id, case doc_id%6 when 0 then '' when 1 then 'ab' when 2 then 'a1' when 3 then 'POS' when 4 then 'no sign' else 'x 9' end from pair) select doc_id from tt where length(t)>=3 and (regexp_matches(t,'[0-9]') or regexp_matches(lower(t),'pos|zone|cam|fov|km'))"))
 def p11(spark, sf_dir):
-    t = F.expr("case doc_id%6 when 0 then '' when 1 then 'ab' when 2 then 'a1' else transcript end")
-    return _pair(spark, sf_dir).withColumn("t", t).filter(X.looks_useful(F.col("t"))).select("doc_id")
+    p = _pair(spark, sf_dir)
+    short = F.expr("case doc_id%6 when 0 then '' when 1 then 'ab' when 2 then 'a1' when 3 then 'POS' when 4 then 'no sign' else 'x 9' end")
+    both = p.select("doc_id", F.col("transcript").alias("t")).unionByName(p.select("doc_id", short.alias("t")))
+    return both.filter(X.looks_useful(F.col("t"))).select("doc_id")
 
 
 @query("p12_printable_labels", V.duck("pair", body="select doc_id from pair where regexp_full_match(transcript, '[\\x20-\\x7E\\t]+')"))
@@ -44,7 +46,7 @@ def p13(spark, sf_dir):
 _STEM = "regexp_extract(relpath,'([^/]*)\\.png$',1)"
 
 
-@query("j9_resume_sources", V.duck("pair", body=f"jr as (select distinct regexp_extract({_STEM},'^(.*)_[^_]*_[^_]*$',1) as p from pair where source like '%1%'), sc as (select distinct coalesce(source,'src') as src from pair) select src from sc where substr(replace(src,' ','_'),1,32) not in (select p from jr)"))
+@query("j9_resume_sources", V.duck("pair", body=f"jr as (select distinct regexp_extract({_STEM},'^(.*)_[^_]*_[^_]*$',1) as p from pair where source like '%1%'), sc as (select distinct coalesce(source,'src') as src from pair) select src from sc where replace(src,' ','_') not in (select p from jr)"))
 def j9(spark, sf_dir):
     p = _pair(spark, sf_dir)
     sources = p.select(F.coalesce("source", F.lit("src")).alias("src")).distinct()
@@ -179,10 +181,10 @@ def t7(spark, sf_dir):
     return U.first_failures(V.box(spark, sf_dir), F.col("glyph").isNull(), ["id", "frame_id"]).select("id", "frame_id")
 
 
-@query("u5_missing_classes", V.duck("pair", body="ex as (select unnest(string_split('0123456789.-km:_ ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz','')) as c), fo as (select distinct unnest(string_split(transcript,'')) as c from pair where transcript<>'' and doc_id%100=1) select c from ex except select c from fo"))
+@query("u5_missing_classes", V.duck("pair", body="ex as (select unnest(string_split('0123456789.-km:_ ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzΔЖя漢€','')) as c), fo as (select distinct unnest(string_split(transcript,'')) as c from pair where transcript<>'') select c from ex except select c from fo"))
 def u5(spark, sf_dir):
     upper = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1))
-    every = U.NUMERIC + U.UNIT + U.SEPARATOR + upper + upper.lower()
+    every = U.NUMERIC + U.UNIT + U.SEPARATOR + upper + upper.lower() + "ΔЖя漢€"
     expected = spark.createDataFrame([(c,) for c in sorted(set(every))], "c string")
-    found = U.character_set(_pair(spark, sf_dir).filter("doc_id % 100 = 1"), "transcript").withColumnRenamed("char", "c")
+    found = U.character_set(_pair(spark, sf_dir), "transcript").withColumnRenamed("char", "c")
     return U.missing_classes(expected, found)

@@ -79,16 +79,16 @@ def command(s: Session, row: dict) -> None:
         s.motion.clear_motion()
 
 
-def tick(s: Session, row: dict, tuning: Tuning, grace_s: float, memo: dict) -> dict | None:
+def tick(s: Session, row: dict, tuning: Tuning, grace_s: float) -> dict | None:
     """One tick; None when it was captured under an earlier source."""
     if int(row["source_epoch"] or 0) != s.source_epoch:
         return None
     t, zone = row["t_capture"], row["ooc"]
     failed = row["error"] is not None
     fix = None if failed or row["x"] is None else (row["x"], row["y"], row["z"])
-    reason, smoothed, zone_reset = gate_step(s.gate, t, fix, zone, tuning, memo)
+    reason, smoothed, zone_reset = gate_step(s.gate, t, fix, zone, tuning)
     if smoothed is not None and s.target is not None and not s.locked:
-        s.locked = zones_match_local(zone, s.target["ooc"], memo)
+        s.locked = zones_match_local(zone, s.target["ooc"])
     inside = in_zone(s, t, grace_s)
     target = s.target["at"] if s.target else None
     took, px, py, pz, vx, vy, vz, speed, moving, age, state, dist = filter_step(
@@ -131,7 +131,7 @@ class SessionTracker(StatefulProcessor):
         self.tuning, self.grace_s = tuning.bounded(), grace_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.memo = handle, {}
+        self.handle = handle
         self.state = handle.getValueState("session", "body string")
 
     def _session(self) -> Session:
@@ -149,7 +149,7 @@ class SessionTracker(StatefulProcessor):
             if row["event"] != "tick":
                 command(s, row)
                 continue
-            result = tick(s, row, self.tuning, self.grace_s, self.memo)
+            result = tick(s, row, self.tuning, self.grace_s)
             if result is not None:
                 out.append(result)
             if row["ts"] is not None:
