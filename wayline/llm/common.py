@@ -50,18 +50,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bit_table(df: DataFrame, value: Column, bits: int = 24) -> np.ndarray:
+def bit_table(df: DataFrame, value: Column, bits: int = 24, marked: Column | None = None) -> list[np.ndarray]:
     """Set membership of longs in a table of 2**bits bits, by their low bits and whatever the number of rows.
 
     A value that was not in the rows may be reported as one that was, never the
     other way round. Up to 2**bits / 64 words of eight bytes reach the driver.
+    A second table has the marked rows only.
     """
     at = value.cast("long").bitwiseAND((1 << bits) - 1)
-    words = df.where(value.isNotNull()).select(at.alias("at")).selectExpr("shiftright(at, 6) as w", "shiftleft(1L, cast(at % 64 as int)) as b")
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
+    words = (df.where(value.isNotNull()).select(at.alias("at"), (F.lit(False) if marked is None else marked).alias("marked"))
+             .selectExpr("shiftright(at, 6) as w", "shiftleft(1L, cast(at % 64 as int)) as b", "marked")
+             .groupBy("w").agg(F.bit_or("b").alias("all"), F.coalesce(F.bit_or(F.when(F.col("marked"), F.col("b"))), F.lit(0)).alias("marked"))).toArrow()
+    out = []
+    for name in ("all", "marked"):
+        table = np.zeros(1 << (bits - 6), np.int64)
+        table[words["w"].to_numpy()] = words[name].to_numpy()
+        out.append(table.view(np.uint64))
+    return out
 
 
 def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:

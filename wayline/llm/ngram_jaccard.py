@@ -1,10 +1,12 @@
 """Exact Jaccard join of word-shingle sets by prefixes of token combinations.
 
 A token is the hash of some consecutive words. A set of n tokens may lack
-n - ceil(t * n) of them in any set that it links to. Tokens are ordered: rare
-ones first, then frequent ones, then those that were not counted. A prefix in
-this order is extended until its signatures can't all be missed:
+n - ceil(t * n) of them in any set that it links to. Tokens are ordered: those
+of one set only first, then rare ones, frequent ones, and those that were not
+counted. A prefix in this order is extended until its signatures can't all be
+missed:
 
+  * a token of one set only weighs one, and no other set can have it;
   * a rare or uncounted token is a signature by itself and weighs one;
   * frequent tokens are dealt by hash to a number of cells that follows the
     set's size; two tokens of one cell make a signature, and a cell of c tokens
@@ -12,7 +14,9 @@ this order is extended until its signatures can't all be missed:
 
 Two linked sets share a signature of both prefixes. Sets that share one are
 compared token by token: first all with the most central set of their common
-signature, then, where that left several components, the rest among each other.
+signature. Sets of signatures in which components still meet go through the
+same steps once more, with all tokens counted, and are compared across
+components.
 """
 
 from __future__ import annotations
@@ -54,12 +58,12 @@ def tokens_of(text: str | None, width: int) -> np.ndarray:
 class Rule:
     """Linked if den * |x & y| >= num * |x | y|."""
 
-    def __init__(self, num: int, den: int):
+    def __init__(self, num: int, den: int, share: float | None = None):
         if not den < 2 * num <= 2 * den:
             raise ValueError("the threshold has to be above one half, and one at most")
         self.num, self.den = num, den
         #: Tokens below this are counted; the share covers a prefix of frequent ones in nearly all sets.
-        self.counted = int(min(1.0, 1.5 * (1 - num / den) + 0.1) * (1 << TOKEN_BITS))
+        self.counted = int(min(1.0, 1.5 * (1 - num / den) + 0.1 if share is None else share) * (1 << TOKEN_BITS))
 
     def need(self, n: int) -> int:
         """Weight of a prefix that can't be missed: one more than the tokens a linked set may lack."""
@@ -80,15 +84,17 @@ class Rule:
         few = tokens[:np.searchsorted(tokens, self.counted)]
         return few if n > 1 and len(few) - self.cells(self.octaves(n)[-1]) >= self.need(n) else tokens
 
-    def signatures(self, tokens: np.ndarray, n: int, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def signatures(self, tokens: np.ndarray, n: int, common: np.ndarray, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(signatures, tokens that stand before them and can't be shared) for each size class."""
         known = tokens < self.counted
         hot = known & in_bit_table(frequent, tokens)
-        rare, often, rest = tokens[known & ~hot], tokens[hot], tokens[~known]
-        need, out = self.need(n), []
+        shared = in_bit_table(common, tokens)
+        rare, often, rest = tokens[known & shared & ~hot], tokens[hot], tokens[~known]
+        alone = int((known & ~shared & ~hot).sum())
+        need, out = max(0, self.need(n) - alone), []
         for octave in self.octaves(n):
             salt = ODD[octave]
-            single, before = rare[:need], np.arange(min(need, len(rare)))
+            single, before = rare[:need], alone + np.arange(min(need, len(rare)))
             missing = need - len(single)
             pairs = np.zeros(0, np.uint64)
             if missing:
@@ -109,9 +115,9 @@ class Rule:
                 pairs = np.concatenate(found) if found else pairs
                 missing = max(0, missing - (int(weight[min(end, len(weight)) - 1]) if len(weight) else 0))
                 single = np.concatenate([single, rest[:missing]])
-                before = np.concatenate([before, np.full(min(missing, len(rest)), len(rare))])
+                before = np.concatenate([before, np.full(min(missing, len(rest)), alone + len(rare))])
             out.append((np.concatenate([mixed(single.astype(np.uint64) + salt), pairs]).astype(np.int64),
-                        np.concatenate([before, np.full(len(pairs), len(rare))])))
+                        np.concatenate([before, np.full(len(pairs), alone + len(rare))])))
         return out
 
 
@@ -135,7 +141,7 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
 
-def _signature_rows(sets: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
+def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -143,7 +149,7 @@ def _signature_rows(sets: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFr
             flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
             out: list[list[np.ndarray]] = [[], [], [], []]
             for k, (node, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                for signature, before in rule.signatures(flat[at[k]:at[k + 1]], n, frequent):
+                for signature, before in rule.signatures(flat[at[k]:at[k + 1]], n, common, frequent):
                     for column, values in zip(out, (signature, np.full(len(signature), node), np.full(len(signature), n), before)):
                         column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["sig", "node", "n", "pos"])
@@ -153,7 +159,7 @@ def _signature_rows(sets: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFr
 
 def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """node, tokens: the whole set of each wanted node."""
-    table = bit_table(wanted, F.col("node"))
+    table, _ = bit_table(wanted, F.col("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +170,15 @@ def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, tokens array<long>").join(wanted, "node", "left_semi")
 
 
+def _classes(sets: DataFrame, rule: Rule, frequent_from: int, table_bits: int) -> list[np.ndarray]:
+    """Tables of the tokens in several sets, and of those in more than frequent_from."""
+    counted = (sets.where("n > 1").select(F.explode("tokens").alias("t")).where(F.col("t") < rule.counted)
+               .groupBy("t").count().where("count > 1"))
+    return bit_table(counted, F.col("t"), table_bits, F.col("count") > frequent_from)
+
+
 def _linked(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs a, b whose whole sets are similar enough."""
     both = (pairs.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
             .join(full.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -172,7 +186,7 @@ def _linked(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
             .where((rule.num + rule.den) * F.col("shared").cast("long") >= rule.num * (F.size("x") + F.size("y")).cast("long")).select("a", "b").distinct())
 
 
-def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequent_from: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequent_from: int = 32, table_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id that links reach. One row for each row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; texts
@@ -180,36 +194,47 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequ
     are common. Null and empty texts have no shingles and link with nothing.
     Rows of one id count as one document; rows without an id link with nothing
     and have no component. Equal sets are joined once, tokens in more than
-    frequent_from different sets are frequent ones.
+    frequent_from different sets are frequent ones. The classes of tokens reach
+    tasks as two tables of 2**table_bits bits: a fuller table takes more tokens
+    for shared ones, which costs time and loses no link.
     """
     rule = Rule(num, den)
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settle(_sets(docs, width, rule))
     sets = settle(rows.where("key is not null and doc_id is not null").groupBy("key")
                   .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    counted = sets.where("n > 1").select(F.explode("tokens").alias("t")).where(F.col("t") < rule.counted)
-    frequent = bit_table(counted.groupBy("t").count().where(F.col("count") > frequent_from), F.col("t"))
+    named = settle(rows.select("doc_id", "n", "key").join(sets.select("key", "node"), "key", "left").select("doc_id", "n", "node"))
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc_id", "a")
+    same = several.join(named, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()  # texts of one id
 
-    signatures = _signature_rows(sets, rule, frequent)
-    common = signatures.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    shared = settle(signatures.join(common, "sig"))
+    signatures = _signature_rows(sets, rule, *_classes(sets, rule, frequent_from, table_bits))
+    met = signatures.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
+    shared = settle(signatures.join(met, "sig"))
     may = f"{num + den} * least(l.n - l.pos, r.n - r.pos) >= {num} * (l.n + r.n)"
     pivots = shared.groupBy("sig").agg(F.min(F.struct("pos", "node", "n")).alias("p")).select("sig", F.col("p.node").alias("node"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"))
     stars = settle(shared.alias("l").join(pivots.alias("r"), F.expr(f"l.sig = r.sig and l.node <> r.node and {may}"))
                    .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
-    full = settle(_full_sets(docs, width, shared.select("node").distinct()))
-    links = settle(_linked(stars, full, rule))
+    full = _full_sets(docs, width, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = settle(_linked(stars, full, rule).unionByName(same))
     first = components(links)
 
+    # Where components meet, all tokens of their sets are counted, so that the order tells more of them apart.
     placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = settle(placed.join(split, "sig"))
-    rest = (left.alias("l").join(left.alias("r"), F.expr(f"l.sig = r.sig and l.node < r.node and l.component <> r.component and {may}"))
-            .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_linked(rest, full, rule)))
-    placed = sets.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    return (rows.select("doc_id", "n", "key").join(placed, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    open_ = _several(placed).join(shared, "sig").select("node").distinct()
+    rest = settle(_full_sets(docs, width, open_).withColumn("n", F.size("tokens").cast("long")))
+    whole = Rule(num, den, 1.0)
+    finer = _signature_rows(rest, whole, *_classes(rest, whole, frequent_from, table_bits)).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    finer = settle(finer.join(_several(finer), "sig"))
+    pairs = (finer.alias("l").join(finer.alias("r"), F.expr(f"l.sig = r.sig and l.node < r.node and l.component <> r.component and {may}"))
+             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    found = components(links.unionByName(_linked(pairs, rest, rule)))
+    return (named.join(found, "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")))
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """Signatures in which several components meet."""
+    return placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
