@@ -162,6 +162,12 @@ def test_weighted_resampling_shares(spark):
     assert abs(n - 20000) < 600 and abs(real / n - 0.5) < 0.02 and out.select("id").distinct().count() < n
 
 
+def test_a_row_that_outweighs_all_others_is_drawn_as_often(spark):
+    df = spark.range(2000)
+    out = U.weighted_resample(df, F.when(F.col("id") == 7, 1e6).otherwise(1.0), F.col("id"), seed=3)
+    assert abs(out.filter("id = 7").count() - 1996) < 200 and out.filter("id <> 7").count() < 30
+
+
 def test_stride_cap_labels_and_stems(spark):
     df = spark.range(1000).select(F.lit("s").alias("src"), F.col("id").alias("frame"))
     kept = sorted(r["frame"] for r in U.stride_sample(df, "src", "frame", 15, 20, bucket_frames=64).collect())

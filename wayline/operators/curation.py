@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,10 @@ REVIEW_FROM, AUTO_FROM = 0.65, 0.85
 STRIDE, FRAMES_PER_SOURCE = 15, 600
 GAP_MAX = 15
 
+# A Poisson draw of a mean up to POISSON_PART ends within POISSON_TERMS terms, to
+# far below the grain of a double.
+POISSON_PART, POISSON_TERMS = 20.0, 120
+
 # Characters a reader is expected to know.
 NUMERIC = "0123456789.-"
 UNIT = "km"
@@ -121,27 +123,28 @@ def weighted_resample(df: DataFrame, weight: Column, key: Column, seed: int) ->
     """Sampling with replacement, each row in proportion to its weight.
 
     Row counts are independent Poisson draws with the proportional mean, so the
-    expected size is the input size. Two totals are all the driver sees.
+    expected size is the input size. A large mean is the sum of draws of small
+    ones. Two totals are all the driver sees.
     """
     n, total = df.agg(F.count(F.lit(1)), F.sum(weight)).first()
     if not n:
         return df
-    heaviest = df.agg(F.max(weight)).first()[0]
-    mean = weight * F.lit(n / total)
-    top = n / total * heaviest
-    terms = int(top + 12 * math.sqrt(top) + 20)
-    uniform = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
-    def count(m_u: Column) -> Column:
-        start = F.struct(F.exp(-m_u["m"]).alias("p"), F.exp(-m_u["m"]).alias("cdf"), F.lit(0).alias("k"))
+    def draw(mean: Column, part: Column) -> Column:
+        """Inversion of the distribution function; the series ends where it reaches the uniform draw."""
+        u = F.pmod(F.xxhash64(F.lit(seed), key, part), F.lit(1 << 52)).cast("double") / float(1 << 52)
+        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).cast("bigint").alias("k"))
 
         def grow(acc: Column, i: Column) -> Column:
-            p = acc["p"] * m_u["m"] / i
-            return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"),
-                            (acc["k"] + F.when(m_u["u"] >= acc["cdf"], 1).otherwise(0)).alias("k"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, grow)["k"]
+            p = acc["p"] * mean / i
+            return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["k"] + F.when(u >= acc["cdf"], 1).otherwise(0)).alias("k"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), start, grow)["k"]
+
+    def drawn(m: Column) -> Column:
+        parts = F.greatest(F.lit(1), F.ceil(m / POISSON_PART)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0).cast("bigint"), lambda k, part: k + draw(m / parts, part))
 
-    copies = X.let(F.struct(mean.alias("m"), uniform.alias("u")), count)
+    copies = X.let(weight * F.lit(n / total), drawn)
     return (df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
             .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_c"))
 
