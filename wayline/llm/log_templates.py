@@ -10,31 +10,57 @@ document of smallest id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import pick
+from wayline.llm.common import pick, settle
 
 BLANKS = r"[ \t\r\x0B\f]+"
+#: Bits of the table of leaves that have several lines.
+TABLE = 20
+
+
+def _masked(text: Column) -> Column:
+    """The lines of a text with one blank between tokens, and <*> for each token that holds a digit."""
+    def squeezed(line: Column) -> Column:
+        odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0B") | line.contains("\f")
+        return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+
+    def masked(line: Column) -> Column:
+        # A token begins where no other sign stands before it; possessive parts keep this linear.
+        return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
+
+    return F.transform(F.transform(F.split(text, "\n", -1), squeezed), masked)
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_id, no, masked, leaf, line of every line with a token."""
-    rows = docs.select("doc_id", "text_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    squeezed = F.trim(F.regexp_replace("raw", BLANKS, " "))
-    # A token begins where no other sign stands before it; possessive parts keep this linear.
-    field = F.regexp_replace("squeezed", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
-    return (rows.select("doc_id", "text_id", "no", squeezed.alias("squeezed")).where("squeezed <> ''")
-            .select("doc_id", "text_id", "no", F.when(F.col("squeezed").rlike("[0-9]"), field).otherwise(F.col("squeezed")).alias("masked"))
-            .withColumn("size", F.length("masked") - F.length(F.translate("masked", " ", "")) + 1)
-            .withColumn("leaf", F.md5(F.concat_ws(" ", F.col("size"), F.substring_index("masked", " ", depth)).cast("binary")))
-            .withColumn("line", F.md5(F.col("masked").cast("binary"))))
+    """doc_id, text_id, no, masked, size, leaf, line of every line with a token."""
+    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    return (docs.select("doc_id", "text_id", F.posexplode(_masked(F.col("text"))).alias("no", "masked")).where("masked <> ''")
+            .select("doc_id", "text_id", "no", "masked", size.alias("size"), F.xxhash64("masked").alias("line"),
+                    F.xxhash64(size, F.substring_index("masked", " ", depth)).alias("leaf")))
+
+
+def _bits_of(leaves: DataFrame) -> bytes:
+    """Leaves by the low bits of their hash, in a table whose size does not depend on their number."""
+    at = F.col("leaf").bitwiseAND((1 << TABLE) - 1)
+    words = leaves.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(leaf & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    table = bytearray(1 << (TABLE - 3))
+    for w, b in words:
+        table[4 * w:4 * w + 4] = b.to_bytes(4, "little")
+    return bytes(table)
+
+
+def _has_bit(table: bytes, leaf: Column) -> Column:
+    at = leaf.bitwiseAND((1 << TABLE) - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(table), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.lit([1, 2, 4, 8, 16, 32, 64, 128]), at.bitwiseAND(7) + 1)) != 0
 
 
 def dedup(docs: DataFrame, depth: int = 3, similarity: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without recurring lines, one row for each row of docs.
 
-    Of lines met equally often the one of larger digest is the leaf's template.
+    Of lines met equally often the one of larger md5 is the leaf's template.
     Empty lines stay. Null texts stay null and have no lines. Rows of one id
     are one document; rows without an id keep all their lines and do not make a
     template recurring.
@@ -44,19 +70,22 @@ def dedup(docs: DataFrame, depth: int = 3, similarity: float = 0.7, id_col: str
 
 
 def _dropped(rows: DataFrame, depth: int, similarity: float) -> DataFrame:
-    lines = _lines(rows, depth)
-    counted = lines.groupBy("leaf", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    leaves = (counted.groupBy("leaf").agg(F.max(F.struct("n", "line")).alias("most"), F.count(F.lit(1)).alias("variants"))
-              .where("variants > 1").select("leaf", F.col("most.line").alias("template")))
-    worded = lines.select("leaf", "line", "size", "masked").join(leaves, "leaf").groupBy("leaf", "line", "size", "template").agg(F.first("masked").alias("masked"))
-    model = worded.where("line = template").select("leaf", F.col("masked").alias("model"))
+    """doc_id, text_id and the places of the lines to drop."""
+    every = _lines(rows, depth)
+    keys = settle(every.select("doc_id", "text_id", "no", "leaf", "line"))
+    counted = keys.groupBy("leaf", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    several = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    # Words are looked at again only for leaves with several lines, and some whose bit is the same.
+    worded = settle(every.where(_has_bit(_bits_of(several), F.col("leaf"))).groupBy("leaf", "line", "size")
+                    .agg(F.first("masked").alias("masked"), F.count(F.lit(1)).alias("n")))
+    model = (worded.groupBy("leaf").agg(F.max_by(F.struct("line", "masked"), F.struct("n", F.md5(F.col("masked").cast("binary")))).alias("top"))
+             .select("leaf", F.col("top.line").alias("template"), F.col("top.masked").alias("model")))
     agreeing = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("model", " "), lambda a, b: a == b), lambda same: same))
-    merged = (worded.where("line <> template").join(model, "leaf").where(agreeing >= F.lit(similarity) * F.col("size")).select("leaf", "line", "template"))
+    merged = worded.join(model, "leaf").where("line <> template").where(agreeing >= F.lit(similarity) * F.col("size")).select("leaf", "line", "template")
     placed = counted.join(merged, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
     recurring = placed.groupBy("template").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner <> hi").select("template", "owner")
     owners = placed.join(recurring, "template").select("leaf", "line", "owner")
-    return (lines.select("doc_id", "text_id", "no", "leaf", "line").join(owners, ["leaf", "line"]).where("doc_id <> owner")
-            .groupBy("doc_id", "text_id").agg(F.collect_list("no").alias("gone")))
+    return keys.join(owners, ["leaf", "line"]).where("doc_id <> owner").groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("gone"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
