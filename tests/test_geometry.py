@@ -91,7 +91,7 @@ def test_zone_matching(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     got = [r["zones_match"] for r in Z.with_zone_match(df, "a", "b").orderBy("i").collect()]
     assert got == [True, True, True, False, False, False, False]
-    assert got == [Z.zones_match_local(a, b, {}) for a, b in pairs]
+    assert got == [Z.zones_match_local(a, b) for a, b in pairs]
 
 
 def test_label_priority(spark):
