@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import bit_table, in_bit_table, pick, settle
+from wayline.llm.common import bit_table, in_bit_table, pick, pieces, settle
 from wayline.llm.components import components
 
 ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -124,7 +124,7 @@ class Rule:
 def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
     """doc_id, n, key (null if empty) and the tokens that are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, key, kept = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = tokens_of(text, width)
@@ -143,7 +143,7 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
@@ -162,7 +162,7 @@ def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     table, _ = bit_table(wanted, F.col("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             some = batch.filter(pa.array(in_bit_table(table, ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([some.column(0), lists([tokens_of(t, width) for t in some.column(1).to_pylist()])], ["node", "tokens"])
