@@ -89,3 +89,20 @@ def test_redaction_keeps_rows_and_columns(docs_of):
     assert out.columns == docs.columns and out.count() == 5
     assert got == [(1, "call <PHONE> or <EMAIL>", 23), (3, "", 0), (4, "clean", 5), (4, "clean", 5)]
     assert P.redact(docs_of([])).count() == 0 and P.find(docs_of([])).count() == 0
+
+
+def test_unseen_identifiers_of_a_seeded_context_are_marked(docs_of):
+    phones = [f"tel : +1 (243) 555-{k:04d}" for k in range(60)] + [f"tel : 555-{k:04d}" for k in range(40)]
+    four = [f"mail to : user{k}@mail.example.com" for k in range(4)] + [f"mail to : user-{k:05d}" for k in range(30)]
+    three = [f"host is 10.0.0.{k}" for k in range(3)] + ["host is node-12345"]
+    mixed = [f"see also user{k}@mail.example.com" for k in range(4)] + [f"see also 10.0.0.{k}" for k in range(4)] + ["see also node-54321"]
+    texts = phones + four + three + mixed
+    got = {r.doc_id: [(k, texts[r.doc_id][a:b]) for k, a, b in spans_of(r)] for r in P.find(docs_of(texts)).collect()}
+    for i, t in enumerate(texts):
+        if "tel :" in t:
+            assert got[i] == [("phone", t[6:])]
+        elif "user-" in t:
+            assert got[i] == [("email", t[10:])]
+        elif "node-" in t:
+            assert got[i] == []  # three seeds, and seeds that do not agree
+    assert {r[1] for r in P.redact(docs_of(phones)).collect()} == {"tel : <PHONE>"}

@@ -3,9 +3,10 @@
 Matches of fixed forms (base kinds, and long hexadecimal secrets) are seeds.
 The words before a seed make a lexical pattern; identifier-like strings in the
 same context are its other instances. Spark scores the graph of patterns and
-instances in rounds: a pattern of a kind is as good as the instances of that
-kind it meets, an instance as good as its best pattern. Patterns above a
-threshold, with several different seeds, then mark instances of no fixed form.
+instances in rounds: a pattern of a kind is as good as its scored instances
+agree on that kind, an instance as good as its best pattern. Instances without
+a score say nothing about a pattern. Patterns above a threshold, with several
+different seeds, then mark instances of no fixed form.
 """
 
 from __future__ import annotations
@@ -154,18 +155,21 @@ def scanned(docs: DataFrame, digits: int) -> DataFrame:
 def trusted_patterns(seen: DataFrame, rounds: int, least: int, support: int) -> DataFrame:
     """pattern, kind of the patterns whose confidence is at least `least` thousandths.
 
-    Confidences and instance scores are whole thousandths, so that sums do not
+    A confidence is the sum of the scores of one kind over one more than the
+    pattern's scored instances of all kinds: n seeds that agree make n / (n + 1),
+    however many unseen instances share the pattern. Confidences and instance scores are whole thousandths, so that sums do not
     depend on their order. Equal confidences go to the smaller kind.
     """
     edges = settle(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
     known = edges.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1000))
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), F.count("kind").alias("seeds")).where(F.col("seeds") >= support)
-    edges = settle(edges.drop("kind").join(sizes, "pattern"))
+    seeded = edges.groupBy("pattern").agg(F.count("kind").alias("seeds")).where(F.col("seeds") >= support).select("pattern")
+    edges = settle(edges.drop("kind").join(seeded, "pattern"))
     scores, trusted = known, None
     for _ in range(rounds):
-        graded = (edges.join(scores, "instance").groupBy("pattern", "kind", "size").agg(F.sum("score").alias("sum"))
-                  .withColumn("confidence", F.floor(F.col("sum") / (F.col("size") + 1)).cast("int")))
-        best = graded.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
+        sums = (edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
+                .groupBy("pattern").agg(F.sum("n").alias("scored"), F.collect_list(F.struct("sum", "kind")).alias("kinds")))
+        best = sums.select("pattern", F.array_max(F.transform("kinds", lambda s: F.struct(
+            F.floor(s["sum"] / (F.col("scored") + 1)).cast("int").alias("confidence"), s["kind"].alias("kind")))).alias("b")).select("pattern", "b.kind", "b.confidence")
         trusted = settle(best.where(F.col("confidence") >= least))
         found = (edges.select("pattern", "instance").join(trusted, "pattern").join(known.select("instance"), "instance", "left_anti")
                  .groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("score")))
