@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from wayline.llm import bestfit_packing as B
+from wayline.llm.queries import op5_bestfit_packing
 
 
 def brute(pieces, capacity):
@@ -59,3 +60,19 @@ def test_repeated_ids_and_none(docs_of):
     got = B.pack(docs_of(["a b", "a b", "c"], [1, 1, None]), capacity=5).collect()
     assert sorted(((r.doc_id or 0), r.n_tokens) for r in got) == [(0, 1), (1, 2), (1, 2)]
     assert B.pack(docs_of([])).count() == 0
+
+
+def test_query_keeps_near_copies_apart(spark, tmp_path):
+    rows = []
+    for k in range(6):
+        words = [f"w{k}x{j}" for j in range(60)]
+        changed = [*words[:30], "other", *words[31:]]
+        rows += [(3 * k, " ".join(words), f"a{k}"), (3 * k + 1, " ".join(changed), f"b{k}"), (None, " ".join(changed).upper() + " !", f"c{k}")]
+    rows += [(100, None, "n1"), (101, None, "n2"), (102, " ", "n3"), (103, " ", "n4")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_bestfit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(len((t or "").split()) for _, t, _ in rows)
+    bins = {r.doc_id: r.bin_id for r in got}
+    assert all(bins[3 * k] != bins[3 * k + 1] for k in range(6)) and bins[102] != bins[103]
+    # Three copies in each group, so three bins, each with one copy of every group.
+    assert sorted(Counter(r.bin_id for r in got if r.n_tokens).values()) == [6, 6, 6]

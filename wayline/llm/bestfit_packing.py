@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import ascii_lower, pick
+from wayline.llm import ngram_jaccard
+from wayline.llm.common import ascii_lower, pick, settle
 
 SCHEMA = "bin_id long, offset long, doc_id long, piece long, first_token long, n_tokens long"
 
@@ -57,15 +58,27 @@ def bits(values: list) -> list[int]:
     return [1 << again[v] if v in again else 0 for v in values]
 
 
+def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text") -> DataFrame:
+    """text_id, near: the near-duplicate group of each text that has words.
+
+    Texts are told apart by their hash, not by the id of their row, so that
+    repeated ids and rows without one have groups too.
+    """
+    texts = pick(docs, text=text_col).select(F.xxhash64("text").alias("text_id"), "text")
+    found = ngram_jaccard.groups(texts, width, num, den, id_col="text_id").where("n_shingles > 0")
+    return settle(found.groupBy(F.col("doc_id").alias("text_id")).agg(F.min("component_id").cast("string").alias("near")))
+
+
 def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id",
-         text_col: str = "text", source_col: str = "source") -> DataFrame:
+         text_col: str = "text", source_col: str = "source", near: DataFrame | None = None) -> DataFrame:
     """A row for each piece: bin_id, offset in the bin, doc_id, piece, first_token, n_tokens.
 
     n_tokens and cluster are expressions over text; by default the number of
     words, and a digest of the text in lower case, so that equal texts are one
-    cluster. Null sources conflict with nothing; a null text is empty and
-    conflicts with no other, and a text without tokens is one piece of none. No
-    two pieces in a bin share a source or a cluster, except that what is left
+    cluster. near, if given, has the clusters of texts as near_copies() tells
+    them; cluster then holds for other texts only. Null sources conflict with
+    nothing; a null text is empty and conflicts with no other, and a text
+    without tokens is one piece of none. No two pieces in a bin share a source or a cluster, except that what is left
     of a document never meets its own full pieces, which fill bins by
     themselves. Bins of different shards never meet; the number of shards
     follows the rows.
@@ -74,7 +87,11 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens
     words = word_count(F.col("text")) if n_tokens is None else n_tokens
     group = F.md5(ascii_lower(F.col("text")).cast("binary")) if cluster is None else cluster
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = (rows.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"), F.col("source").cast("string").alias("source"), group.cast("string").alias("cluster"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"), F.col("source").cast("string").alias("source"), group.cast("string").alias("cluster"),
+                        F.xxhash64("text").alias("text_id"))
+    if near is not None:
+        rows = rows.join(near, "text_id", "left").withColumn("cluster", F.coalesce("near", "cluster"))
+    rows = (rows.select("doc_id", "n", "source", "cluster")
             .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(shards))))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

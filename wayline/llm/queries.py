@@ -33,7 +33,8 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bestfit_packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return bestfit_packing.pack(docs, near=bestfit_packing.near_copies(docs))
 
 
 def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
