@@ -42,6 +42,32 @@ def test_a_hot_key_is_shuffled_by_block(data):
     assert wide and all("_block" in line for line in wide)
 
 
+def exchanges(df):
+    """What the run plan reads and exchanges by hash, without reused parts."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line], plan
+
+
+def test_running_values_in_a_row_share_one_exchange_of_rows(data):
+    w = O.Walk.along(data, ("k",), ("t", "i"), 13.0).add(s=O.running_sum(F.col("v")), n=O.row_index())
+    w = w.add(top=O.running_max(F.col("s") % 7)).add(last=O.earlier_known(F.col("top")))
+    hashed, plan = exchanges(w.select("k", "i", "s", "n", "last"))
+    assert len([line for line in hashed if "_block" in line and "REPARTITION_BY_COL" in line]) <= 4  # rows once, carries thrice
+    assert plan.count("Scan ExistingRDD") == 1
+    plain = Window.partitionBy("k").orderBy("t", "i")
+    want = data.withColumn("s", F.sum("v").over(plain)).withColumn("n", F.row_number().over(plain).cast("bigint")).withColumn("top", F.max(F.col("s") % 7).over(plain))
+    want = want.withColumn("last", F.last("top", True).over(plain.rowsBetween(Window.unboundedPreceding, -1)))
+    assert sorted(w.select("k", "i", "s", "n", "last").collect(), key=str) == sorted(want.select("k", "i", "s", "n", "last").collect(), key=str)
+
+
+def test_flagship_reads_events_once_and_exchanges_by_hash_eight_times(spark):
+    from wayline.plans import catalogue
+    hashed, plan = exchanges(catalogue.queries()["flagship_navigation"](spark, "/root/testdata/sf0.001"))
+    assert len([line for line in plan.splitlines() if "Scan parquet" in line and "event_id" in line]) == 1
+    assert len(hashed) <= 8, hashed
+
+
 def test_spans_give_bounded_frames_across_their_borders(data):
     cut, ordering = O.by_time(data, ["k"], ["t", "i"], 13.0)
     numbered = O.scan(cut, ordering, n=O.row_index())

@@ -7,9 +7,10 @@ the next block:
 
     local window per (key, block)  +  exclusive scan over block totals
 
-The block totals are a partial aggregate, so the only full shuffle is the one on
-``(key, block)``. A key holding a third of all rows is spread over as many tasks
-as it has blocks.
+Rows are dealt by ``(key, block)`` once, and both the totals and the windows stand
+above that one exchange. Further running values, also such as use earlier ones,
+may be added to rows already dealt (``Walk``) without another exchange of rows. A
+key holding a third of all rows is spread over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -79,9 +80,29 @@ def by_time(df: DataFrame, keys: tuple[str, ...] | list[str], order: tuple[str,
     return cut, Ordering(tuple(keys), tuple(order), (block,))
 
 
-def scan(df: DataFrame, ordering: Ordering, **outputs: Carry) -> DataFrame:
-    """Add one column per output, each a running value along ``ordering``."""
+def held(df: DataFrame) -> DataFrame:
+    """The same rows; every column is in use here, and no filter from above gets below.
+
+    What is below is then the same plan in all branches that read it, whatever
+    each of them needs, so that Spark runs it once and reuses its exchange.
+    """
+    return df.where(F.hash(*df.columns) + F.rand(0) > F.lit(-3e9))
+
+
+def deal(df: DataFrame, *by: str) -> DataFrame:
+    """Exchange rows by some columns, once for all branches that read the result."""
+    return held(df.repartition(*by))
+
+
+def scan(df: DataFrame, ordering: Ordering, dealt: bool = False, **outputs: Carry) -> DataFrame:
+    """Add one column per output, each a running value along ``ordering``.
+
+    ``dealt`` says that the rows come from a scan along the same ordering, or
+    from ``deal``, and need no exchange.
+    """
     parts, order = ordering.parts, list(ordering.order)
+    if not dealt:
+        df = deal(df, *parts)
     position = F.struct(*order)
     here = Window.partitionBy(*parts).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,13 +142,36 @@ def scan(df: DataFrame, ordering: Ordering, **outputs: Carry) -> DataFrame:
         else:
             raise ValueError(f"unknown running value: {out.kind}")
 
-    block_totals = df.groupBy(*parts).agg(*totals)
-    carried = block_totals.select(*parts, *carries)
+    block_totals = deal(df.groupBy(*parts).agg(*totals), *ordering.keys)
+    carried = deal(block_totals.select(*parts, *carries), *parts)
     windowed = df.select("*", *local)
     joined = windowed.join(carried, parts, "left")
     return joined.select(*df.columns, *[c.alias(n) for n, c in combined.items()])
 
 
+@dataclass(frozen=True)
+class Walk:
+    """Rows dealt along an ordering, to which running values are added."""
+
+    rows: DataFrame
+    ordering: Ordering
+
+    @classmethod
+    def along(cls, df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], width: float) -> Walk:
+        cut, ordering = by_time(df, keys, order, width)
+        return cls(deal(cut, *ordering.parts), ordering)
+
+    def add(self, **outputs: Carry) -> Walk:
+        return Walk(scan(self.rows, self.ordering, dealt=True, **outputs), self.ordering)
+
+    def change(self, rows: DataFrame) -> Walk:
+        """Other columns or fewer rows, still dealt as before."""
+        return Walk(rows, self.ordering)
+
+    def select(self, *columns) -> DataFrame:
+        return self.rows.select(*columns)
+
+
 def overlapped(df: DataFrame, index: Column, reach: int, rows_per_block: int,
                block: str = "_span", guest: str = "_guest") -> DataFrame:
     """Cut a densely numbered key into spans whose first rows see ``reach`` rows back.

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.operators.ordered import (Ordering, by_time, earlier_known, last_known, overlapped,
-                                       previous, row_index, running_max, running_sum, scan)
+from wayline.operators.ordered import (Carry, Walk, earlier_known, last_known, overlapped, previous, row_index,
+                                       running_sum)
 
 KEYS = ("sid",)
 ORDER = ("t_capture", "seq")
@@ -36,25 +36,35 @@ REPORT_EVERY = 50
 MEDIAN_READS = 7
 
 
-def along(df: DataFrame, block_s: float, keys=KEYS, order=ORDER) -> tuple[DataFrame, Ordering]:
-    return by_time(df, keys, order, block_s)
+def walk(df: DataFrame, block_s: float, keys=KEYS, order=ORDER) -> Walk:
+    """One exchange of a track by session and time block."""
+    return Walk.along(df, keys, order, block_s)
 
 
-def _scan(df: DataFrame, block_s: float, keys=KEYS, order=ORDER, **outputs) -> DataFrame:
-    cut, ordering = along(df, block_s, keys, order)
-    return scan(cut, ordering, **outputs).drop("_block")
+def last_fix(cols: list[str]) -> Carry:
+    """The last known fix; all columns come from one row."""
+    return last_known(F.when(F.col(cols[0]).isNotNull(), F.struct(*cols)))
 
 
 def forward_fill(df: DataFrame, cols: list[str], block_s: float = BLOCK_S) -> DataFrame:
     """Carry the last known fix through dropouts; all columns come from one row."""
-    fix = F.when(F.col(cols[0]).isNotNull(), F.struct(*cols))
-    filled = _scan(df, block_s, _fix=last_known(fix))
+    filled = walk(df, block_s).add(_fix=last_fix(cols))
     return filled.select(*df.columns, *[F.col(f"_fix.{c}").alias(f"{c}_last") for c in cols])
 
 
 def read_age(df: DataFrame, ok: Column, block_s: float = BLOCK_S) -> DataFrame:
-    seen = _scan(df, block_s, _seen=last_known(F.when(ok, F.col("t_capture"))))
-    return seen.withColumn("coord_age_s", F.col("t_capture") - F.col("_seen")).drop("_seen")
+    seen = walk(df, block_s).add(_seen=last_known(F.when(ok, F.col("t_capture"))))
+    return seen.select(*df.columns, (F.col("t_capture") - F.col("_seen")).alias("coord_age_s"))
+
+
+def _segmented(df: DataFrame, block_s: float, same=None) -> Walk:
+    seen = walk(df, block_s).add(_before=earlier_known(F.col("ooc")))
+    if same is None:
+        marked = seen.rows.withColumn("_same", F.col("ooc") == F.col("_before"))
+    else:
+        marked = same(seen.rows, "ooc", "_before", "_same")
+    turn = (F.col("ooc").isNotNull() & F.col("_before").isNotNull() & ~F.col("_same")).cast("bigint")
+    return seen.change(marked.withColumn("_turn", turn))
 
 
 def zone_segments(df: DataFrame, block_s: float = BLOCK_S, same=None) -> DataFrame:
@@ -62,14 +72,7 @@ def zone_segments(df: DataFrame, block_s: float = BLOCK_S, same=None) -> DataFra
 
     ``same(df, read, reference, flag)`` decides equality; the default is exact.
     """
-    seen = _scan(df, block_s, _before=earlier_known(F.col("ooc")))
-    if same is None:
-        seen = seen.withColumn("_same", F.col("ooc") == F.col("_before"))
-    else:
-        seen = same(seen, "ooc", "_before", "_same")
-    turn = (F.col("ooc").isNotNull() & F.col("_before").isNotNull() & ~F.col("_same")).cast("bigint")
-    return _scan(seen.withColumn("_turn", turn), block_s,
-                 segment=running_sum(F.col("_turn"))).drop("_before", "_same", "_turn")
+    return _segmented(df, block_s, same).add(segment=running_sum(F.col("_turn"))).select(*df.columns, "segment")
 
 
 def rolling_median(df: DataFrame, cols: list[str], reads: int = MEDIAN_READS,
@@ -79,8 +82,8 @@ def rolling_median(df: DataFrame, cols: list[str], reads: int = MEDIAN_READS,
     Input rows are accepted reads. The frame is bounded, so spans of a stretch
     only need the last few rows of the span before.
     """
-    staged = _scan(zone_segments(df, block_s), block_s, _i=row_index())
-    spans = overlapped(staged, F.col("_i"), reads - 1, rows_per_span)
+    staged = _segmented(df, block_s).add(segment=running_sum(F.col("_turn")), _i=row_index())
+    spans = overlapped(staged.rows, F.col("_i"), reads - 1, rows_per_span)
     recent = (Window.partitionBy("sid", "segment", "_span").orderBy("_i")
               .rowsBetween(-(reads - 1), Window.currentRow))
 
@@ -113,13 +116,12 @@ def gate_reason(new: list[Column], old: list[Column], dt: Column, same_zone: Col
 
 def lag_gate(df: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     """Stateless gate: every fix against the fix before it, accepted or not."""
-    seen = _scan(df.filter(F.col("x").isNotNull()), block_s,
-                 _p=previous(F.struct("x", "y", "z", "ooc", "t_capture")))
+    seen = walk(df.filter(F.col("x").isNotNull()), block_s).add(_p=previous(F.struct("x", "y", "z", "ooc", "t_capture")))
     p = F.col("_p")
     same = ~((F.col("ooc") != "") & (p["ooc"] != "") & (F.col("ooc") != p["ooc"]))
     reason = gate_reason([F.col(c) for c in "xyz"], [p[c] for c in "xyz"],
                          F.col("t_capture") - p["t_capture"], F.coalesce(same, F.lit(True)))
-    return seen.withColumn("reason", reason).drop("_p")
+    return seen.select(*df.columns, reason.alias("reason"))
 
 
 def moving_flag(df: DataFrame, speed: str, block_s: float = BLOCK_S,
@@ -127,18 +129,33 @@ def moving_flag(df: DataFrame, speed: str, block_s: float = BLOCK_S,
     """Hysteresis: the latest crossing of either threshold decides."""
     v = F.col(speed)
     crossing = F.when(v >= enter, F.lit(True)).when(v < leave, F.lit(False))
-    return (_scan(df, block_s, moving=last_known(crossing))
-            .withColumn("moving", F.coalesce("moving", F.lit(False))))
+    return walk(df, block_s).add(moving=last_known(crossing)).select(*df.columns, F.coalesce("moving", F.lit(False)).alias("moving"))
 
 
 def heading_confidence(df: DataFrame, heading: str, block_s: float = BLOCK_S) -> DataFrame:
     """Unsteady for a while after a large swing between consecutive headings."""
-    seen = _scan(df, block_s, _before=earlier_known(F.col(heading)))
+    seen = walk(df, block_s).add(_before=earlier_known(F.col(heading)))
     swing = F.abs(F.pmod(F.col(heading) - F.col("_before") + 180.0, F.lit(360.0)) - 180.0)
     flipped = F.when(swing > FLIP_DEG, F.col("t_capture"))
-    marked = _scan(seen.withColumn("_flip", flipped), block_s, _last=last_known(F.col("_flip")))
+    marked = seen.add(_last=last_known(flipped))
     steady = F.coalesce(F.col("t_capture") >= F.col("_last") + RECOVER_S, F.lit(True))
-    return marked.withColumn("confident", steady).drop("_before", "_flip", "_last")
+    return marked.select(*df.columns, steady.alias("confident"))
+
+
+def _told(ticks: DataFrame, events: DataFrame, payload: tuple[str, ...], block_s: float, **also: Carry) -> Walk:
+    """Commands and ticks as one ordered stream, a command before a tick of the same time, and what holds at each row."""
+    command = F.struct("action", F.col("ts").alias("t_set"), *payload)
+    stream = (ticks.withColumn("_rank", F.lit(1)).withColumn("_cmd", F.lit(None).cast(
+        events.select(command.alias("c")).schema["c"].dataType))
+        .unionByName(events.select("sid", F.col("ts").alias("t_capture"), F.lit(0).alias("_rank"),
+                                   command.alias("_cmd")), allowMissingColumns=True)
+        .withColumn("seq", F.coalesce("seq", F.lit(0))))
+    told = walk(stream, block_s, order=("t_capture", "_rank", "seq")).add(
+        _now=last_known(F.col("_cmd")), epoch=running_sum(F.col("_cmd").isNotNull().cast("bigint")), **also)
+    live = F.col("_now.action") == "set"
+    return told.change(told.rows.filter(F.col("_rank") == 1).select(
+        *ticks.columns, *told.ordering.blocks, "_rank", "epoch", *also,
+        *[F.when(live, F.col(f"_now.{c}")).alias(c) for c in ("t_set", *payload)]))
 
 
 def active_target(ticks: DataFrame, events: DataFrame, block_s: float = BLOCK_S,
@@ -148,20 +165,24 @@ def active_target(ticks: DataFrame, events: DataFrame, block_s: float = BLOCK_S,
     Commands and ticks are merged into one ordered stream, a command before a
     tick of the same time. ``clear`` is itself a command, so it hides earlier
     ones. Adds ``epoch`` (number of commands so far), ``t_set`` and the payload.
+    What a command's target is known by should be in the payload; joining it to
+    the few commands is cheaper than to all ticks.
     """
-    command = F.struct("action", F.col("ts").alias("t_set"), *payload)
-    stream = (ticks.withColumn("_rank", F.lit(1)).withColumn("_cmd", F.lit(None).cast(
-        events.select(command.alias("c")).schema["c"].dataType))
-        .unionByName(events.select("sid", F.col("ts").alias("t_capture"), F.lit(0).alias("_rank"),
-                                   command.alias("_cmd")), allowMissingColumns=True)
-        .withColumn("seq", F.coalesce("seq", F.lit(0))))
-    told = _scan(stream, block_s, order=("t_capture", "_rank", "seq"),
-                 _now=last_known(F.col("_cmd")),
-                 epoch=running_sum(F.col("_cmd").isNotNull().cast("bigint")))
-    live = F.col("_now.action") == "set"
-    return (told.filter(F.col("_rank") == 1)
-            .select(*ticks.columns, "epoch",
-                    *[F.when(live, F.col(f"_now.{c}")).alias(c) for c in ("t_set", *payload)]))
+    return _told(ticks, events, payload, block_s).select(*ticks.columns, "epoch", "t_set", *payload)
+
+
+def _zone_columns(has_target: Column, target_zone: Column, grace_s: float) -> dict[str, Column]:
+    locked = F.coalesce(F.col("_hit") == F.col("epoch"), F.lit(False))
+    waited = F.col("t_capture") - F.col("t_set")
+    return {"locked": locked & has_target,
+            "in_zone": F.when(~has_target, F.lit(False)).when(target_zone.isNull(), F.lit(True))
+                        .otherwise(locked | (waited <= grace_s)),
+            "grace_left_s": F.when(has_target & ~locked, F.greatest(F.lit(0.0), F.lit(grace_s) - waited))}
+
+
+def _latest_match(match: Column) -> Carry:
+    """The epoch of the latest match: the target is confirmed from a match on until the epoch changes."""
+    return last_known(F.when(F.coalesce(match, F.lit(False)), F.col("epoch")))
 
 
 def zone_lock(ticks: DataFrame, match: Column, has_target: Column, target_zone: Column,
@@ -169,65 +190,66 @@ def zone_lock(ticks: DataFrame, match: Column, has_target: Column, target_zone:
     """Zone confirmation since the target was set, and the grace time left.
 
     Confirmed for good by the first match; before that, true while the grace
-    lasts. A target without a zone is always in zone.
+    lasts. A target without a zone is always in zone. ``epoch`` never decreases
+    along a session.
     """
-    latched = _scan(ticks.withColumn("_match", F.coalesce(match, F.lit(False)).cast("int")),
-                    block_s, keys=("sid", "epoch"), _hit=running_max(F.col("_match")))
-    locked = F.col("_hit") == 1
-    waited = F.col("t_capture") - F.col("t_set")
-    return (latched
-            .withColumn("locked", locked & has_target)
-            .withColumn("in_zone", F.when(~has_target, F.lit(False)).when(target_zone.isNull(), F.lit(True))
-                        .otherwise(locked | (waited <= grace_s)))
-            .withColumn("grace_left_s", F.when(has_target & ~locked, F.greatest(F.lit(0.0), F.lit(grace_s) - waited)))
-            .drop("_match", "_hit"))
+    latched = walk(ticks, block_s).add(_hit=_latest_match(match))
+    return latched.rows.withColumns(_zone_columns(has_target, target_zone, grace_s)).select(
+        *ticks.columns, "locked", "in_zone", "grace_left_s")
+
+
+def navigated(ticks: DataFrame, events: DataFrame, payload: tuple[str, ...], match: Column, has_target: Column,
+              target_zone: Column, fix: tuple[str, ...] = ("x", "y", "z"), grace_s: float = GRACE_S,
+              block_s: float = BLOCK_S) -> DataFrame:
+    """active_target, zone_lock and forward_fill in one exchange of the ticks.
+
+    ``match`` and the others may use the payload.
+    """
+    told = _told(ticks, events, payload, block_s, _fix=last_fix(list(fix))).add(_hit=_latest_match(match))
+    return told.rows.withColumns(_zone_columns(has_target, target_zone, grace_s)).select(
+        *ticks.columns, "epoch", "t_set", *payload, "locked", "in_zone", "grace_left_s",
+        *[F.col(f"_fix.{c}").alias(f"{c}_last") for c in fix])
 
 
 def running_counters(df: DataFrame, flags: dict[str, Column], every: int = REPORT_EVERY,
                      block_s: float = BLOCK_S) -> DataFrame:
     """Cumulative counters, reported on every ``every``-th row of a session."""
-    counted = _scan(df, block_s, frames=row_index(),
-                    **{n: running_sum(c.cast("bigint")) for n, c in flags.items()})
-    return counted.filter(F.col("frames") % every == 0)
+    counted = walk(df, block_s).add(frames=row_index(), **{n: running_sum(c.cast("bigint")) for n, c in flags.items()})
+    return counted.select(*df.columns, "frames", *flags).filter(F.col("frames") % every == 0)
 
 
 def reuse_repeats(df: DataFrame, content: Column, result: Column, block_s: float = BLOCK_S) -> DataFrame:
     """A row whose content equals the row before reuses the result of the run's first row."""
-    seen = _scan(df.withColumn("_content", content).withColumn("_result", result), block_s,
-                 _before=previous(F.struct("_content")))
+    seen = walk(df.withColumn("_content", content).withColumn("_result", result), block_s).add(_before=previous(F.struct("_content")))
     fresh = ~F.coalesce(F.col("_before._content").eqNullSafe(F.col("_content"))
                         & F.col("_before").isNotNull(), F.lit(False))
     boxed = F.when(fresh, F.struct(F.col("_result").alias("v")))
-    reused = _scan(seen.withColumn("_fresh", fresh).withColumn("_boxed", boxed), block_s,
-                   _kept=last_known(F.col("_boxed")))
-    return (reused.withColumn("reused", ~F.col("_fresh")).withColumn("result", F.col("_kept.v"))
-            .select(*df.columns, "reused", "result"))
+    reused = seen.add(_kept=last_known(boxed))
+    return reused.select(*df.columns, (~fresh).alias("reused"), F.col("_kept.v").alias("result"))
 
 
 def runs_of(df: DataFrame, flag: Column, order: tuple[str, ...], block_s: float,
             longer_than: int) -> DataFrame:
     """Unbroken runs of flagged rows longer than ``longer_than``."""
     marked = df.withColumn("_flag", flag.cast("bigint"))
-    told = _scan(marked, block_s, order=order, _i=row_index(), _f=running_sum(F.col("_flag")))
-    return (told.filter(F.col("_flag") == 1).groupBy("sid", (F.col("_i") - F.col("_f")).alias("_run"))
+    told = walk(marked, block_s, order=order).add(_i=row_index(), _f=running_sum(F.col("_flag")))
+    return (told.rows.filter(F.col("_flag") == 1).groupBy("sid", (F.col("_i") - F.col("_f")).alias("_run"))
             .agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first"))
             .filter(F.col("length") > longer_than).drop("_run"))
 
 
 def gap_segments(df: DataFrame, gap_s: float = GAP_S, block_s: float = BLOCK_S) -> DataFrame:
     """Number the stretches without a pause longer than ``gap_s``."""
-    seen = _scan(df, block_s, _before=previous(F.col("t_capture")))
+    seen = walk(df, block_s).add(_before=previous(F.col("t_capture")))
     cut = F.coalesce((F.col("t_capture") - F.col("_before")) > gap_s, F.lit(False)).cast("bigint")
-    return _scan(seen.withColumn("_cut", cut), block_s,
-                 gap_segment=running_sum(F.col("_cut"))).drop("_before", "_cut")
+    return seen.add(gap_segment=running_sum(cut)).select(*df.columns, "gap_segment")
 
 
 def current_source_only(ticks: DataFrame, control: Column, claimed: Column,
                         block_s: float = BLOCK_S) -> DataFrame:
     """Drop results that were captured under an earlier source than the current one."""
-    told = _scan(ticks.withColumn("_bump", control.cast("bigint")), block_s,
-                 source_epoch=running_sum(F.col("_bump")))
-    return told.filter(F.col("source_epoch") == claimed).drop("_bump")
+    told = walk(ticks, block_s).add(source_epoch=running_sum(control.cast("bigint")))
+    return told.rows.filter(F.col("source_epoch") == claimed).select(*ticks.columns, "source_epoch")
 
 
 def tick_status(error: Column, x: Column, reason: Column) -> list[Column]:

@@ -123,16 +123,32 @@ zl as materialized (select *, case when suppkey is null then false when t_ooc is
  suppkey is not null and hit=1 as locked, case when suppkey is not null and hit=0 then greatest(0::double, 20 - (t_capture-t_set)) end as left_s from lk)"""
 
 
-def _with_points(spark, sf_dir):
+_POINT = ("suppkey", "t_name", "tx", "ty", "tz", "t_ooc", "kind")
+
+
+def _match():
+    return F.col("x").isNotNull() & (F.col("ooc") == F.col("t_ooc"))
+
+
+def _pointed(spark, sf_dir):
+    """Commands with the point they aim at."""
     points = V.poi(spark, sf_dir).select(
         F.col("s_suppkey").alias("suppkey"), F.col("name").alias("t_name"), F.col("x").alias("tx"),
         F.col("y").alias("ty"), F.col("z").alias("tz"), F.col("ooc").alias("t_ooc"), "kind")
-    return _targeted(spark, sf_dir).join(points, "suppkey", "left")
+    return V.target_event(spark, sf_dir).join(points, "suppkey", "left")
+
+
+def _with_points(spark, sf_dir):
+    return K.active_target(_track(spark, sf_dir), _pointed(spark, sf_dir), B, _POINT)
+
+
+def _navigated(spark, sf_dir):
+    return K.navigated(_track(spark, sf_dir), _pointed(spark, sf_dir), _POINT, _match(), F.col("suppkey").isNotNull(),
+                       F.col("t_ooc"), grace_s=_GRACE, block_s=B)
 
 
 def _locked(spark, sf_dir):
-    match = F.col("x").isNotNull() & (F.col("ooc") == F.col("t_ooc"))
-    return K.zone_lock(_with_points(spark, sf_dir), match, F.col("suppkey").isNotNull(), F.col("t_ooc"), _GRACE, B)
+    return K.zone_lock(_with_points(spark, sf_dir), _match(), F.col("suppkey").isNotNull(), F.col("t_ooc"), _GRACE, B)
 
 
 @query("j2_target_point", V.duck("target_event", "poi", body=_J2 + f" select sid, seq, t_name, {dr('tx')} as tx from tp"))
@@ -163,7 +179,7 @@ _LABEL = f"""case when suppkey is null then 'NO TARGET' when not in_zone then co
 
 
 def _guided(spark, sf_dir):
-    df = K.forward_fill(_locked(spark, sf_dir), ["x", "y", "z"], B)
+    df = _navigated(spark, sf_dir)
     pos = G.Vec(*[F.col(f"{c}_last") for c in "xyz"])
     tgt = G.vec("t")
     bearing = G.absolute_bearing(pos, tgt, F.col("kind"))

@@ -8,7 +8,6 @@ from wayline.operators import tracker as S
 from wayline.operators import tracks as K
 from wayline.plans import views as V
 from wayline.plans.registry import dr, query, r
-from wayline.session import settle
 
 B = V.BLOCK_S
 
@@ -144,7 +143,7 @@ def tracked(spark, sf_dir, tuning=S.Tuning(), grace_s=K.GRACE_S):
     points = V.poi(spark, sf_dir).select(
         F.col("s_suppkey").alias("suppkey"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"),
         F.col("ooc").alias("t_ooc"), "kind")
-    gated = settle(S.gate_and_median(_zoned(spark, sf_dir), tuning, B))
+    gated = S.gate_and_median(_zoned(spark, sf_dir), tuning, B)
     aimed = K.active_target(gated, V.target_event(spark, sf_dir), B).join(points, "suppkey", "left")
     # Points carry the fixture's zone names; give them the same distinct ones.
     zone = None
@@ -154,7 +153,7 @@ def tracked(spark, sf_dir, tuning=S.Tuning(), grace_s=K.GRACE_S):
     matched = aimed.withColumn("t_ooc", zone).withColumn("zones_match", S.same_zone(F.col("ooc"), F.col("t_ooc")))
     locked = K.zone_lock(matched, F.col("accepted") & F.col("zones_match"), F.col("suppkey").isNotNull(),
                          F.col("t_ooc"), grace_s, B)
-    return S.motion_filter(settle(locked), tuning, B)
+    return S.motion_filter(locked, tuning, B)
 
 
 @query("r1_session_tracker")
