@@ -1,9 +1,9 @@
 """Token counts: Arrow batches go to the tokenizer library, and only lengths come back.
 
-Texts reach the library in batches of about the same number of bytes, whatever
-the length of each. A long text is split at boundaries that no token crosses
-and that leave both sides' tokens as they are, so that the sum over its pieces
-is the count of the whole.
+Texts are split at boundaries that no token crosses and that leave both sides'
+tokens as they are, so that the sum over its pieces is the count of the whole. A
+piece that a task has met before keeps its length; the others reach the library
+in batches of about the same number of bytes, whatever the length of each.
 """
 
 from __future__ import annotations
@@ -20,12 +20,17 @@ from pyspark.sql import DataFrame
 
 from wayline.llm.common import pick
 
-#: Bytes of a batch, and bytes beyond which a text is split.
+#: Bytes of a batch for the library, characters of text that are pieces at a time, and lengths that a task remembers (of
+#: pieces up to so many characters); beyond that many it starts anew.
 BATCH_BYTES = 256 << 10
-PIECE_BYTES = 64 << 10
+GROUP_CHARS = 256 << 10
+KNOWN, KNOWN_CHARS = 1 << 18, 64
 #: Places in front of white space after what is surely none: the splitting rule of byte-level BPE never joins the two sides,
 #: looks back at nothing, and looks ahead only from white space.
 BEFORE_SPACE = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])(?=[ \\n\\t\\r])")
+#: The same in texts without unusual white space: each piece is a run of white space and what follows it.
+UNUSUAL = re.compile("[\x0b\\x0c\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]|[^\\S \\n\\t\\r]")
+SPACE_AND_REST = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: One blank between plain words, for models that write it as the first character of a piece.
 PLAIN_BLANK = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 BLANK = "▁"
@@ -41,6 +46,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.safe: re.Pattern[str] | None = None
+        self.known: dict[str, int] = {}
         self.count: Callable[[list[str]], list[int]] = self._pieces(path) if path.endswith(".model") else self._tokens(path)
 
     def _tokens(self, path: str) -> Callable[[list[str]], list[int]]:
@@ -68,36 +74,61 @@ class Counter:
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
 
     def split(self, text: str, size: int) -> Iterator[str]:
-        """Pieces of some size characters or more; a text without a safe boundary stays whole."""
+        """Parts of some size characters or more; a text without a safe boundary stays whole."""
         at = 0
         while self.safe is not None and (m := self.safe.search(text, at + size)):
             yield text[at:m.start()]
             at = m.end()
         yield text[at:]
 
-    def column(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES, piece_bytes: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, text: str) -> list[str]:
+        """A text at all its safe boundaries."""
+        if self.safe is None:
+            return [text]
+        if self.safe is BEFORE_SPACE and not UNUSUAL.search(text):
+            return SPACE_AND_REST.findall(text)
+        return self.safe.split(text)
+
+    def _learn(self, pieces: set[str], batch_bytes: int) -> dict[str, int]:
+        """Lengths of pieces not met before, asked for in batches balanced by bytes."""
+        lengths: dict[str, int] = {}
+        batch: list[str] = []
+        held = 0
+        for piece in pieces:
+            batch.append(piece)
+            held += len(piece.encode())
+            if held >= batch_bytes:
+                lengths.update(zip(batch, self.count(batch)))
+                batch, held = [], 0
+        if batch:
+            lengths.update(zip(batch, self.count(batch)))
+        self.known.update((p, n) for p, n in lengths.items() if len(p) <= KNOWN_CHARS)
+        return lengths
+
+    def column(self, texts: pa.Array, batch_bytes: int = BATCH_BYTES, group_chars: int = GROUP_CHARS) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and tokens of every text of a column."""
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.zeros(len(texts), np.int64)
-        batch: list[str] = []
-        owner: list[int] = []
+        group: list[tuple[int, list[str]]] = []
         held = 0
 
         def flush() -> None:
-            np.add.at(out, owner, self.count(batch))
-            batch.clear()
-            owner.clear()
+            known = self.known
+            if len(known) > KNOWN:
+                known.clear()
+            new = self._learn({p for _, pieces in group for p in pieces if p not in known}, batch_bytes)
+            for i, pieces in group:
+                out[i] += sum(new[p] if p in new else known[p] for p in pieces) if new else sum(map(known.__getitem__, pieces))
+            group.clear()
 
         for i in np.flatnonzero(sizes).tolist():
-            text = texts[i].as_py()
-            for piece in self.split(text, piece_bytes) if sizes[i] > piece_bytes else (text,):
-                batch.append(piece)
-                owner.append(i)
-                held += len(piece.encode()) if sizes[i] > piece_bytes else int(sizes[i])
-                if held >= batch_bytes:
+            for part in self.split(texts[i].as_py(), group_chars):
+                group.append((i, self.pieces(part)))
+                held += len(part)
+                if held >= group_chars:
                     flush()
                     held = 0
-        if batch:
+        if group:
             flush()
         return sizes, out
 
