@@ -132,9 +132,9 @@ def moving_flag(df: DataFrame, speed: str, block_s: float = BLOCK_S,
     return walk(df, block_s).add(moving=last_known(crossing)).select(*df.columns, F.coalesce("moving", F.lit(False)).alias("moving"))
 
 
-def heading_confidence(df: DataFrame, heading: str, block_s: float = BLOCK_S) -> DataFrame:
+def heading_confidence(df: DataFrame, heading: str, block_s: float = BLOCK_S, keys=KEYS) -> DataFrame:
     """Unsteady for a while after a large swing between consecutive headings."""
-    seen = walk(df, block_s).add(_before=earlier_known(F.col(heading)))
+    seen = walk(df, block_s, keys).add(_before=earlier_known(F.col(heading)))
     swing = F.abs(F.pmod(F.col(heading) - F.col("_before") + 180.0, F.lit(360.0)) - 180.0)
     flipped = F.when(swing > FLIP_DEG, F.col("t_capture"))
     marked = seen.add(_last=last_known(flipped))
@@ -171,8 +171,38 @@ def active_target(ticks: DataFrame, events: DataFrame, block_s: float = BLOCK_S,
     return _told(ticks, events, payload, block_s).select(*ticks.columns, "epoch", "t_set", *payload)
 
 
-def _zone_columns(has_target: Column, target_zone: Column, grace_s: float) -> dict[str, Column]:
-    locked = F.coalesce(F.col("_hit") == F.col("epoch"), F.lit(False))
+#: Commands of one moment in the order in which they take effect; ticks come after them.
+COMMANDS = ("source", "reset", "clear", "set")
+
+
+def commanded(ticks: DataFrame, commands: DataFrame, payload: tuple[str, ...], block_s: float = BLOCK_S) -> DataFrame:
+    """What the commands so far have left in force at each tick, in one exchange.
+
+    ``set``, ``clear`` and ``reset`` open a new ``epoch`` and decide the target;
+    ``source`` replaces the source of captures, after which the grace of a target
+    starts anew (``t_set``) and ticks that claim another ``source_epoch`` are
+    dropped. ``restarts`` counts changes of source, ``resets`` these and resets.
+    """
+    place = F.array_position(F.array(*map(F.lit, COMMANDS)), F.col("action")).cast("int")
+    command = F.struct("action", F.col("ts").alias("at"), "source_epoch", *payload)
+    told = commands.select("sid", F.col("ts").alias("t_capture"), place.alias("_rank"), command.alias("_cmd"), F.lit(0).cast("bigint").alias("seq"))
+    stream = (ticks.withColumn("_rank", F.lit(len(COMMANDS) + 1)).withColumn("_cmd", F.lit(None).cast(told.schema["_cmd"].dataType))
+              .unionByName(told, allowMissingColumns=True))
+    action = F.col("_cmd.action")
+    source, target = F.coalesce(action == "source", F.lit(False)), F.coalesce(action != "source", F.lit(False))
+    rows = walk(stream, block_s, order=("t_capture", "_rank", "seq")).add(
+        _now=last_known(F.when(target, F.col("_cmd"))), _source=last_known(F.when(source, F.col("_cmd"))),
+        epoch=running_sum(target.cast("bigint")), restarts=running_sum(source.cast("bigint")),
+        resets=running_sum((source | (action == "reset")).cast("bigint"))).rows
+    live = F.col("_now.action") == "set"
+    current = F.coalesce("source_epoch", F.lit(0)) == F.coalesce("_source.source_epoch", F.lit(0))
+    return rows.filter((F.col("_rank") > len(COMMANDS)) & current).select(
+        *ticks.columns, "epoch", "restarts", F.coalesce("resets", F.lit(0)).alias("resets"),
+        F.when(live, F.greatest("_now.at", "_source.at")).alias("t_set"), *[F.when(live, F.col(f"_now.{c}")).alias(c) for c in payload])
+
+
+def _zone_columns(has_target: Column, target_zone: Column, grace_s: float, scope: Column | None = None) -> dict[str, Column]:
+    locked = F.coalesce(F.col("_hit") == (F.col("epoch") if scope is None else scope), F.lit(False))
     waited = F.col("t_capture") - F.col("t_set")
     return {"locked": locked & has_target,
             "in_zone": F.when(~has_target, F.lit(False)).when(target_zone.isNull(), F.lit(True))
@@ -180,21 +210,21 @@ def _zone_columns(has_target: Column, target_zone: Column, grace_s: float) -> di
             "grace_left_s": F.when(has_target & ~locked, F.greatest(F.lit(0.0), F.lit(grace_s) - waited))}
 
 
-def _latest_match(match: Column) -> Carry:
-    """The epoch of the latest match: the target is confirmed from a match on until the epoch changes."""
-    return last_known(F.when(F.coalesce(match, F.lit(False)), F.col("epoch")))
+def _latest_match(match: Column, scope: Column | None = None) -> Carry:
+    """The scope of the latest match: the target is confirmed from a match on until the scope changes."""
+    return last_known(F.when(F.coalesce(match, F.lit(False)), F.col("epoch") if scope is None else scope))
 
 
 def zone_lock(ticks: DataFrame, match: Column, has_target: Column, target_zone: Column,
-              grace_s: float = GRACE_S, block_s: float = BLOCK_S) -> DataFrame:
+              grace_s: float = GRACE_S, block_s: float = BLOCK_S, scope: Column | None = None) -> DataFrame:
     """Zone confirmation since the target was set, and the grace time left.
 
     Confirmed for good by the first match; before that, true while the grace
-    lasts. A target without a zone is always in zone. ``epoch`` never decreases
-    along a session.
+    lasts. A target without a zone is always in zone. ``scope`` (``epoch``) never
+    decreases along a session; a confirmation holds while it stays the same.
     """
-    latched = walk(ticks, block_s).add(_hit=_latest_match(match))
-    return latched.rows.withColumns(_zone_columns(has_target, target_zone, grace_s)).select(
+    latched = walk(ticks, block_s).add(_hit=_latest_match(match, scope))
+    return latched.rows.withColumns(_zone_columns(has_target, target_zone, grace_s, scope)).select(
         *ticks.columns, "locked", "in_zone", "grace_left_s")
 
 

@@ -28,11 +28,11 @@ POI_READ = T.StructType([*POI.fields, T.StructField("_corrupt", T.StringType())]
 # (forget motion and target) or source (capture source changed).
 SESSION_INPUT = _fields(
     "sid bigint, event string, t_capture double, seq bigint, x double, y double, z double, ooc string, "
-    "error string, source_epoch bigint, t_name string, tx double, ty double, tz double, t_ooc string, "
+    "location string, error string, source_epoch bigint, t_name string, tx double, ty double, tz double, t_ooc string, "
     "kind string, ts timestamp")
 
 SESSION_OUTPUT = _fields(
     "sid bigint, event string, t_capture double, seq bigint, status string, reason string, x double, y double, "
     "z double, ooc string, target string, in_zone boolean, measured boolean, px double, py double, pz double, "
     "vx double, vy double, vz double, speed_km_s double, moving boolean, coast_age_s double, integrity string, "
-    "dist_km double, ts timestamp")
+    "dist_km double, yaw_off double, pitch_off double, confident boolean, coord_age_s double, location string, ts timestamp")

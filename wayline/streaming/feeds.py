@@ -57,7 +57,7 @@ def to_telemetry(results: DataFrame) -> DataFrame:
     """Tracker rows as telemetry records; guidance is null without a target."""
     ticks = results.filter(F.col("event") == "tick")
     return ticks.select(
-        "sid", "t_capture", F.unix_micros("ts").cast("double").alias("_us"), "status", "reason", "x", "y", "z", "ooc", "target",
-        F.when(F.col("target").isNotNull(), F.col("dist_km")).alias("dist_km"),
-        F.round("speed_km_s", 6).alias("speed_km_s"), "integrity", F.col("coast_age_s").alias("coord_age_s")
+        "sid", "t_capture", F.unix_micros("ts").cast("double").alias("_us"), "status", "reason", "x", "y", "z", "ooc", "location", "target",
+        *[F.when(F.col("target").isNotNull(), F.col(c)).alias(c) for c in ("yaw_off", "pitch_off", "dist_km")],
+        F.round("speed_km_s", 6).alias("speed_km_s"), "integrity", "coord_age_s"
     ).withColumn("t_wall", F.col("_us") / 1e6).drop("_us")

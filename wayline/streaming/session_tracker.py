@@ -20,10 +20,9 @@ from wayline import schemas
 from wayline.functions.zones import zones_match_local
 from wayline.operators.tracker import (FilterState, GateState, Tuning, filter_step, gate_step,
                                        nullable_list)
-from wayline.operators.tracks import GRACE_S
+from wayline.operators.tracks import COMMANDS, FLIP_DEG, GRACE_S, RECOVER_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COMMANDS = ("source", "reset", "clear", "set")
 
 
 @dataclass
@@ -39,6 +38,8 @@ class Session:
     wall_ms: int | None = None
     shown: str = "LOST"
     was_in_zone: bool = False
+    heading: float | None = None
+    unsteady_until: float | None = None
 
     def dump(self) -> str:
         return json.dumps(asdict(self))
@@ -50,7 +51,7 @@ class Session:
         gate.at = tuple(gate.at) if gate.at else None
         gate.reads = [tuple(p) for p in gate.reads]
         motion = FilterState(**raw.pop("motion"))
-        motion.cov = tuple(motion.cov)
+        motion.cov, motion.offsets = tuple(motion.cov), tuple(motion.offsets) if motion.offsets else None
         return cls(gate=gate, motion=motion, **raw)
 
 
@@ -65,6 +66,10 @@ def in_zone(s: Session, t: float, grace_s: float) -> bool:
 def command(s: Session, row: dict) -> None:
     """Apply a set, clear, reset or source command."""
     event, t = row["event"], row["t_capture"]
+    s.was_in_zone = False  # until the next tick says otherwise
+    if event in ("source", "reset"):
+        s.heading = s.unsteady_until = None
+        s.shown = "LOST"
     if event == "source":
         s.gate, s.motion = GateState(), FilterState(epoch=s.motion.epoch)
         s.source_epoch, s.locked = int(row["source_epoch"]), False
@@ -79,19 +84,28 @@ def command(s: Session, row: dict) -> None:
         s.motion.clear_motion()
 
 
+def steady(s: Session, t: float, heading: float | None) -> bool:
+    """False for a while after a large swing between headings, as ``tracks.heading_confidence``."""
+    if heading is not None:
+        if s.heading is not None and abs((heading - s.heading + 180.0) % 360.0 - 180.0) > FLIP_DEG:
+            s.unsteady_until = t + RECOVER_S
+        s.heading = heading
+    return s.unsteady_until is None or t >= s.unsteady_until
+
+
 def tick(s: Session, row: dict, tuning: Tuning, grace_s: float) -> dict | None:
     """One tick; None when it was captured under an earlier source."""
     if int(row["source_epoch"] or 0) != s.source_epoch:
         return None
     t, zone = row["t_capture"], row["ooc"]
-    failed = row["error"] is not None
+    failed = bool(row["error"])
     fix = None if failed or row["x"] is None else (row["x"], row["y"], row["z"])
     reason, smoothed, zone_reset = gate_step(s.gate, t, fix, zone, tuning)
     if smoothed is not None and s.target is not None and not s.locked:
         s.locked = zones_match_local(zone, s.target["ooc"])
     inside = in_zone(s, t, grace_s)
     target = s.target["at"] if s.target else None
-    took, px, py, pz, vx, vy, vz, speed, moving, age, state, dist = filter_step(
+    took, px, py, pz, vx, vy, vz, speed, moving, age, state, dist, yaw, pitch, heading = filter_step(
         s.motion, t, smoothed, zone_reset, target, s.target["kind"] if s.target else None, inside, s.epoch, tuning)
     s.t, s.shown, s.was_in_zone = t, state, inside
     status = "no_read" if fix is None else "rejected" if reason else "ok"
@@ -100,7 +114,8 @@ def tick(s: Session, row: dict, tuning: Tuning, grace_s: float) -> dict | None:
             "x": row["x"], "y": row["y"], "z": row["z"], "ooc": zone,
             "target": s.target["name"] if s.target else None, "in_zone": inside, "measured": took,
             "px": px, "py": py, "pz": pz, "vx": vx, "vy": vy, "vz": vz, "speed_km_s": speed, "moving": moving,
-            "coast_age_s": age, "integrity": state, "dist_km": dist, "ts": row["ts"]}
+            "coast_age_s": age, "integrity": state, "dist_km": dist, "yaw_off": yaw, "pitch_off": pitch, "confident": steady(s, t, heading),
+            "coord_age_s": s.gate.read_age(t), "location": row["location"], "ts": row["ts"]}
 
 
 def notice(s: Session, event: str, **values) -> dict:
@@ -140,7 +155,7 @@ class SessionTracker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key's rows of one micro-batch; the trigger's rate limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True)
-        batch["_rank"] = (batch["event"] == "tick").astype(int)
+        batch["_rank"] = batch["event"].map({e: k for k, e in enumerate(COMMANDS)}).fillna(len(COMMANDS))
         batch = batch.sort_values(["t_capture", "_rank", "seq"], kind="stable")
         s, out = self._session(), []
         names = list(batch.columns)
