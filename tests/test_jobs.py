@@ -129,6 +129,51 @@ def test_update_keeps_fields_not_supplied_and_import_policies(spark):
     assert C.delete_matching(base, base.filter("pos = 1")).count() == 1
 
 
+def one_by_one(base, new, policy):
+    """The catalogue after each import in turn."""
+    rows = list(base)
+    literal = {n.lower() for n in new}
+    for name in new:
+        at = next((i for i, r in enumerate(rows) if r.lower() == name.lower()), None)
+        if at is not None and policy == "abort":
+            continue
+        if at is not None and policy == "replace":
+            rows.pop(at)
+        if at is not None and policy == "keep_both":
+            taken, i = {r.lower() for r in rows} | literal, 2
+            while f"{name} ({i})".lower() in taken:
+                i += 1
+            name = f"{name} ({i})"
+        rows.append(name)
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("policy", ["replace", "keep_both", "abort"])
+def test_import_of_repeated_names_equals_one_import_after_another(spark, policy, monkeypatch):
+    monkeypatch.setattr(C, "NAME_BLOCK", 2.0)
+    rng = random.Random(8)
+    schema = "pos long, name string, x double, y double, z double, kind string"
+    for _ in range(3):
+        base = [rng.choice(["A", "a", "B", "c"]) + rng.choice(["", "", " (2)", " (3)", " (5)", " (02)", " (99999999999999999999)"]) for _ in range(rng.randrange(25))]
+        new = [rng.choice(["A", "b", "C", "d", "D", "e"]) for _ in range(40)] + ["c (4)"]
+        frame = lambda names: spark.createDataFrame([(i, n, 0.0, 0.0, 0.0, None) for i, n in enumerate(names)], schema)
+        got = C.upsert(frame(base), frame(new).repartition(3), policy, arrival="pos").collect()
+        assert sorted(r["name"] for r in got) == one_by_one(base, new, policy)
+
+
+def test_five_thousand_classes_are_scored_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(5000, 16))
+    df = spark.createDataFrame([(i, f"c{i:04d}", v.tolist()) for i, v in enumerate(vectors)], "id long, label string, v array<double>").repartition(3)
+    templates = M.build_templates(df, "label", "v")
+    got = {r["id"]: r for r in M.score_against(df, "v", templates, "label").collect()}
+    assert len(got) == 5000 and all(r["best"] == r["label"] and abs(r["score"] - 1) < 1e-9 for r in got.values())
+    few = M.score_against(df.filter("id < 5"), "v", templates.filter("label < 'c0003'"), "label", (4, 4), 1, 1, block_classes=1).collect()
+    one = M.score_against(df.filter("id < 5"), "v", templates.filter("label < 'c0003'"), "label", (4, 4), 1, 1).collect()
+    assert sorted((r["id"], r["best"], round(r["score"], 9)) for r in few) == sorted((r["id"], r["best"], round(r["score"], 9)) for r in one) and len(one) == 5
+    assert [(r["best"], r["score"]) for r in M.score_against(df.limit(1), "v", templates.limit(0), "label").collect()] == [(None, None)]
+
+
 def test_parameter_limits(spark):
     rows = [("sigma_a", "0", 0.001), ("sigma_a", "junk", 1.0), ("gate_nis", "1e9", 1e5), ("arrival_radius_m", "1e9", 1e9), ("coast_s", None, 2.0)]
     df = spark.createDataFrame(rows, "n string, v string, want double")
@@ -159,13 +204,18 @@ def test_weighted_resampling_shares(spark):
     df = spark.range(20000).select("id", (F.col("id") % 4 == 0).alias("real"))
     out = U.weighted_resample(df, F.when(F.col("real"), 3.0).otherwise(1.0), F.col("id"), seed=1)
     n, real = out.count(), out.filter("real").count()
-    assert abs(n - 20000) < 600 and abs(real / n - 0.5) < 0.02 and out.select("id").distinct().count() < n
+    assert n == 20000 and abs(real / n - 0.5) < 0.02 and out.select("id").distinct().count() < n
+    again = U.weighted_resample(df.repartition(7), F.when(F.col("real"), 3.0).otherwise(1.0), F.col("id"), seed=1)
+    assert sorted(again.collect()) == sorted(out.collect())
 
 
 def test_a_row_that_outweighs_all_others_is_drawn_as_often(spark):
     df = spark.range(2000)
     out = U.weighted_resample(df, F.when(F.col("id") == 7, 1e6).otherwise(1.0), F.col("id"), seed=3)
-    assert abs(out.filter("id = 7").count() - 1996) < 200 and out.filter("id <> 7").count() < 30
+    assert out.count() == 2000 and out.filter("id <> 7").count() < 30
+    none = U.weighted_resample(df, F.when(F.col("id") < 3, F.col("id")), F.col("id"), seed=3)
+    assert none.count() == 2000 and {r["id"] for r in none.distinct().collect()} == {1, 2}
+    assert U.weighted_resample(df.filter("id < 0"), F.lit(1.0), F.col("id"), seed=3).count() == 0
 
 
 def test_stride_cap_labels_and_stems(spark):

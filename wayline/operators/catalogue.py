@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.display import fixed
 from wayline.functions.text import stripped
+from wayline.operators.ordered import Walk, last_known, row_index
 
 # Categories in display order with label and colour, and the names
 # older catalogues used.
@@ -206,43 +207,71 @@ def duplicates(imported: DataFrame, existing: DataFrame) -> DataFrame:
     return imported.join(taken, F.lower(imported["name"]) == F.col("_n"), "left_semi")
 
 
-def next_free_names(wanted: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
-    """``name (i)`` with the smallest unused ``i >= 2``, ignoring case.
+#: Names or numbers of one base that stand in one block of a running value.
+NAME_BLOCK = 65536.0
+_NUMBERED = r"(?s)^(.*) \(([1-9]\d{0,17})\)$"
+
 
-    Used numbers come from the names themselves; the answer is the smallest
-    successor of a used number (or of 1) that is not used, found by an anti-join.
+def free_numbers(wanted: DataFrame, used: DataFrame) -> DataFrame:
+    """``number`` for every ``(base, k)``: the k-th number from 2 on that is not among the base's used ones.
+
+    ``used``: ``base, i``, each once. The r-th used number i has i - 1 - r unused
+    ones below it; the largest r for which these are fewer than k gives k + 1 + r.
+    Found by one ordered pass over used and wanted numbers of a base, in blocks.
     """
-    pattern = r"(?s)^(.*) \(([1-9]\d{0,17})\)$"
-    low = F.lower(F.col(name))
-    used = (existing.filter(low.rlike(pattern))
-            .select(F.regexp_extract(low, pattern, 1).alias("_base"),
-                    F.regexp_extract(low, pattern, 2).cast("bigint").alias("_i")).filter(F.col("_i") >= 2).distinct())
-    bases = wanted.select(name, F.lower(name).alias("_base")).distinct()
-    tries = (bases.select("_base", F.lit(2).cast("bigint").alias("_i")).distinct()
-             .union(used.select("_base", (F.col("_i") + 1).alias("_i"))))
-    free = (tries.join(used, ["_base", "_i"], "left_anti").groupBy("_base").agg(F.min("_i").alias("_i")))
-    return (bases.join(free, "_base")
-            .select(name, F.concat(F.col(name), F.lit(" ("), F.col("_i").cast("string"), F.lit(")")).alias("free_name")))
-
-
-def upsert(existing: DataFrame, imported: DataFrame, policy: str, position: str = "pos") -> DataFrame:
-    """Append imported rows; on a taken name replace its first row, keep both, or abort.
-
-    ``position`` orders the catalogue. Imported names are expected to differ
-    from each other.
+    ranked = Walk.along(used.filter(F.col("i") >= 2), ("base",), ("i",), NAME_BLOCK).add(r=row_index())
+    gaps = ranked.select("base", (F.col("i") - F.col("r")).alias("_at"), F.lit(0).alias("_rank"), "r", F.lit(None).cast("bigint").alias("k"))
+    asked = wanted.select("base", F.col("k").alias("_at"), F.lit(1).alias("_rank"), F.lit(None).cast("bigint").alias("r"), "k")
+    met = Walk.along(gaps.unionByName(asked), ("base",), ("_at", "_rank", "r"), NAME_BLOCK).add(below=last_known(F.col("r")))
+    return met.rows.filter("_rank = 1").select("base", "k", (F.col("k") + 1 + F.coalesce("below", F.lit(0))).alias("number"))
+
+
+def used_numbers(*catalogues: DataFrame, name: str = "name") -> DataFrame:
+    """``base, i`` of all names of the form ``base (i)``, in lower case; longer numbers are never reached."""
+    lows = [c.select(F.lower(F.col(name)).alias("n")) for c in catalogues]
+    every = lows[0] if len(lows) == 1 else lows[0].union(lows[1])
+    return (every.filter(F.col("n").rlike(_NUMBERED))
+            .select(F.regexp_extract("n", _NUMBERED, 1).alias("base"), F.regexp_extract("n", _NUMBERED, 2).cast("bigint").alias("i")).distinct())
+
+
+def next_free_names(wanted: DataFrame, existing: DataFrame, name: str = "name") -> DataFrame:
+    """``name (i)`` with the smallest unused ``i >= 2``, ignoring case, for each different name."""
+    names = wanted.select(name, F.lower(name).alias("base")).distinct()
+    free = free_numbers(names.select("base", F.lit(1).cast("bigint").alias("k")).distinct(), used_numbers(existing, name=name))
+    return (names.join(free, "base")
+            .select(name, F.concat(F.col(name), F.lit(" ("), F.col("number").cast("string"), F.lit(")")).alias("free_name")))
+
+
+def upsert(existing: DataFrame, imported: DataFrame, policy: str, position: str = "pos", arrival: str | None = None) -> DataFrame:
+    """Import rows one after another into a catalogue; on a taken name replace, keep both, or abort.
+
+    ``position`` orders the catalogue, ``arrival`` (a number) the imports; without
+    it they come as they stand. A name that the import itself repeats is taken
+    from its second row on. ``replace`` removes the first row of the name, so
+    that of m old and k new ones the last max(m, 1) stay. ``keep_both`` gives the
+    k-th such row the k-th number that no name has, neither in the catalogue nor
+    literally in the import. ``abort`` adds a name once, where it is free.
     """
-    taken = duplicates(imported, existing)
+    keys = ("_n",)
+    old = existing.withColumn("_n", F.lower("name"))
+    new = (imported.withColumn("_a", F.col(arrival) if arrival else F.monotonically_increasing_id()).withColumn("_n", F.lower("name")))
+    told = Walk.along(new, keys, ("_a",), NAME_BLOCK).add(_k=row_index()).rows
+    have = old.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"))
+    came = new.groupBy("_n").agg(F.count(F.lit(1)).alias("_came"))
+    told = told.join(have, "_n", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    keep = old
     if policy == "abort":
-        keep, add = existing, imported.join(taken.select("name"), "name", "left_anti")
+        add = told.filter("_m = 0 and _k = 1")
     elif policy == "keep_both":
-        renamed = next_free_names(taken, existing)
-        add = (imported.join(renamed, "name", "left").withColumn("name", F.coalesce("free_name", "name"))
-               .drop("free_name"))
-        keep = existing
+        asked = told.withColumn("k", F.col("_k") - F.when(F.col("_m") > 0, 0).otherwise(1))
+        numbers = free_numbers(asked.filter("k > 0").select(F.col("_n").alias("base"), "k"), used_numbers(existing, imported))
+        numbered = F.concat(F.col("name"), F.lit(" ("), F.col("number").cast("string"), F.lit(")"))
+        add = (asked.join(numbers.withColumnRenamed("base", "_n"), ["_n", "k"], "left")
+               .withColumn("name", F.when(F.col("k") > 0, numbered).otherwise(F.col("name"))))
     elif policy == "replace":
-        first = existing.groupBy(F.lower("name").alias("_n")).agg(F.min(position).alias(position))
-        gone = first.join(imported.select(F.lower("name").alias("_n")).distinct(), "_n", "left_semi")
-        keep, add = existing.join(gone.select(position), position, "left_anti"), imported
+        ranked = Walk.along(old, keys, (position,), NAME_BLOCK).add(_r=row_index()).rows
+        keep = ranked.join(came, "_n", "left").filter(F.col("_r") > F.coalesce("_came", F.lit(0)))
+        add = told.join(came, "_n").filter(F.col("_k") > F.col("_came") - F.greatest(F.col("_m"), F.lit(1)))
     else:
         raise ValueError(f"unknown conflict policy: {policy}")
     filled = add.withColumn("kind", _or(F.col("kind"), "space"))

@@ -6,17 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import text as X
-from wayline.operators.ordered import Ordering, mark_smallest, row_index, running_sum, scan
+from wayline.operators.ordered import Ordering, Walk, deal, last_known, mark_smallest, row_index, running_sum
 
 # Routing thresholds, sampling stride and cap, largest random gap.
 REVIEW_FROM, AUTO_FROM = 0.65, 0.85
 STRIDE, FRAMES_PER_SOURCE = 15, 600
 GAP_MAX = 15
 
-# A Poisson draw of a mean up to POISSON_PART ends within POISSON_TERMS terms, to
-# far below the grain of a double.
-POISSON_PART, POISSON_TERMS = 20.0, 120
-
 # Characters a reader is expected to know.
 NUMERIC = "0123456789.-"
 UNIT = "km"
@@ -83,20 +79,25 @@ def stride_sample(df: DataFrame, source: str, frame: str, stride: int = STRIDE,
     return picked.join(kept, [source, frame], "left_semi")
 
 
+def keyed_number(*parts: Column) -> Column:
+    """A number below 2**52 that the given values decide, the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("bigint")
+
+
 def random_gap_sample(df: DataFrame, source: str, frame: str, seed: int, gap_max: int = GAP_MAX,
                       block_frames: int = 65536) -> DataFrame:
     """Frames hit by a walk from the first frame with uniform gaps of 1 to ``gap_max``.
 
     The k-th gap is a hash of seed, source and k, so reruns pick the same frames.
+    Rows without source or frame are never picked.
     """
-    frames = df.select(source, frame).distinct().withColumn("_b", F.floor(F.col(frame) / block_frames))
-    ordering = Ordering((source,), (frame,), ("_b",))
-    numbered = scan(frames, ordering, _k=row_index())
-    gap = F.pmod(F.xxhash64(F.lit(seed), F.col(source), F.col("_k")), F.lit(gap_max)) + 1
-    walked = scan(numbered.withColumn("_gap", gap), ordering, _end=running_sum(F.col("_gap")))
-    hits = walked.select(source, (F.col("_end") - F.col("_gap")).alias("_at"))
-    chosen = numbered.join(hits, (numbered[source] == hits[source]) & (numbered["_k"] - 1 == hits["_at"]), "left_semi")
-    return df.join(chosen.select(source, frame), [source, frame], "left_semi")
+    frames = df.select(source, frame).distinct()
+    numbered = Walk.along(frames, (source,), (frame,), float(block_frames)).add(_k=row_index())
+    gap = keyed_number(F.lit(str(seed)), F.col(source).cast("string"), F.col("_k").cast("string")) % gap_max + 1
+    walked = numbered.add(_end=running_sum(gap))
+    hits = walked.select(source, (F.col("_end") - gap).alias("_at"))
+    steps = numbered.select(source, frame, (F.col("_k") - 1).alias("_at"))
+    return df.join(steps.join(hits, [source, "_at"], "left_semi").select(source, frame), [source, frame], "left_semi")
 
 
 def _hash_prefix(c: str) -> Column:
@@ -119,34 +120,27 @@ def stratified_split(df: DataFrame, label: str, key: Column, tie: str, ratio: fl
             .withColumn("split", F.when(F.col("chosen"), "val").otherwise("train")).drop("_h", "chosen"))
 
 
-def weighted_resample(df: DataFrame, weight: Column, key: Column, seed: int) -> DataFrame:
-    """Sampling with replacement, each row in proportion to its weight.
+def weighted_resample(df: DataFrame, weight: Column, key: Column, seed: int, blocks: int = 65536) -> DataFrame:
+    """As many draws with replacement as there are rows, each row in proportion to its weight.
 
-    Row counts are independent Poisson draws with the proportional mean, so the
-    expected size is the input size. A large mean is the sum of draws of small
-    ones. Two totals are all the driver sees.
+    The rows take intervals of their weights one after another, in the order of a
+    hash of ``key``; the k-th draw is a hash of seed and k and takes the row in
+    whose interval it falls. Rows and draws meet as one ordered stream in blocks,
+    so that neither heavy rows nor many draws of one row gather in a task. Rows
+    of weight zero or null are never drawn; keys should differ.
     """
-    n, total = df.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if not n:
-        return df
-
-    def draw(mean: Column, part: Column) -> Column:
-        """Inversion of the distribution function; the series ends where it reaches the uniform draw."""
-        u = F.pmod(F.xxhash64(F.lit(seed), key, part), F.lit(1 << 52)).cast("double") / float(1 << 52)
-        start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).cast("bigint").alias("k"))
-
-        def grow(acc: Column, i: Column) -> Column:
-            p = acc["p"] * mean / i
-            return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["k"] + F.when(u >= acc["cdf"], 1).otherwise(0)).alias("k"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), start, grow)["k"]
-
-    def drawn(m: Column) -> Column:
-        parts = F.greatest(F.lit(1), F.ceil(m / POISSON_PART)).cast("int")
-        return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0).cast("bigint"), lambda k, part: k + draw(m / parts, part))
-
-    copies = X.let(weight * F.lit(n / total), drawn)
-    return (df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-            .withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_c"))
+    names = df.columns
+    rows = df.select(F.struct(*names).alias("_row"), F.coalesce(weight.cast("double"), F.lit(0.0)).alias("_w"),
+                     keyed_number(key.cast("string")).alias("_h"), key.cast("string").alias("_id"), F.lit(0).alias("_all"))
+    laid = Walk.along(rows, ("_all",), ("_h", "_id"), float(1 << 52) / blocks).add(_k=row_index(), _to=running_sum(F.col("_w")))
+    total = rows.select(F.sum("_w").alias("_total"))
+    intervals = laid.rows.filter("_w > 0").select((F.col("_to") - F.col("_w")).alias("_at"), F.lit(0).alias("_rank"), F.col("_k"), "_row")
+    u = keyed_number(F.lit(str(seed)), F.col("_k").cast("string")) / F.lit(float(1 << 52))
+    draws = laid.select((u * total.scalar()).alias("_at"), F.lit(1).alias("_rank"), "_k", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    both = intervals.unionByName(draws).select("*", F.lit(0).alias("_all"), F.floor(F.col("_at") / total.scalar() * blocks).alias("_block"))
+    ordering = Ordering(("_all",), ("_at", "_rank", "_k"), ("_block",))
+    met = Walk(deal(both, *ordering.parts), ordering).add(_drawn=last_known(F.col("_row")))
+    return met.rows.filter("_rank = 1").select("_drawn.*").select(*names)
 
 
 def real_and_synthetic(real: DataFrame, synthetic: DataFrame) -> DataFrame:

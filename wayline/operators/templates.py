@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wayline.functions.text import let
 
@@ -17,8 +20,8 @@ CORRELATION_FLOOR, PROBABILITY_FLOOR = 0.78, 0.85
 SHIFT_X, SHIFT_Y = 2, 1
 DOT_HEIGHT, DOT_WIDTH, DOT_SCORE = 8, 6, 0.99
 
-# Templates are one row per class of an alphabet; more means the label column is wrong.
-MAX_CLASSES = 4096
+#: Items that go through one matrix product, and classes of a block of templates.
+ITEM_ROWS, BLOCK_CLASSES = 1024, 1024
 
 
 def centred(v: Column) -> Column:
@@ -61,14 +64,6 @@ def build_templates(samples: DataFrame, label: str, vector: str) -> DataFrame:
     return rows.select(label, unit.alias("template"))
 
 
-def template_matrix(templates: DataFrame, label: str) -> tuple[list, np.ndarray]:
-    """Templates on the driver, checked to be one row per class of an alphabet."""
-    rows = templates.orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} template classes")
-    return [row[label] for row in rows], np.array([row["template"] for row in rows], dtype="float64")
-
-
 def shifted(matrix: np.ndarray, shape: tuple[int, int], dx: int, dy: int) -> np.ndarray:
     """All circular shifts of every template, stacked as (shifts, classes, pixels)."""
     images = matrix.reshape(len(matrix), *shape)
@@ -76,35 +71,77 @@ def shifted(matrix: np.ndarray, shape: tuple[int, int], dx: int, dy: int) -> np.
                      for y in range(-dy, dy + 1) for x in range(-dx, dx + 1)])
 
 
+def _packed(items: DataFrame) -> DataFrame:
+    """Some rows of items at a time as one row, with a number of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ITEM_ROWS):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(at, ITEM_ROWS)
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_pydict({"_pack": pa.array([(task << 33) + made]), "_items": pa.array([sink.getvalue().to_pybytes()])})
+                made += 1
+
+    return items.mapInArrow(run, "_pack long, _items binary")
+
+
 def score_against(items: DataFrame, vector: str, templates: DataFrame, label: str,
-                  shape: tuple[int, int] | None = None, dx: int = 0, dy: int = 0) -> DataFrame:
+                  shape: tuple[int, int] | None = None, dx: int = 0, dy: int = 0, block_classes: int = BLOCK_CLASSES) -> DataFrame:
     """Best class and its correlation per item, as ``best`` and ``score``.
 
     A shift of the item equals the opposite shift of the template, so shifted
-    templates are built once and a batch is scored by one matrix product.
-    The first class wins ties.
+    templates are built once for many items. The first class wins ties; without
+    templates both are null.
+
+    Rows of about a thousand items meet blocks of about a thousand templates, one
+    matrix product each; the best of an item's blocks stays. Neither side passes
+    the driver, which only learns the number of classes.
     """
-    classes, matrix = template_matrix(templates, label)
-    stack = shifted(matrix, shape, dx, dy) if shape else matrix[None]
-    shifts, n_classes, size = stack.shape
-    flat = stack.reshape(shifts * n_classes, size).T
+    blocks = max(-(-templates.count() // block_classes), 1)
     kind = templates.schema[label].dataType
-    schema = T.StructType([*items.schema.fields, T.StructField("best", kind), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(best=pd.Series(dtype="object"), score=pd.Series(dtype="float64"))
-                continue
-            v = np.stack([np.asarray(x, dtype="float64") for x in pdf[vector]])
-            v = v - v.mean(axis=1, keepdims=True)
-            size_of = np.sqrt((v * v).sum(axis=1))
-            scores = (v @ flat).reshape(len(v), shifts, n_classes).max(axis=1)
-            scores = np.divide(scores, size_of[:, None], out=np.zeros_like(scores), where=size_of[:, None] > 0)
-            top = scores.argmax(axis=1)
-            yield pdf.assign(best=[classes[i] for i in top], score=scores[np.arange(len(v)), top])
-
-    return items.mapInPandas(run, schema)
+    sides = templates.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(label).alias("c"), F.col("template").alias("t")))).alias("_block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
+    pairs = _packed(items).select("*", every).join(sides.select("_b", F.col("_block.c").alias("_labels"), F.col("_block.t").alias("_templates")), "_b", "left")
+    names = items.columns
+    scored = [T.StructField("best", kind), T.StructField("score", T.DoubleType())]
+    arrow = to_arrow_schema(T.StructType([*items.schema.fields, *scored]))
+
+    def product(v: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stack = shifted(flat, shape, dx, dy) if shape else flat[None]
+        v = v - v.mean(axis=1, keepdims=True)
+        size = np.sqrt((v * v).sum(axis=1))[:, None]
+        scores = (v @ stack.reshape(-1, stack.shape[2]).T).reshape(len(v), len(stack), -1).max(axis=1)
+        scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
+        top = scores.argmax(axis=1)
+        return top, scores[np.arange(len(v)), top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pack, data, labels, flat = (batch.column(c)[i] for c in ("_pack", "_items", "_labels", "_templates"))
+                rows = pa.ipc.open_stream(data.as_py()).read_next_batch()
+                best, score = pa.nulls(rows.num_rows, arrow.field("best").type), pa.nulls(rows.num_rows, pa.float64())
+                if rows.num_rows and labels.is_valid:
+                    v = np.stack([np.asarray(x, dtype="float64") for x in rows.column(vector).to_pylist()])
+                    top, at = product(v, np.array(flat.as_py(), dtype="float64"))
+                    best, score = labels.values.take(pa.array(top)).cast(arrow.field("best").type), pa.array(at)
+                columns = [*[rows.column(c) for c in names], best, score]
+                if blocks > 1:
+                    columns += [pa.array(np.full(rows.num_rows, pack.as_py())), pa.array(np.arange(rows.num_rows))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "best", "score", *(["_pack", "_i"] if blocks > 1 else [])])
+
+    schema = T.StructType([*items.schema.fields, *scored])
+    if blocks == 1:
+        return pairs.mapInArrow(run, schema)
+    each = pairs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_pack", T.LongType()), T.StructField("_i", T.LongType())]))
+    rank = F.struct((-F.col("score")).alias("s"), F.col("best").alias("b"))
+    row = F.struct(*[F.col(c) for c in names], "best", "score")
+    # A block without templates has no score and loses to any other.
+    won = each.groupBy("_pack", "_i").agg(F.coalesce(F.min_by(row, F.when(F.col("score").isNotNull(), rank)), F.first(row)).alias("_r"))
+    return won.select("_r.*")
 
 
 def accept_class(best: Column, score: Column, floor: float = CORRELATION_FLOOR, width: Column | None = None,

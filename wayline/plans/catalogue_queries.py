@@ -108,14 +108,48 @@ def j5(spark, sf_dir):
     return C.duplicates(_imported(spark, sf_dir), _parts(spark, sf_dir)).select("name")
 
 
-@query("j6_import_replace", "with " + _PT + ", " + _IMP + ", fi as (select min(pos) as pos from pt where lower(name) in (select lower(name) from im) group by lower(name)) select name, x, y, z, kind, ooc from pt where pos not in (select pos from fi) union all select name, x, y, z, 'space', ooc from im")
+# Imports that repeat names, and a catalogue that has some numbered ones.
+_REP = _PT + """, nb as (select pos+10000000 as pos, concat(name,' (',cast(pos%40+2 as string),')') as name, x, y, z, kind, ooc from pt where pos%3<>1),
+ol as (select * from pt where pos%4<>0 union all select * from nb),
+iw as (select p_partkey as a, case when p_partkey%7=0 then concat('only ', cast(p_partkey%13 as string)) when p_partkey%5=0 then upper(p_name) else p_name end as name, cast(9 as double) as x, cast(1 as double) as y, cast(2 as double) as z,
+ cast(null as varchar) as kind, 'new' as ooc from part where p_partkey%2=0),
+ik as (select *, row_number() over (partition by lower(name) order by a) as k, count(*) over (partition by lower(name)) as came, (select count(*) from ol where lower(ol.name)=lower(iw.name)) as m from iw)"""
+
+
+def _old_catalogue(spark, sf_dir):
+    pt = _parts(spark, sf_dir)
+    numbered = pt.filter("pos % 3 <> 1").withColumn("name", F.expr("concat(name, ' (', cast(pos % 40 + 2 as string), ')')")).withColumn("pos", F.col("pos") + 10000000)
+    return pt.filter("pos % 4 <> 0").unionByName(numbered)
+
+
+def _repeating_import(spark, sf_dir):
+    return V.table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").selectExpr(
+        "p_partkey as a", "case when p_partkey%7=0 then concat('only ', cast(p_partkey%13 as string)) when p_partkey%5=0 then upper(p_name) else p_name end as name",
+        "9.0D as x", "1.0D as y", "2.0D as z", "cast(null as string) as kind", "'new' as ooc")
+
+
+def _import(spark, sf_dir, policy):
+    return C.upsert(_old_catalogue(spark, sf_dir), _repeating_import(spark, sf_dir), policy, arrival="a")
+
+
+@query("j6_import_replace", "with " + _REP + """, ok as (select *, row_number() over (partition by lower(name) order by pos) as r from ol)
+select name, x, y, z, kind, ooc from ok where r > coalesce((select max(came) from ik where lower(ik.name)=lower(ok.name)), 0) union all select name, x, y, z, 'space', ooc from ik where k > came - greatest(m, 1)""")
 def j6(spark, sf_dir):
-    return C.upsert(_parts(spark, sf_dir), _imported(spark, sf_dir), "replace")
+    return _import(spark, sf_dir, "replace")
 
 
-@query("j6_import_keep_both", "with " + _PT + ", " + _IMP + " select name, x, y, z, kind, ooc from pt union all select case when lower(name) in (select lower(name) from pt) then concat(name,' (2)') else name end, x, y, z, 'space', ooc from im")
+@query("j6_import_keep_both", "with " + _REP + """, nm as (select distinct lower(name) as n from ol union select distinct lower(name) from iw),
+wt as (select lower(name) as base, max(k) as most from ik group by 1),
+fr as (select base, i, row_number() over (partition by base order by i) as kk from wt, unnest(range(2, most + 45)) as u(i) where concat(base,' (',cast(i as string),')') not in (select n from nm))
+select name, x, y, z, kind, ooc from ol union all
+select case when kk is null then name else concat(name,' (',cast(fr.i as string),')') end, x, y, z, 'space', ooc from (select *, case when m > 0 then k else k-1 end as want from ik) w left join fr on fr.base=lower(w.name) and fr.kk=w.want""")
 def j6b(spark, sf_dir):
-    return C.upsert(_parts(spark, sf_dir), _imported(spark, sf_dir), "keep_both")
+    return _import(spark, sf_dir, "keep_both")
+
+
+@query("j6_import_abort", "with " + _REP + " select name, x, y, z, kind, ooc from ol union all select name, x, y, z, 'space', ooc from ik where m=0 and k=1")
+def j6c(spark, sf_dir):
+    return _import(spark, sf_dir, "abort")
 
 
 @query("j7_delete_matching", "with " + _PT + " select pos, name, x from pt where not ((name, x) in (select name, x from pt where pos%50=7))")

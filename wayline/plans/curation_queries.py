@@ -77,7 +77,13 @@ def t9(spark, sf_dir):
     return U.stride_sample(_pair(spark, sf_dir), "source", "doc_id", 3, 20, bucket_frames=64).select("doc_id", "source")
 
 
-@query("t10_random_gap_sample")
+def _keyed(text: str) -> str:
+    """``curation.keyed_number`` in oracle SQL."""
+    return f"('0x' || substr(md5({text}),1,13))::bigint"
+
+
+@query("t10_random_gap_sample", V.duck("pair", body="fr as (select source, doc_id, row_number() over (partition by source order by doc_id) as k from (select distinct source, doc_id from pair where source is not null)), "
+       + f"gp as (select *, {_keyed(chr(39) + '42|' + chr(39) + '||source||' + chr(39) + '|' + chr(39) + '||k')} % 15 + 1 as gap from fr), wk as (select source, sum(gap) over (partition by source order by k rows unbounded preceding) - gap as reached from gp) select fr.doc_id, fr.source from fr where (source, k-1) in (select source, reached from wk)"))
 def t10(spark, sf_dir):
     return U.random_gap_sample(_pair(spark, sf_dir), "source", "doc_id", seed=42).select("doc_id", "source")
 
@@ -94,7 +100,10 @@ def t12(spark, sf_dir):
     return U.stratified_split(df, "label", F.col("relpath"), "doc_id", 0.2).select("doc_id", "label", "split")
 
 
-@query("t13_weighted_resample")
+@query("t13_weighted_resample", f"""with lb as (select *, case when quality=1 then 3::double else 1 end as w, {_keyed("doc_id::varchar")} as h from labels),
+o as (select *, row_number() over (order by h, doc_id::varchar) as k, sum(w) over (order by h, doc_id::varchar rows unbounded preceding) - w as lo, sum(w) over () as tot from lb),
+d as (select {_keyed("'42|' || k")} / 4503599627370496::double * tot as u from o)
+select o.* exclude (w, h, k, lo, tot) from d asof join o on d.u >= o.lo""")
 def t13(spark, sf_dir):
     labels = V.table(spark, sf_dir, "labels")
     weight = F.when(F.col("quality") == 1, 3.0).otherwise(1.0)
