@@ -36,3 +36,11 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [tuple(r) for r in U.judge(pages, rules, default="block").collect()] == [(1, "a.com", "/", None, "block")]
     assert U.judge(pages.limit(0), spark.createDataFrame(U.RULES, "host string, path string, verdict string")).count() == 0
+
+
+def test_a_host_of_many_labels(spark):
+    host = "a." * 100_000 + "www.example.com"
+    rules = spark.createDataFrame(U.RULES, "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://" + "." * 100_000), (3, "http://x.net/fr/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages, rules).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: (None, "allow"), 3: ("net/fr/", "block")}

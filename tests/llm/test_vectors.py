@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -63,5 +65,17 @@ def test_few_rows_and_none(spark):
     assert [r.vec_id for r in vp_search.search(few).orderBy("rank").collect()] == [1, 2]
     for search in (exact_topk.search, vp_search.search):
         assert search(frame(spark, [])).count() == 0 and search(frame(spark, [(0, [1.0])])).count() == 0
-    with pytest.raises(ValueError):
-        exact_topk.search(frame(spark, [(0, [1e30])]))
+
+
+def test_long_vectors_are_scored_exactly(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(-1, 9)).tolist()) for i in range(150)]
+    rows += [(150, [1e6, 1.0, 0.0]), (151, [3e5, 3e5, -3e5]), (152, [2.0 ** 40, -(2.0 ** 40), 1.0]), (153, [1e30, 0.0, 0.0]), (200, [-1e30, 5.0, 0.0]), (154, [1e305, 1.0, 1.0])]  # the last one's whole numbers are those of doubles
+    x = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    limit = 2 ** 63 - 1
+    want = []
+    for q in sorted(i for i in x if i % 50 == 0):
+        best = sorted((-max(-limit, min(limit, sum(a * b for a, b in zip(x[q], v)))), i) for i, v in x.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    got = exact_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=40).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want

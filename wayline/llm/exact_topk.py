@@ -17,13 +17,39 @@ from pyspark.sql import functions as F
 from wayline.llm.blocks import meet, shards_for, vectors
 from wayline.llm.common import settle
 
-#: Scores are exact in double arithmetic below this.
-EXACT = 1 << 52
+#: Sums of products are exact in double arithmetic below this, and in 64-bit integers below that.
+EXACT, WHOLE = 1 << 52, 1 << 62
+#: Scores beyond 64 bits count as this or its opposite.
+LIMIT = (1 << 63) - 1
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products, rows by queries."""
-    return (x @ q.T).astype(np.int64)
+    """Integer inner products, rows by queries; exact for vectors of any length.
+
+    No partial sum is larger than the product of the two lengths, by which rows
+    and queries are told apart: doubles do for most, 64-bit integers for long
+    ones and Python's for those beyond.
+    """
+    out = np.empty((len(x), len(q)), np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        long_x, long_q = (np.sqrt((v * v).sum(axis=1)) for v in (x, q))
+        short = long_x * long_q.max(initial=0) < EXACT
+        out[short] = x[short] @ q.T
+        rest = np.flatnonzero(~short)
+        if not len(rest):
+            return out
+        plain = long_q * long_x[rest].max() < EXACT
+        out[np.ix_(rest, plain)] = x[rest] @ q[plain].T
+        far = np.flatnonzero(~plain)
+        whole = long_x[rest] * long_q[far].max(initial=0) < WHOLE
+        narrow = whole & (long_x[rest] < WHOLE)
+        if len(far) and long_q[far].max() < WHOLE and narrow.any():
+            out[np.ix_(rest[narrow], far)] = x[rest[narrow]].astype(np.int64) @ q[far].astype(np.int64).T
+            rest = rest[~narrow]
+    if len(rest) and len(far):
+        exact = [[sum(int(a) * int(b) for a, b in zip(v, w)) for w in q[far]] for v in x[rest]]
+        out[np.ix_(rest, far)] = [[max(-LIMIT, min(LIMIT, s)) for s in row] for row in exact]
+    return out
 
 
 def search(df: DataFrame, every: int = 50, k: int = 5, cells: int = 512, scale: float = 256.0, shard_rows: int = 4096, id_col: str = "vec_id",
@@ -33,17 +59,21 @@ def search(df: DataFrame, every: int = 50, k: int = 5, cells: int = 512, scale:
     Components become floor(scale * x). query_id, rank from 1, vec_id, score;
     ties go to smaller ids; a query's own id is no candidate. Null vectors and
     those with null or non-finite components take no part; rows of one id count
-    once, with the smallest vector. Vectors so long that a product might leave
-    the integers that doubles hold exactly are refused with an error.
+    once, with the smallest vector. Scores are exact; one beyond 64 bits counts as
+    the nearest of them but the lowest. An empty table gives no rows; other
+    columns may have any name.
     """
-    data = vectors(df, id_col, vec_col, zero=True).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
+    def whole(x):
+        y = F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), x * scale))
+        return F.when(F.abs(y) < float(EXACT), F.floor(F.when(F.abs(y) < float(EXACT), y)).cast("double")).otherwise(y)  # larger ones are whole
+
+    data = vectors(df, id_col, vec_col, zero=True).withColumn("vec", F.transform("vec", whole))
     data = settle(data)
     rows, longest = data.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not rows:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if longest > EXACT:
-        raise ValueError("vectors are too long for exact integer products")
-    bound = int(longest) + 1  # no product is larger than the longest vector's with itself
+    # No product is larger than the longest vector's with itself.
+    bound = min(int(longest * (1 + 1e-9)) + 1, LIMIT) if longest < LIMIT else LIMIT
     width = 1
     while width * cells <= 2 * bound + 1:
         width *= cells
@@ -59,13 +89,13 @@ def search(df: DataFrame, every: int = 50, k: int = 5, cells: int = 512, scale:
                 out = [[], [], []]
                 for j, i in enumerate(query_ids):
                     own = s[ids != i, j]
-                    cell = (own - low[j, 0]) // width
-                    inside = cell[(cell >= 0) & (cell < cells)]
-                    at, n = np.unique(inside, return_counts=True)
+                    # Differences of any two scores fit unsigned integers.
+                    cell = (own[own >= low[j, 0]].view(np.uint64) - low[j, :1].view(np.uint64)) // np.uint64(width)
+                    at, n = np.unique(cell[cell < cells], return_counts=True)
                     above = np.cumsum(n[::-1])[::-1]
                     top = above - n < low[j, 1]  # cells that the task's own scores above don't fill
                     out[0].append(np.full(top.sum(), i))
-                    out[1].append(low[j, 0] + at[top] * width)
+                    out[1].append((low[j, :1].view(np.uint64) + at[top] * np.uint64(width)).view(np.int64))
                     out[2].append(n[top])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "cell", "n"])
             return ask

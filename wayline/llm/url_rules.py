@@ -31,10 +31,10 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def parent_domains(host: Column) -> Column:
-    """The reversed host cut after its first label, its second, and so on up to all of it."""
-    labels = F.reverse(F.split(host, r"\.", -1))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
+def parent_domains(host: Column, most: Column) -> Column:
+    """The reversed host cut after its first label, its second, and so on, up to so many or all of it."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.transform(F.sequence(F.lit(1), F.least(labels, most)), lambda n: reversed_host(F.substring_index(host, ".", -n)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = 32, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -63,7 +63,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int
     urls = (pick(pages, page_id=id_col, url=url_col).withColumn("host", host).withColumn("path", path)
             .groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies")))
     ruled = known.select("domain").distinct()
-    keys = (urls.where("host <> ''").withColumn("domain", F.explode(parent_domains(F.col("host"))))
+    # Longer domains than the longest rule's fit none.
+    most = known.agg(F.coalesce(F.max(F.size(F.split("domain", r"\.", -1))), F.lit(1)).alias("most"))
+    keys = (urls.where("host <> ''").withColumn("domain", F.explode(parent_domains(F.col("host"), most.scalar())))
             .join(ruled, "domain", "left_semi")
             .select("domain", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).alias("salt"), "path", F.lit(1).alias("kind"),
                     F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), F.struct("page_id", "host").alias("page")))
