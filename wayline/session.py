@@ -40,6 +40,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one is chosen only where none is (tests, single machine)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names.
 
@@ -47,9 +56,5 @@ def settle(df: DataFrame) -> DataFrame:
     whole history. A local folder is chosen only when the session names none
     (tests, single machine).
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

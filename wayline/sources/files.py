@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import posixpath
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline import schemas
@@ -18,22 +19,26 @@ IMAGE_FILE = r"(?i)\.(png|jpg|bmp)$"
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Telemetry lines of many sessions; unreadable lines keep only ``_corrupt``.
+    """Telemetry lines of many sessions, whatever keys each of them has.
 
-    ``sid`` is the launch stamp in the file name.
+    A line is parsed once, as a variant; a value of another type than its column
+    is null. Keys outside the schema are text in ``extra``. A line that is no
+    JSON object keeps only ``_corrupt``. ``sid`` is the launch stamp in the name
+    of the file or of its folder.
     """
-    df = (spark.read.schema(schemas.TELEMETRY).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    return df.select(F.regexp_extract(F.col("_metadata.file_name"), SESSION_FILE, 1).alias("sid"), "*")
+    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), SESSION_FILE, 1).alias("sid"), "value",
+                                         F.try_parse_json("value").alias("_v"))
+    sound = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    known = [f for f in schemas.TELEMETRY.fields if f.name != "_corrupt"]
+    names = F.array(*[F.lit(f.name) for f in known])
+    extra = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~F.array_contains(names, k))
+    return lines.select("sid", *[F.when(sound, F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString())).alias(f.name) for f in known],
+                        F.when(~sound, F.col("value")).alias("_corrupt"), F.when(sound, extra).alias("extra"))
 
 
 def read_telemetry_extra(spark: SparkSession, path: str) -> DataFrame:
     """Keys outside the schema, as a map of text per line."""
-    text = spark.read.text(path)
-    everything = F.from_json("value", "map<string,string>")
-    known = F.array(*[F.lit(f.name) for f in schemas.TELEMETRY.fields])
-    return text.select(F.regexp_extract(F.col("_metadata.file_name"), SESSION_FILE, 1).alias("sid"), F.map_filter(
-        everything, lambda k, v: ~F.array_contains(known, k)).alias("extra"))
+    return read_telemetry(spark, path).select("sid", "extra")
 
 
 def stamped(records: DataFrame) -> DataFrame:
@@ -126,39 +131,22 @@ def hash_manifest(spark: SparkSession, root: str) -> DataFrame:
     return read_tree(spark, root).select(_under(root).alias("path"), F.sha2("content", 256).alias("digest"))
 
 
-def class_folders(spark: SparkSession, root: str) -> list[str]:
-    """Sub-folders whose name is a class: anything not starting with ``_``, and
-    the spelled-out names of characters."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.isDirectory())
-    if not names:
-        return []
-    folder = spark.createDataFrame([(n,) for n in names], "name string")
-    encoded = decode_label(F.col("name")) != F.col("name")
-    kept = folder.filter(encoded | ~F.col("name").startswith("_")).orderBy("name")
-    return [posixpath.join(root, row["name"]) for row in kept.collect()]
-
-
 def read_classes(spark: SparkSession, real: str, synthetic: str | None = None) -> DataFrame:
     """Images of class-labelled folders with ``char``, dense ``label`` and ``is_real``.
 
-    Classes are numbered in sorted order. Only the folder names, one per class,
-    pass through the driver.
+    All folders are read at once; class and provenance come from a file's path.
+    Folders that start with ``_`` are classes only if that spells a character.
+    Classes are numbered in sorted order.
     """
-    found = None
-    for root, is_real in ((real, True), (synthetic, False)):
-        folders = class_folders(spark, root) if root else []
-        for folder in folders:
-            name = posixpath.basename(folder)
-            part = (spark.read.format("binaryFile").load(folder).select("path", "content")
-                    .withColumn("char", decode_label(F.lit(name))).withColumn("is_real", F.lit(is_real)))
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+    roots = [(posixpath.normpath(root), is_real) for root, is_real in ((real, True), (synthetic, False)) if root and _exists(spark, f"{root}/*")]
+    if not roots:
         return spark.createDataFrame([], "path string, content binary, char string, is_real boolean, label int")
-    images = found.filter(F.col("path").rlike(IMAGE_FILE))
-    classes = sorted(r["char"] for r in images.select("char").distinct().collect())
-    number = F.create_map(*[F.lit(v) for i, c in enumerate(classes) for v in (c, i)]) if classes else None
-    return images.withColumn("label", F.try_element_at(number, F.col("char")) if classes else F.lit(None).cast("int"))
+    is_real, folder = F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    for root, flag in roots:
+        below = F.regexp_extract("path", rf"(?:^|:|/){re.escape(root.split(':', 1)[-1].lstrip('/'))}/([^/]+)/[^/]+$", 1)
+        folder, is_real = F.coalesce(folder, F.nullif(below, F.lit(""))), F.coalesce(is_real, F.when(below != "", F.lit(flag)))
+    found = (spark.read.format("binaryFile").load([f"{root}/*" for root, _ in roots]).select("path", "content", folder.alias("_folder"), is_real.alias("is_real"))
+             .withColumn("char", decode_label(F.col("_folder"))))
+    images = found.filter(F.col("path").rlike(IMAGE_FILE) & ((F.col("char") != F.col("_folder")) | ~F.col("_folder").startswith("_"))).drop("_folder")
+    numbered = images.select("char").distinct().select("char", (F.dense_rank().over(Window.orderBy("char")) - 1).alias("label"))
+    return images.join(numbered, "char").select("path", "content", "char", "is_real", "label")

@@ -34,6 +34,21 @@ def as_ticks(track: DataFrame) -> DataFrame:
     return track.select(*[c.cast(schemas.SESSION_INPUT[n].dataType).alias(n) for n, c in cols.items()])
 
 
+def as_inputs(ticks: DataFrame, commands: DataFrame) -> DataFrame:
+    """Recorded ticks and commands, as ``tracker.replay`` takes them, in the input schema."""
+    told = commands.withColumnsRenamed({"ts": "t_capture", "action": "event"}).withColumn("seq", F.lit(0))
+    rows = ticks.withColumn("event", F.lit("tick")).unionByName(told, allowMissingColumns=True).withColumn("ts", F.timestamp_seconds(F.col("t_capture")))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.SESSION_INPUT.fields])
+
+
+def sink_batches(rows: DataFrame, path: str, checkpoint: str):
+    """Append what is there now as Parquet, a folder per micro-batch; a batch that runs again replaces its own rows."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stability_windows(ticks: DataFrame, width: str = "10 seconds", watermark: str = "10 seconds") -> DataFrame:
     """Capture rate and coordinate spread per session and tumbling window."""
     spread = [(F.max(c) - F.min(c)).alias(f"spread_{c}") for c in "xyz"]
