@@ -34,7 +34,7 @@ def reversed_host(host: Column) -> Column:
 def parent_domains(host: Column, most: Column) -> Column:
     """The reversed host cut after its first label, its second, and so on, up to so many or all of it."""
     labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    return F.transform(F.sequence(F.lit(1), F.least(labels, most)), lambda n: reversed_host(F.substring_index(host, ".", -n)))
+    return F.transform(F.sequence(F.lit(1), F.least(labels, most)), lambda n: reversed_host(F.call_function("substring_index", host, F.lit("."), -n)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = 32, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -65,7 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int
     ruled = known.select("domain").distinct()
     # Longer domains than the longest rule's fit none.
     most = known.agg(F.coalesce(F.max(F.size(F.split("domain", r"\.", -1))), F.lit(1)).alias("most"))
-    keys = (urls.where("host <> ''").withColumn("domain", F.explode(parent_domains(F.col("host"), most.scalar())))
+    keys = (urls.where("host <> ''").withColumn("most", most.scalar()).withColumn("domain", F.explode(parent_domains(F.col("host"), F.col("most"))))
             .join(ruled, "domain", "left_semi")
             .select("domain", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).alias("salt"), "path", F.lit(1).alias("kind"),
                     F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"), F.struct("page_id", "host").alias("page")))
