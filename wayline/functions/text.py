@@ -102,6 +102,8 @@ COORD_MAX_KM = 30_000.0
 
 # Tokens that make a transcript worth keeping.
 USEFUL_TOKENS = "pos|zone|cam|fov|km"
+KM_AMOUNT = r"(?i)\d+\.\d+\s*km\b"
+METRE_AMOUNT = r"(?i)\d+\.\d+\s*m\b(?!\s*k)"
 
 
 # ---------------------------------------------------------------------------
@@ -126,7 +128,7 @@ def is_absolute_frame(line: Column) -> Column:
 
 
 def is_metre_line(line: Column) -> Column:
-    return (~line.rlike(r"(?i)\d+\.\d+\s*km\b")) & line.rlike(r"(?i)\d+\.\d+\s*m\b(?!\s*k)")
+    return (~line.rlike(KM_AMOUNT)) & line.rlike(METRE_AMOUNT)
 
 
 def is_position_line(line: Column) -> Column:
@@ -230,7 +232,12 @@ def position(line: Column) -> Column:
 
 
 def reading(text: Column) -> Column:
-    """Correct, classify and parse one line.
+    """Correct, classify and parse one line: the fields of ``reading_of``."""
+    return let(correct_literals(text), reading_of)
+
+
+def reading_of(line: Column) -> Column:
+    """Classify and parse one corrected line.
 
     ``{fixed, is_position, location, ooc, x, y, z, method, accepted}``. Only lines
     that may be positions are normalised and parsed.
@@ -245,7 +252,7 @@ def reading(text: Column) -> Column:
                 p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["method"].alias("method"),
                 F.coalesce(in_range(p["x"], p["y"], p["z"]), F.lit(False)).alias("accepted"))))
 
-    return let(correct_literals(text), described)
+    return let(line, described)
 
 
 def with_parsed(df: DataFrame, line: str, parse, keep: str) -> DataFrame:

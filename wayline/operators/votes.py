@@ -124,7 +124,8 @@ def best_pass(votes: DataFrame, keys: list[str], order: str = "ord", need_positi
 
 
 def glyph_votes(passes: DataFrame, glyphs: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """One vote per frame with glyph coordinates and the best text pass's other fields."""
+    """One vote per frame that has glyph coordinates, with the best text pass's other fields."""
+    glyphs = glyphs.filter(F.col("x").isNotNull())
     best = best_pass(passes, keys, order).drop("x", "y", "z", "score", "pass")
     last = F.lit(2 ** 62)
     return (glyphs.select(*keys, "x", "y", "z").join(best, keys, "left")

@@ -190,15 +190,17 @@ def a20(spark, sf_dir):
 
 
 _J4 = "case when sid is null then null when sid like '%9948564368677%' or '9948564368677' like concat('%',sid,'%') or sid like '%Stanton%' or 'Stanton' like concat('%',sid,'%') then 'Stanton' else 'Unknown' end"
-_SYSL = "sys as materialized (select frame_id, line_no, concat('Zone: SolarSystem_', case variant when 0 then '9948564368677' when 1 then 'Stan' when 2 then '4368' when 3 then 'StantonX' else cast(variant as string) || 'zz' end, ' Pos: 1') as line from hud_line)"
+_SYSL = ("sys as materialized (select frame_id, line_no, regexp_replace(text, 'OOC_Stanton_[0-9]', concat('SolarSystem_', case variant when 0 then '9948564368677' when 1 then 'Stan' when 2 then '4368' when 3 then 'StantonX' "
+         "else concat(cast(line_no%1000 as varchar), 'zz') end)) as line from hud_line)")
 
 
 @query("j4_system_lookup", V.duck("hud_line", body=_SYSL + f", e as (select *, nullif(trim(regexp_extract(line,'Zone:\\s*SolarSystem[_-]?([\\d\\w]+?)(?:Pos|Zone|$|\\s)',1,'i')),'') as sid from sys) select frame_id, line_no, sid as system_id, {_J4} as location from e"))
 def j4(spark, sf_dir):
+    """The recognised lines, with a system's id where they name a zone."""
     v = F.col("variant")
     ident = (F.when(v == 0, "9948564368677").when(v == 1, "Stan").when(v == 2, "4368").when(v == 3, "StantonX")
-             .otherwise(F.concat(v.cast("string"), F.lit("zz"))))
-    line = F.concat(F.lit("Zone: SolarSystem_"), ident, F.lit(" Pos: 1"))
+             .otherwise(F.concat((F.col("line_no") % 1000).cast("string"), F.lit("zz"))))
+    line = F.regexp_replace(F.col("text"), F.lit("OOC_Stanton_[0-9]"), F.concat(F.lit("SolarSystem_"), ident))
     return (_lines(spark, sf_dir).select("frame_id", "line_no", X.system_id(line).alias("system_id"))
             .withColumn("location", X.system_location(F.col("system_id"))))
 
