@@ -171,6 +171,8 @@ def active_target(ticks: DataFrame, events: DataFrame, block_s: float = BLOCK_S,
     return _told(ticks, events, payload, block_s).select(*ticks.columns, "epoch", "t_set", *payload)
 
 
+#: The error of a tick at which there was nothing to capture; such a tick changes nothing.
+UNAVAILABLE = "capture_unavailable"
 #: Commands of one moment in the order in which they take effect; ticks come after them.
 COMMANDS = ("source", "reset", "clear", "set")
 

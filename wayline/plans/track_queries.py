@@ -172,10 +172,12 @@ def w10(spark, sf_dir):
     return _locked(spark, sf_dir).select("sid", "seq", r(F.col("grace_left_s")).alias("left_s"))
 
 
-_NAV = _J2 + f""", ff as materialized (select *, last_value(x ignore nulls) over w as px, last_value(y ignore nulls) over w as py, last_value(z ignore nulls) over w as pz from zl window w as ({_O} rows unbounded preceding)),
+_NAV = _J2 + f""", ff as materialized (select *, event_id%29=0 as gone, case when event_id%3=0 then cast((event_id*53)%360-180 as double) end as yo, case when event_id%4<>0 then cast((event_id*17)%120-60 as double) end as po, event_id%5<>0 as sure, (event_id%4)*0.04::double as cage, event_id%2=0 as coasts, last_value(x ignore nulls) over w as px, last_value(y ignore nulls) over w as py, last_value(z ignore nulls) over w as pz from zl window w as ({_O} rows unbounded preceding)),
 gd as materialized (select *, {GQ._YAW} as yaw, {GQ._PITCH} as up, case when in_zone and px is not null then {GQ._DIST} end as dist from ff)"""
-_LABEL = f"""case when suppkey is null then 'NO TARGET' when not in_zone then concat('▶ ',t_name,chr(10),'  zone: ',trim(replace(t_ooc,'_',' ')),chr(10),'  current: ',trim(replace(ooc,'_',' ')))
- when dist is null then concat('▶ ',t_name,chr(10),'  ---') else concat('▶ ',t_name,chr(10),'  ',{GQ._dist_text('dist')}, case when dist*1000<400 then '  ●' else concat('  ',{GQ._world('yaw','up')}) end) end"""
+# What the fixture lacks comes from the event's number: no capture, the offsets of the motion, its steadiness, dead reckoning.
+_LABEL = f"""case when gone then concat('CAPTURE UNAVAILABLE',chr(10),'Select a connected monitor in Options.') when suppkey is null then 'NO TARGET' when not in_zone then concat('▶ ',t_name,chr(10),'  zone: ',trim(replace(t_ooc,'_',' ')),chr(10),'  current: ',trim(replace(ooc,'_',' ')))
+ when dist is null then concat('▶ ',t_name,chr(10),'  ---') else concat('▶ ',t_name,chr(10),'  ',{GQ._dist_text('dist')}, case when dist*1000<400 then '  ●' when yo is not null and sure then concat('  ',{GQ._velocity('yo', "case when kind='surface' then null else po end")}) else concat('  ',{GQ._world('yaw','up')}) end,
+  case when cage > 0.05 then case when coasts then '  DR' else '  LOST' end else '' end) end"""
 
 
 def _guided(spark, sf_dir):
@@ -198,14 +200,14 @@ def flagship(spark, sf_dir):
 
 @query("f17_guidance_label", V.duck("target_event", "poi", body=_NAV + f" select sid, seq, {_LABEL} as label from gd"))
 def f17(spark, sf_dir):
-    none = F.lit(None).cast("double")
     df = _guided(spark, sf_dir)
     return df.select("sid", "seq", D.guidance_label(
-        unavailable=F.lit(False), has_target=F.col("suppkey").isNotNull(), in_zone=F.col("in_zone"),
+        unavailable=F.expr("event_id % 29 = 0"), has_target=F.col("suppkey").isNotNull(), in_zone=F.col("in_zone"),
         name=F.col("t_name"), target_zone=F.col("t_ooc"), zone=F.col("ooc"), distance_km=F.col("dist_km"),
-        yaw_off=none, pitch_off=none, confident=F.lit(True), kind=F.col("kind"),
-        world_yaw=F.col("bearing.yaw_deg"), world_pitch=F.col("bearing.pitch_deg"), coast_age=none,
-        integrity=F.lit("FRESH")).alias("label"))
+        yaw_off=F.expr("case when event_id%3=0 then cast((event_id*53)%360-180 as double) end"),
+        pitch_off=F.expr("case when event_id%4<>0 then cast((event_id*17)%120-60 as double) end"), confident=F.expr("event_id % 5 <> 0"),
+        kind=F.col("kind"), world_yaw=F.col("bearing.yaw_deg"), world_pitch=F.col("bearing.pitch_deg"),
+        coast_age=F.expr("(event_id % 4) * 0.04D"), integrity=F.expr("if(event_id % 2 = 0, 'COASTING', 'LOST')")).alias("label"))
 
 
 @query("w15_running_counters", V.duck("track", body=f"c as (select sid, seq, row_number() over ({_O}) as frames, cast(count(x) over w as bigint) as accepted, cast(sum(case when x is null then 1 else 0 end) over w as bigint) as lost from track window w as ({_O} rows unbounded preceding)) select * from c where frames%50=0"))

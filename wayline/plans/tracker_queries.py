@@ -155,9 +155,9 @@ def _points(spark, sf_dir):
 
 
 def session_ticks(spark, sf_dir):
-    """Ticks that claim the source they were taken from, two of them too late, and some of which failed."""
+    """Ticks that claim the source they were taken from, two of them too late; some failed, at some there was no capture."""
     return _zoned(spark, sf_dir).withColumns({
-        "source_epoch": F.expr("(seq + 25) div 60"), "error": F.expr("case when event_id % 17 = 0 then 'engine' end"),
+        "source_epoch": F.expr("(seq + 25) div 60"), "error": F.expr(f"case when event_id % 29 = 0 then '{K.UNAVAILABLE}' when event_id % 17 = 0 then 'engine' end"),
         "location": F.expr("case when event_id % 3 = 0 then 'Stanton' else 'Unknown' end")})
 
 
@@ -185,7 +185,7 @@ mw as (select *, cast(sum(case when action<>'source' then 1 else 0 end) over o a
   cast(sum(case when action in ('source','reset') then 1 else 0 end) over o as bigint) as resets from mm window o as (partition by sid order by t, rk, seq rows unbounded preceding)),
 ti as materialized (select w.sid, w.seq, w.t, k.x, k.y, k.z, k.ooc, k.event_id%17=0 as failed, w.epoch, w.restarts, w.resets, case when w.now.a='set' then w.now.k end as suppkey,
   case when w.now.a='set' then greatest(w.now.t, coalesce(w.cur.t, w.now.t)) end as t_set, row_number() over (partition by w.sid order by w.t, w.seq) as n
- from mw w join tz k on k.sid=w.sid and k.seq=w.seq where w.rk=5 and (w.seq+25)//60 = coalesce(w.cur.s, 0)),
+ from mw w join tz k on k.sid=w.sid and k.seq=w.seq where w.rk=5 and k.event_id%29<>0 and (w.seq+25)//60 = coalesce(w.cur.s, 0)),
 ga(sid, n, acc, reason, mx, my, mz, zr, ax, ay, az, aooc, tat, buf, sz, rs) as (
  select sid, 0::bigint, false, null::varchar, null::double, null::double, null::double, false, null::double, null::double, null::double, null::varchar, 0::double, []::struct(x double, y double, z double)[], null::varchar, 0::bigint from (select distinct sid from track)
  union all

@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Line order inside a frame. Unique as long as (line number, part, supplier, quantity) is; the
-# decimal slots hold the keys up to scale factor 500.
-_ORD = "(cast(l_linenumber as bigint)*1000000000000000000 + l_partkey*10000000000 + l_suppkey*1000 + cast(l_quantity as bigint))"
+# Line order inside a frame. Unique as long as (line number, part, supplier, quantity) is; slots of
+# 28, 24 and 6 bits hold the keys of part, supplier and quantity up to scale factor 1,300.
+_ORD = "(((cast(l_linenumber as bigint)*268435456 + l_partkey)*16777216 + l_suppkey)*64 + cast(l_quantity as bigint))"
 
 _HUD_SQL = f"""
 with a as (select l_orderkey as frame_id, {_ORD} as line_no, l_suppkey%4+1 as zn, l_suppkey%8 as v,

@@ -20,7 +20,7 @@ from wayline import schemas
 from wayline.functions.zones import zones_match_local
 from wayline.operators.tracker import (FilterState, GateState, Tuning, filter_step, gate_step,
                                        nullable_list)
-from wayline.operators.tracks import COMMANDS, FLIP_DEG, GRACE_S, RECOVER_S
+from wayline.operators.tracks import COMMANDS, FLIP_DEG, GRACE_S, RECOVER_S, UNAVAILABLE
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -94,8 +94,8 @@ def steady(s: Session, t: float, heading: float | None) -> bool:
 
 
 def tick(s: Session, row: dict, tuning: Tuning, grace_s: float) -> dict | None:
-    """One tick; None when it was captured under an earlier source."""
-    if int(row["source_epoch"] or 0) != s.source_epoch:
+    """One tick; None when it was captured under an earlier source, or not at all."""
+    if row["error"] == UNAVAILABLE or int(row["source_epoch"] or 0) != s.source_epoch:
         return None
     t, zone = row["t_capture"], row["ooc"]
     failed = bool(row["error"])
