@@ -90,16 +90,16 @@ _KF = f"""kf(sid, seq, init, hv, mv, t, ta, px, py, pz, vx, vy, vz, a, b, c, d,
  select sid, 0::bigint, false, false, false, null::double, null::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, false from (select distinct sid from track)
  union all
  select sid, seq, init2, hv2, case when mode in ('seed','clear','none') then case when mode='none' then mv else false end when not hv2 then false when mv then sp >= 0.03 else sp >= 0.05 end,
-  t2, ta2, px2, py2, pz2, vx2*cl, vy2*cl, vz2*cl, a2, b2, c2, d2, mode in ('seed','upd')
+  t2, ta2, px2, py2, pz2, round(vx2*cl, 9), round(vy2*cl, 9), round(vz2*cl, 9), a2, b2, c2, d2, mode in ('seed','upd')
  from (select *, case when hv2 then case when mode='upd' and sp0 > 2.5 then 2.5::double/sp0 else 1::double end else 1::double end as cl, case when mode='upd' and sp0 > 2.5 then 2.5::double else sp0 end as sp
  from (select *, sqrt(vx2*vx2+vy2*vy2+vz2*vz2) as sp0 from (
  select *, case when mode='seed' then true when mode='clear' then false else init end as init2,
   case when mode in ('seed','clear') then false when mode='upd' then true else hv end as hv2,
   case when mode='seed' then tk when mode='clear' then null when mode='none' then t else tk end as t2,
   case when mode in ('seed','upd') then tk when mode='clear' then null else ta end as ta2,
-  case mode when 'seed' then x when 'upd' then qx + k0*(x-qx) when 'none' then px when 'clear' then px else qx end as px2,
-  case mode when 'seed' then y when 'upd' then qy + k0*(y-qy) when 'none' then py when 'clear' then py else qy end as py2,
-  case mode when 'seed' then z when 'upd' then qz + k0*(z-qz) when 'none' then pz when 'clear' then pz else qz end as pz2,
+  case mode when 'seed' then x when 'upd' then round(qx + k0*(x-qx), 9) when 'none' then px when 'clear' then px else qx end as px2,
+  case mode when 'seed' then y when 'upd' then round(qy + k0*(y-qy), 9) when 'none' then py when 'clear' then py else qy end as py2,
+  case mode when 'seed' then z when 'upd' then round(qz + k0*(z-qz), 9) when 'none' then pz when 'clear' then pz else qz end as pz2,
   case mode when 'seed' then 0 when 'upd' then vx + k1*(x-qx) else vx end as vx2,
   case mode when 'seed' then 0 when 'upd' then vy + k1*(y-qy) else vy end as vy2,
   case mode when 'seed' then 0 when 'upd' then vz + k1*(z-qz) else vz end as vz2,
@@ -209,7 +209,7 @@ ke(sid, n, rs, ep, init, hv, mv, t, ta, px, py, pz, vx, vy, vz, a, b, c, d, took
  select sid, n, rs, ep, init2, hv2, mv2, t2, ta2, px2, py2, pz2, vx3, vy3, vz3, a2, b2, c2, d2, mode in ('seed','upd'),
   case when x is null then case when tx is not null and in_zone and init2 and ta2 is not null and t2-ta2 <= 2 then {{DIST}} else prevd end
    when raw is null then prevd when not mv2 or prevd is null or raw*1000 < 400 or abs(raw-prevd)/greatest(prevd, 0.001::double) > 0.3 then raw else 0.4::double*raw+(1-0.4::double)*prevd end
- from (select *, case when x is not null and tx is not null and in_zone then {{RAW}} end as raw, vx2*cl as vx3, vy2*cl as vy3, vz2*cl as vz3,
+ from (select *, case when x is not null and tx is not null and in_zone then {{RAW}} end as raw, round(vx2*cl, 9) as vx3, round(vy2*cl, 9) as vy3, round(vz2*cl, 9) as vz3,
    case when mode in ('seed','clear') or not hv2 then false when mode='none' then mv when mv then sp >= 0.03 else sp >= 0.05 end as mv2
   from (select *, case when hv2 and mode='upd' and sp0 > 2.5 then 2.5::double/sp0 else 1::double end as cl, case when mode='upd' and sp0 > 2.5 then 2.5::double else sp0 end as sp
   from (select *, sqrt(vx2*vx2+vy2*vy2+vz2*vz2) as sp0 from ({{STEP}}))))),
