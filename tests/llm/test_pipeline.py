@@ -32,4 +32,4 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_every_operator_is_registered():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_module.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_module.queries()
