@@ -22,7 +22,7 @@ def duck():
 SAMPLE = ["a5_outlier_flags", "a7_consensus", "a13_routing_counters", "a14_otsu_threshold", "f11_velocity_bearing", "f23_position_parse",
           "flagship_navigation", "j6_import_replace", "j13_manifest_delta", "j14_template_scores", "p3_validation", "r3_gap_segments",
           "t4_glyph_override", "t12_stratified_split", "w1_rolling_median", "w2_plausibility_gate", "w6_distance_smoothing",
-          "w9_zone_lock", "w11_kalman_filter", "w20_merge_boxes", "w21_row_text", "w25_orphan_rejoin"]
+          "w9_zone_lock", "w11_kalman_filter", "r1_session_tracker", "r8_grace_expiry", "s1_telemetry_lines", "t10_random_gap_sample", "t13_weighted_resample", "text_to_fix", "w20_merge_boxes", "w21_row_text", "w25_orphan_rejoin"]
 NAMES = sorted(entry_module.queries()) if os.environ.get("WAYLINE_ALL_QUERIES") else SAMPLE
 
 
