@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import catalogue as C
 from wayline.operators import curation as U
+from wayline.operators import fixes as X
 from wayline.operators import pixels as P
 from wayline.operators import quality as Q
 from wayline.operators import snapshots as N
@@ -161,6 +162,21 @@ def test_import_of_repeated_names_equals_one_import_after_another(spark, policy,
         assert sorted(r["name"] for r in got) == one_by_one(base, new, policy)
 
 
+def test_text_becomes_one_fix_per_frame(spark):
+    near = "Zone: Here Pos:\n 1.0000km 2.0000km 3.0000km"
+    rows = [(1, 1, "a", None), (1, 2, "b", ""), (2, 1, "a", "Zone: SolarSystem_Stan\n" + near), (2, 2, "b", near.replace("1.0000", "1.5000")),
+            (3, 1, "a", near), (3, 2, "b", "Root Pos: 1.0000km 2.0000km 3.0000km"), (4, 1, "a", near), (4, 2, "b", near.replace("1.0000", "900.0000"))]
+    df = spark.createDataFrame(rows, "frame_id int, ord int, pass string, text string")
+    glyphs = spark.createDataFrame([(4, 7.0, 8.0, 9.0), (3, None, None, None)], "frame_id int, x double, y double, z double")
+    key = ["frame_id"]
+    plain = {r["frame_id"]: (r["x"], r["ooc"], r["location"], r["decided"]) for r in X.text_to_fix(df, key).collect()}
+    assert plain == {1: (None, None, "Unknown", "best"), 2: (1.25, "Zone: Here", "Stanton", "consensus"), 3: (1.0, "Zone: Here", "Unknown", "best"),
+                     4: (1.0, "Zone: Here", "Unknown", "best")}
+    helped = {r["frame_id"]: (r["x"], r["decided"]) for r in X.text_to_fix(df, key, glyphs).collect()}
+    assert helped == {1: (None, "best"), 2: (1.25, "consensus"), 3: (1.0, "best"), 4: (7.0, "consensus")}
+    assert X.text_to_fix(df.limit(0), key, glyphs.limit(0)).count() == 0
+
+
 def test_five_thousand_classes_are_scored_in_blocks(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(5000, 16))
