@@ -1,11 +1,13 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's tokens that hold a digit are fields. The tree has two fixed levels: the
-number of tokens, and the leading ones. In a leaf, the line met most often is
-the template; lines that agree with it in enough places differ in variable
-fields only and belong to it, others are templates of their own. A template
-met in several documents is recurring: its lines are dropped from all but the
-document of smallest id.
+number of tokens, and the leading ones. In a leaf, the tokens after the leading
+ones are cut into blocks, and a template is the line itself or the line with
+one run of neighbouring blocks, three tenths of those tokens at most, made a
+variable field. A leaf has as many templates as its lines make, and all its
+families of lines are treated alike. A template met in several documents, and
+with a constant token (beyond the leading ones, if it has a variable field), is
+recurring: its lines are dropped from all but the document of smallest id.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from pyspark.sql import functions as F
 from wayline.llm.common import pick, settle
 
 BLANKS = r"[ \t\r\x0B\f]+"
-#: Bits of the table of leaves that have several lines.
-TABLE = 20
+FIELD = "<*>"
 
 
 def _masked(text: Column) -> Column:
@@ -33,59 +34,56 @@ def _masked(text: Column) -> Column:
     return F.transform(F.transform(F.split(text, "\n", -1), squeezed), masked)
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_id, no, masked, size, leaf, line of every line with a token."""
-    size = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    return (docs.select("doc_id", "text_id", F.posexplode(_masked(F.col("text"))).alias("no", "masked")).where("masked <> ''")
-            .select("doc_id", "text_id", "no", "masked", size.alias("size"), F.xxhash64("masked").alias("line"),
-                    F.xxhash64(size, F.substring_index("masked", " ", depth)).alias("leaf")))
+def _blocks(n: Column, similarity: int) -> tuple[Column, Column]:
+    """Tokens of a block, and blocks of a variable field, for n tokens after the leading ones."""
+    most = F.floor(n * (100 - similarity) / 100).cast("int")
+    return F.greatest(F.lit(1), F.floor(most / 2).cast("int")), F.least(F.lit(2), most)
 
 
-def _bits_of(leaves: DataFrame) -> bytes:
-    """Leaves by the low bits of their hash, in a table whose size does not depend on their number."""
-    at = F.col("leaf").bitwiseAND((1 << TABLE) - 1)
-    words = leaves.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(leaf & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    table = bytearray(1 << (TABLE - 3))
-    for w, b in words:
-        table[4 * w:4 * w + 4] = b.to_bytes(4, "little")
-    return bytes(table)
+def _templates(docs: DataFrame, depth: int, similarity: int) -> DataFrame:
+    """doc_id, text_id, no and the templates (hashes) of every line that has some."""
+    lines = (docs.select("doc_id", "text_id", F.posexplode(_masked(F.col("text"))).alias("no", "masked")).where("masked <> ''")
+             .withColumn("tokens", F.split("masked", " ")).withColumn("free", F.greatest(F.lit(0), F.size("tokens") - depth)))
+    size, wide = _blocks(F.col("free"), similarity)
+    lines = lines.select("doc_id", "text_id", "no", "masked", "tokens", "free", size.alias("size"), wide.alias("wide"),
+                         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
+    block = F.transform(F.sequence(F.lit(0), F.ceil(F.col("free") / F.col("size")).cast("int") - 1), lambda k: F.slice("tokens", depth + 1 + k * F.col("size"), F.col("size")))
+    # Each block once: its hash, and whether it has a constant token.
+    lines = lines.withColumn("blocks", F.when(F.col("wide") > 0, F.transform(block, lambda t: F.struct(F.xxhash64(t).alias("h"), F.exists(t, lambda x: x != FIELD).alias("constant")))))
 
+    def without(k: Column) -> Column:
+        rest = F.filter("blocks", lambda b, i: (i < k) | (i >= k + F.col("wide")))
+        return F.when(F.exists(rest, lambda b: b["constant"]), F.xxhash64("leaf", k, F.transform(rest, lambda b: b["h"])))
 
-def _has_bit(table: bytes, leaf: Column) -> Column:
-    at = leaf.bitwiseAND((1 << TABLE) - 1).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(table), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.element_at(F.lit([1, 2, 4, 8, 16, 32, 64, 128]), at.bitwiseAND(7) + 1)) != 0
+    general = F.transform(F.sequence(F.lit(0), F.size("blocks") - F.col("wide")), without)
+    itself = F.array(F.when(F.exists("tokens", lambda x: x != FIELD), F.xxhash64("masked")))
+    every = F.filter(F.concat(itself, F.when(F.col("wide") > 0, general).otherwise(F.array().cast("array<bigint>"))), lambda t: t.isNotNull())
+    return lines.select("doc_id", "text_id", "no", every.alias("templates")).where(F.size("templates") > 0)
 
 
-def dedup(docs: DataFrame, depth: int = 3, similarity: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, depth: int = 3, similarity: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without recurring lines, one row for each row of docs.
 
-    Of lines met equally often the one of larger md5 is the leaf's template.
-    Empty lines stay. Null texts stay null and have no lines. Rows of one id
-    are one document; rows without an id keep all their lines and do not make a
-    template recurring.
+    similarity is the least share, in hundredths, of the tokens after the
+    leading ones that lines of a template with a variable field have in common;
+    with fewer than four such tokens (at 70) a line is its only template. A line stays where
+    its document is the first of every recurring template that it belongs to.
+    Lines of fields only, and empty ones, stay. Null texts stay null and have no
+    lines; an empty table gives none. Rows of one id are one document; rows
+    without an id keep all their lines and do not make a template recurring.
+    Other columns, whatever their names, are not looked at.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
     return _without(rows, _dropped(rows, depth, similarity)).select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.col("cleaned").alias("text"))
 
 
-def _dropped(rows: DataFrame, depth: int, similarity: float) -> DataFrame:
+def _dropped(rows: DataFrame, depth: int, similarity: int) -> DataFrame:
     """doc_id, text_id and the places of the lines to drop."""
-    every = _lines(rows, depth)
-    keys = settle(every.select("doc_id", "text_id", "no", "leaf", "line"))
-    counted = keys.groupBy("leaf", "line").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    # Words are looked at again only for leaves with several lines, and some whose bit is the same.
-    worded = settle(every.where(_has_bit(_bits_of(several), F.col("leaf"))).groupBy("leaf", "line", "size")
-                    .agg(F.first("masked").alias("masked"), F.count(F.lit(1)).alias("n")))
-    model = (worded.groupBy("leaf").agg(F.max_by(F.struct("line", "masked"), F.struct("n", F.md5(F.col("masked").cast("binary")))).alias("top"))
-             .select("leaf", F.col("top.line").alias("template"), F.col("top.masked").alias("model")))
-    agreeing = F.size(F.filter(F.zip_with(F.split("masked", " "), F.split("model", " "), lambda a, b: a == b), lambda same: same))
-    merged = worded.join(model, "leaf").where("line <> template").where(agreeing >= F.lit(similarity) * F.col("size")).select("leaf", "line", "template")
-    placed = counted.join(merged, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", "line"))
-    recurring = placed.groupBy("template").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner <> hi").select("template", "owner")
-    owners = placed.join(recurring, "template").select("leaf", "line", "owner")
-    return keys.join(owners, ["leaf", "line"]).where("doc_id <> owner").groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("gone"))
+    keys = settle(_templates(rows.where("doc_id is not null"), depth, similarity))
+    each = keys.select("doc_id", "text_id", "no", F.explode("templates").alias("template"))
+    # Stored, so that the join below has an exchange of its own on both sides, which Spark can split at a common template.
+    recurring = settle(each.groupBy("template").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner <> hi").select("template", "owner"))
+    return each.join(recurring, "template").where("doc_id <> owner").groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("gone"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -98,7 +96,7 @@ def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
             .withColumn("cleaned", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get(split, i)), "\n"))))
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, similarity: int = 70, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """docs, all columns as they were, without recurring lines.
 
     Documents of which no line with a token is left go, if they had one;
@@ -113,22 +111,23 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, id_col:
     return done.select(*[new[n] if n in new else F.col(f"c{i}") for i, n in enumerate(names)]).toDF(*names)
 
 
-def oracle(depth: int = 3, similarity: float = 0.7) -> str:
+def oracle(depth: int = 3, similarity: int = 70) -> str:
     return f"""
     with texts as (select row_number() over () as r, doc_id, "text" from documents),
     raw as (select r, doc_id, generate_subscripts(l, 1) - 1 as no, unnest(l) as raw from (select r, doc_id, string_split("text", chr(10)) as l from texts)),
     squeezed as (select r, doc_id, no, trim(regexp_replace(raw, '[ \\t\\r\\x0B\\f]+', ' ', 'g')) as s from raw),
-    masked as (select r, doc_id, no, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') as masked from squeezed where s <> ''),
-    lines as (select *, length(masked) - length(replace(masked, ' ', '')) + 1 as size, md5(masked) as line,
-                     md5(cast(length(masked) - length(replace(masked, ' ', '')) + 1 as varchar) || ' ' || array_to_string(string_split(masked, ' ')[1:{depth}], ' ')) as leaf from masked),
-    counted as (select leaf, line, min(doc_id) as lo, max(doc_id) as hi, count(*) as n, any_value(masked) as masked, any_value(size) as size from lines group by all),
-    ranked as (select *, row_number() over (partition by leaf order by n desc, line desc) as k from counted),
-    model as (select leaf, line as template, masked as model from ranked where k = 1),
-    placed as (select c.leaf, c.line, c.lo, c.hi,
-                      case when len(list_filter(range(1, size + 1), lambda i: string_split(c.masked, ' ')[i] = string_split(m.model, ' ')[i])) >= {similarity} * size
-                           then m.template else c.line end as template from counted c join model m using (leaf)),
-    recurring as (select template, min(lo) as owner from placed group by template having min(lo) <> max(hi)),
-    gone as (select r, no from lines l join placed p using (leaf, line) join recurring using (template) where l.doc_id <> owner),
+    lines as (select r, doc_id, no, string_split(regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as t from squeezed where s <> ''),
+    sized as (select *, greatest(0, len(t) - {depth}) as free, (greatest(0, len(t) - {depth}) * {100 - similarity}) // 100 as most from lines),
+    cut as (select *, greatest(1, most // 2) as size, least(2, most) as wide from sized),
+    placed as (select *, unnest(range(0, (free + size - 1) // size - wide + 1)) as k from cut where wide > 0),
+    general as (select r, doc_id, no, t[1:{depth} + k * size] as before, t[{depth} + 1 + (k + wide) * size:] as after, len(t) as n, k from placed),
+    templates as (
+        select r, doc_id, no, 'line ' || array_to_string(t, ' ') as template from lines where len(list_filter(t, lambda x: x <> '<*>')) > 0
+        union all
+        select r, doc_id, no, n || ' ' || k || ' ' || array_to_string(before, ' ') || ' | ' || array_to_string(after, ' ') from general
+        where len(list_filter(list_concat(before[{depth} + 1:], after), lambda x: x <> '<*>')) > 0),
+    recurring as (select template, min(doc_id) as owner from templates group by template having min(doc_id) <> max(doc_id)),
+    gone as (select distinct r, no from templates join recurring using (template) where doc_id <> owner),
     kept as (select w.r, string_agg(raw, chr(10) order by no) as cleaned, count(*) as n from raw w anti join gone g using (r, no) group by w.r)
     select t.doc_id, cast(coalesce(len(string_split(t."text", chr(10))), 0) as bigint) as n_lines,
            cast(coalesce(len(string_split(t."text", chr(10))), 0) - coalesce(k.n, 0) as bigint) as n_dropped,
