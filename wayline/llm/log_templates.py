@@ -12,6 +12,8 @@ recurring: its lines are dropped from all but the document of smallest id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +36,42 @@ def _masked(text: Column) -> Column:
     return F.transform(F.transform(F.split(text, "\n", -1), squeezed), masked)
 
 
-def _blocks(n: Column, similarity: int) -> tuple[Column, Column]:
-    """Tokens of a block, and blocks of a variable field, for n tokens after the leading ones."""
-    most = F.floor(n * (100 - similarity) / 100).cast("int")
-    return F.greatest(F.lit(1), F.floor(most / 2).cast("int")), F.least(F.lit(2), most)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _templates_of(masked: Column, depth: int, similarity: int) -> Column:
+    """The templates (hashes) of a line."""
+    def general(tokens: Column, cut: Column) -> Column:
+        size, wide = cut["size"], cut["wide"]
+        leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+
+        # Each block once: its hash, and whether it has a constant token.
+        def block(k: Column) -> Column:
+            return _bound(F.slice(tokens, depth + 1 + k * size, size), lambda t: F.struct(F.xxhash64(t).alias("h"), F.exists(t, lambda x: x != FIELD).alias("constant")))
+
+        def without(k: Column, blocks: Column) -> Column:
+            rest = F.filter(blocks, lambda b, i: (i < k) | (i >= k + wide))
+            return _bound(rest, lambda r: F.when(F.exists(r, lambda b: b["constant"]), F.xxhash64(leaf, k, F.transform(r, lambda b: b["h"]))))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(cut["free"] / size).cast("int") - 1), block)
+        return _bound(blocks, lambda bs: F.transform(F.sequence(F.lit(0), F.size(bs) - wide), lambda k: without(k, bs)))
+
+    def every(tokens: Column) -> Column:
+        free = F.greatest(F.lit(0), F.size(tokens) - depth)
+        most = F.floor(free * (100 - similarity) / 100).cast("int")
+        cut = F.struct(free.alias("free"), F.greatest(F.lit(1), F.floor(most / 2).cast("int")).alias("size"), F.least(F.lit(2), most).alias("wide"))
+        itself = F.array(F.when(F.exists(tokens, lambda x: x != FIELD), F.xxhash64(masked)))
+        return F.concat(itself, _bound(cut, lambda c: F.when(c["wide"] > 0, general(tokens, c)).otherwise(F.array().cast("array<bigint>"))))
+
+    return F.filter(_bound(F.split(masked, " "), every), lambda t: t.isNotNull())
 
 
 def _templates(docs: DataFrame, depth: int, similarity: int) -> DataFrame:
-    """doc_id, text_id, no and the templates (hashes) of every line that has some."""
-    lines = (docs.select("doc_id", "text_id", F.posexplode(_masked(F.col("text"))).alias("no", "masked")).where("masked <> ''")
-             .withColumn("tokens", F.split("masked", " ")).withColumn("free", F.greatest(F.lit(0), F.size("tokens") - depth)))
-    size, wide = _blocks(F.col("free"), similarity)
-    lines = lines.select("doc_id", "text_id", "no", "masked", "tokens", "free", size.alias("size"), wide.alias("wide"),
-                         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
-    block = F.transform(F.sequence(F.lit(0), F.ceil(F.col("free") / F.col("size")).cast("int") - 1), lambda k: F.slice("tokens", depth + 1 + k * F.col("size"), F.col("size")))
-    # Each block once: its hash, and whether it has a constant token.
-    lines = lines.withColumn("blocks", F.when(F.col("wide") > 0, F.transform(block, lambda t: F.struct(F.xxhash64(t).alias("h"), F.exists(t, lambda x: x != FIELD).alias("constant")))))
-
-    def without(k: Column) -> Column:
-        rest = F.filter("blocks", lambda b, i: (i < k) | (i >= k + F.col("wide")))
-        return F.when(F.exists(rest, lambda b: b["constant"]), F.xxhash64("leaf", k, F.transform(rest, lambda b: b["h"])))
-
-    general = F.transform(F.sequence(F.lit(0), F.size("blocks") - F.col("wide")), without)
-    itself = F.array(F.when(F.exists("tokens", lambda x: x != FIELD), F.xxhash64("masked")))
-    every = F.filter(F.concat(itself, F.when(F.col("wide") > 0, general).otherwise(F.array().cast("array<bigint>"))), lambda t: t.isNotNull())
-    return lines.select("doc_id", "text_id", "no", every.alias("templates")).where(F.size("templates") > 0)
+    """doc_id, text_id, no and the templates of every line with a token."""
+    lines = docs.select("doc_id", "text_id", F.posexplode(_masked(F.col("text"))).alias("no", "masked")).where("masked <> ''")
+    return lines.select("doc_id", "text_id", "no", _templates_of(F.col("masked"), depth, similarity).alias("templates"))
 
 
 def dedup(docs: DataFrame, depth: int = 3, similarity: int = 70, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
