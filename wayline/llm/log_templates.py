@@ -41,6 +41,11 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _constant(tokens: Column) -> Column:
+    """Whether some token is not a field."""
+    return F.size(F.array_remove(tokens, FIELD)) > 0
+
+
 def _templates_of(masked: Column, depth: int, similarity: int) -> Column:
     """The templates (hashes) of a line."""
     def general(tokens: Column, cut: Column) -> Column:
@@ -49,7 +54,7 @@ def _templates_of(masked: Column, depth: int, similarity: int) -> Column:
 
         # Each block once: its hash, and whether it has a constant token.
         def block(k: Column) -> Column:
-            return _bound(F.slice(tokens, depth + 1 + k * size, size), lambda t: F.struct(F.xxhash64(t).alias("h"), F.exists(t, lambda x: x != FIELD).alias("constant")))
+            return _bound(F.slice(tokens, depth + 1 + k * size, size), lambda t: F.struct(F.xxhash64(t).alias("h"), _constant(t).alias("constant")))
 
         def without(k: Column, blocks: Column) -> Column:
             rest = F.filter(blocks, lambda b, i: (i < k) | (i >= k + wide))
@@ -62,7 +67,7 @@ def _templates_of(masked: Column, depth: int, similarity: int) -> Column:
         free = F.greatest(F.lit(0), F.size(tokens) - depth)
         most = F.floor(free * (100 - similarity) / 100).cast("int")
         cut = F.struct(free.alias("free"), F.greatest(F.lit(1), F.floor(most / 2).cast("int")).alias("size"), F.least(F.lit(2), most).alias("wide"))
-        itself = F.array(F.when(F.exists(tokens, lambda x: x != FIELD), F.xxhash64(masked)))
+        itself = F.array(F.when(_constant(tokens), F.xxhash64(masked)))
         return F.concat(itself, _bound(cut, lambda c: F.when(c["wide"] > 0, general(tokens, c)).otherwise(F.array().cast("array<bigint>"))))
 
     return F.filter(_bound(F.split(masked, " "), every), lambda t: t.isNotNull())
@@ -92,11 +97,12 @@ def dedup(docs: DataFrame, depth: int = 3, similarity: int = 70, id_col: str = "
 
 def _dropped(rows: DataFrame, depth: int, similarity: int) -> DataFrame:
     """doc_id, text_id and the places of the lines to drop."""
-    keys = settle(_templates(rows.where("doc_id is not null"), depth, similarity))
-    each = keys.select("doc_id", "text_id", "no", F.explode("templates").alias("template"))
+    keys = settle(_templates(rows.where("doc_id is not null"), depth, similarity).withColumn("row", F.monotonically_increasing_id()))
+    each = keys.select("doc_id", "row", F.explode("templates").alias("template"))
     # Stored, so that the join below has an exchange of its own on both sides, which Spark can split at a common template.
     recurring = settle(each.groupBy("template").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner <> hi").select("template", "owner"))
-    return each.join(recurring, "template").where("doc_id <> owner").groupBy("doc_id", "text_id").agg(F.collect_set("no").alias("gone"))
+    lines = each.join(recurring, "template").where("doc_id <> owner").select("row").distinct()
+    return keys.select("doc_id", "text_id", "no", "row").join(lines, "row", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list("no").alias("gone"))
 
 
 def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
