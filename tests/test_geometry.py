@@ -57,6 +57,16 @@ def test_bearings(spark):
     assert tuple(one(spark, G.velocity_bearing(fwd, at(1, 1, 1), at(1, 1, 1), F.lit("space")))) == (0.0, 0.0)
 
 
+def test_straight_back_keeps_the_sign_of_zero(spark):
+    """As in ``math.atan2``: -180 for a difference of zero, 180 for a negative zero."""
+    for dx in (0.0, -0.0):
+        want = math.degrees(math.atan2(-dx, -5.0))
+        assert one(spark, G.heading(F.lit(dx), F.lit(-5.0))) == want
+    assert one(spark, G.flat_heading(at(1, 7, 0), at(1, 2, 0))) == -180.0
+    assert one(spark, G.great_circle_bearing(at(0, 0, 300), at(0, -300, 0))) == -180.0
+    assert one(spark, G.absolute_bearing(at(1, 7, 0), at(1, 2, 3), F.lit("space")))["yaw_deg"] == -180.0
+
+
 def test_numbers_as_text(spark):
     axis = [(5.4, "+5.4"), (50.0, "+50"), (1500.0, "+1.5k"), (-0.02, "-0.0"), (-2.5, "-2.5"), (12.5, "+12"), (13.5, "+14")]
     for km, want in axis:

@@ -58,9 +58,15 @@ def flat_distance(a: Vec, b: Vec) -> Column:
     return F.hypot(b.x - a.x, b.y - a.y)
 
 
+def turned_from_y(dx: Column, dy: Column) -> Column:
+    """``atan2(-dx, dy)`` in degrees. Spark's ``atan2`` drops the sign of a zero, which tells -180 from 180."""
+    back = F.when(dx.cast("string") == "-0.0", F.lit(180.0)).otherwise(F.lit(-180.0))
+    return F.when((dx == 0) & (dy < 0), back).otherwise(F.degrees(F.atan2(-dx, dy)))
+
+
 def heading(dx: Column, dy: Column) -> Column:
     """World heading of a horizontal vector; a zero vector heads 0."""
-    return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(F.degrees(F.atan2(-dx, dy)))
+    return F.when((dx == 0) & (dy == 0), F.lit(0.0)).otherwise(turned_from_y(dx, dy))
 
 
 def flat_heading(a: Vec, b: Vec) -> Column:
@@ -83,7 +89,7 @@ def great_circle_bearing(a: Vec, b: Vec) -> Column:
     scale = F.try_divide(a.x * b.x + a.y * b.y + a.z * b.z, a.x * a.x + a.y * a.y + a.z * a.z)
     tx, ty = b.x - scale * a.x, b.y - scale * a.y
     usable = body_relative(a, b) & ~((tx == 0) & (ty == 0))
-    return F.when(usable, F.degrees(F.atan2(-tx, ty))).otherwise(flat_heading(a, b))
+    return F.when(usable, turned_from_y(tx, ty)).otherwise(flat_heading(a, b))
 
 
 def space_distance(a: Vec, b: Vec) -> Column:
