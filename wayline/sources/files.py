@@ -18,6 +18,17 @@ SESSION_FILE = r"telemetry-(\d{8}-\d{6})"
 IMAGE_FILE = r"(?i)\.(png|jpg|bmp)$"
 
 
+def _read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Text of very many small folders: a few tasks list them, not one task a folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.text(path)
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Telemetry lines of many sessions, whatever keys each of them has.
 
@@ -26,7 +37,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     JSON object keeps only ``_corrupt``. ``sid`` is the launch stamp in the name
     of the file or of its folder.
     """
-    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), SESSION_FILE, 1).alias("sid"), "value",
+    lines = _read_text(spark, path).select(F.regexp_extract(F.col("_metadata.file_path"), SESSION_FILE, 1).alias("sid"), "value",
                                          F.try_parse_json("value").alias("_v"))
     sound = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     known = [f for f in schemas.TELEMETRY.fields if f.name != "_corrupt"]
