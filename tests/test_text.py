@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import text as X
 from wayline.operators import readings as R
+from wayline.session import spread
 
 
 def col(spark, values, fn):
@@ -144,3 +146,29 @@ def test_paths_and_folders(spark):
     folders = col(spark, chars, X.encode_label)
     assert folders == ["_colon", "_dot", "_space", "_dash", "_upA", "a", "7"]
     assert col(spark, folders, X.decode_label) == chars
+
+
+def test_steps_left_out_would_change_nothing(spark):
+    """The guarded steps against all steps, on lines made of what the patterns look at."""
+    draw = random.Random(7)
+    parts = ["Pos", "pos:", "Pos:", "P05:", "9a5", "Zone:", "Zane:", "GGC", "R0ot", " ", "  ", "\t", "\n", "_", "-", ".", ",", "km", "k", "kh", "K", "m", "l",
+             "1", "5", "0", "12", "345", "6789", "123456", "1.2345km", "61km", "-7.25m", "G", "O", "Z", "J", "I", "i", "|", "\u0001", "a", "x ", "Ooc "]
+    lines = ["".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(20000)]
+    df = spark.createDataFrame([(t,) for t in lines], "t string").repartition(8)
+    every = reduce(lambda c, s: F.regexp_replace(c, s[0], s[1]), X.NORMAL_FORM, F.col("t"))
+    replaced = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), X.CORRECTIONS, F.col("t"))
+    told = df.select("t", X.normalize_line(F.col("t")).alias("n"), every.alias("all"), X.correct_literals(F.col("t")).alias("c"), replaced.alias("r"))
+    assert told.filter("n <> `all` or c <> r").collect() == []
+    assert told.filter("n <> t").count() > 10000 and told.filter("n = t").count() > 300
+    none = df.limit(1).select(X.normalize_line(F.lit(None).cast("string")).alias("n"), X.correct_literals(F.lit(None).cast("string")).alias("c")).first()
+    assert (none["n"], none["c"]) == (None, None)
+
+
+def test_a_large_scan_is_dealt_to_more_tasks_than_cores(spark, tmp_path):
+    spark.range(100).repartition(5).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(256 * 2 ** 20))  # a split per file
+    try:
+        assert spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
