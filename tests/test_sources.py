@@ -120,3 +120,23 @@ def test_streaming_statistics_and_sink(spark, tmp_path):
         q.stop()
     assert spark.read.schema("t_capture double, t_wall double").json(str(tmp_path / "sink")).filter("t_wall is not null").count() == 20
     assert S.stream_telemetry(stream(), "x", "y", enabled=False) is None
+
+
+def test_a_session_is_written_by_one_task(spark):
+    """Whatever the number of tasks, a session's folder holds one file."""
+    import glob
+
+    import __spark_entry__
+    from wayline.session import shared_folder
+
+    place, name = f"{shared_folder(spark).removeprefix('file:')}/telemetry-*", "spark.sql.adaptive.coalescePartitions.enabled"
+    known, before = set(glob.glob(place)), spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = __spark_entry__.queries()["s1_telemetry_lines"](spark, "/root/testdata/sf0.01").count()
+    finally:
+        spark.conf.set(name, before)
+    written, = set(glob.glob(place)) - known
+    folders = glob.glob(f"{written}/session=*")
+    assert rows == 10000 and len(folders) > 100
+    assert all(len(glob.glob(f"{f}/part-*")) == 1 for f in folders)
