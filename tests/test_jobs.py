@@ -52,6 +52,25 @@ def test_consensus_equals_brute_force_with_a_hot_frame(spark, spread, step):
     assert got == brute_consensus(votes)
 
 
+@pytest.mark.parametrize("small", [0, 5, 64])
+def test_frames_gathered_and_frames_in_cells_agree(spark, small):
+    rng = random.Random(5)
+    votes = [(i % 9 if i % 2 else 0, i, "p", float(rng.randrange(3)), *[round(rng.uniform(0, 2.5), 1) + 9.0 for _ in range(3)], f"z{i}", "Unknown") for i in range(150)]
+    df = spark.createDataFrame(votes, VOTE)
+    got = {r["frame_id"]: (r["size"], *[round(r[c], 6) for c in "xyz"], r["score"], r["ooc"])
+           for r in O.consensus(df, ["frame_id"], extra=("ooc",), small=small).collect()}
+    assert got == brute_consensus(votes)
+    sizes = {(r["frame_id"], r["ord"]): r["size"] for r in O.agreeing(df, ["frame_id"], small=small).collect()}
+    assert sizes == {(v[0], v[1]): sum(v[0] == o[0] and all(abs(v[k] - o[k]) <= 1.0 for k in (4, 5, 6)) for o in votes) for v in votes}
+
+
+def test_small_frames_meet_in_one_exchange_of_the_votes(spark):
+    df = spark.range(600).selectExpr("cast(id div 4 as int) as frame_id", "cast(id as int) as ord", "'p' as pass", "1.0D as score",
+                                     *[f"id % 3 / 2.0D as {c}" for c in "xyz"], "'z' as ooc", "'u' as location")
+    for out in (O.consensus(df, ["frame_id"], extra=("ooc",)), O.agreeing(df, ["frame_id"])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_best_pass_may_lack_a_position_and_glyph_overrides(spark):
     votes = [(1, 1, "a", 10.0, None, None, None, None, "Unknown"), (1, 2, "b", 5.0, 1.0, 1.0, 1.0, "z", "Unknown"),
              (2, 1, "a", 9.0, 500.0, 0.0, 0.0, "z", "Stanton"), (2, 2, "b", 9.0, 2.0, 0.0, 0.0, "y", "Unknown")]
