@@ -300,6 +300,13 @@ def test_otsu_bands_and_boxes(spark):
     assert P.row_text(glyphs, ["row_idx"], gap=1, tile_px=8).first()["text"] == "1? 3 4"
 
 
+def test_text_rows_are_merged_in_as_many_tasks_as_asked_for(spark):
+    boxes = spark.range(3000).selectExpr("id % 70 as row_idx", "cast(id * 13 % 120 as int) as x", "cast(id % 7 as int) as y", "cast(id % 3 + 1 as int) as w", "cast(4 as int) as h")
+    dealt = P.merge_boxes(boxes, ["row_idx"], tasks=23)
+    assert dealt.rdd.getNumPartitions() == 23
+    assert sorted(dealt.collect()) == sorted(P.merge_boxes(boxes, ["row_idx"]).collect())
+
+
 def test_templates_shift_reject_and_fallback(spark):
     rng = np.random.default_rng(3)
     base = rng.random((3, 24))

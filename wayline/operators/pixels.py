@@ -97,10 +97,16 @@ def supported_rows(boxes: DataFrame, keys: list[str], glyph: str = "glyph") -> D
             .filter((F.col("glyphs") >= ROW_MIN_GLYPHS) & (F.col("confident") >= ROW_MIN_CONFIDENT)))
 
 
-def merge_boxes(boxes: DataFrame, keys: list[str], gap: int = MERGE_GAP) -> DataFrame:
-    """Merge boxes nearer than ``gap`` to the end of everything merged so far."""
+def merge_boxes(boxes: DataFrame, keys: list[str], gap: int = MERGE_GAP, tasks: int | None = None) -> DataFrame:
+    """Merge boxes nearer than ``gap`` to the end of everything merged so far.
+
+    ``tasks``, where given, is the number of tasks among which text rows are
+    dealt; what a task holds in memory is its share of them.
+    """
     spans = boxes.groupBy(*keys, "x").agg(F.max(F.col("x") + F.col("w")).alias("x1"), F.min("y").alias("y0"),
                                           F.max(F.col("y") + F.col("h")).alias("y1"))
+    if tasks:
+        spans = spans.repartition(tasks, *keys)
     across = Window.partitionBy(*keys).orderBy("x")
     reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce((F.col("x") - reach >= gap).cast("int"), F.lit(0))

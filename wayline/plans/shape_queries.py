@@ -11,6 +11,7 @@ from wayline.operators import snapshots as N
 from wayline.operators import templates as M
 from wayline.plans import views as V
 from wayline.plans.registry import dr, query, r
+from wayline.session import shares
 
 KEY, ROW = ["frame_id"], ["frame_id", "row_idx"]
 
@@ -72,7 +73,7 @@ ic as (select *, sum(case when x-reach>=2 then 1 else 0 end) over (partition by
 
 @query("w20_merge_boxes", V.duck("box", body=_MERGE + " select frame_id, row_idx, min(x) as x, min(y0) as y, max(x1)-min(x) as w, max(y1)-min(y0) as h from ic group by frame_id, row_idx, i"))
 def w20(spark, sf_dir):
-    return P.merge_boxes(V.box(spark, sf_dir), ROW)
+    return P.merge_boxes(V.box(spark, sf_dir), ROW, tasks=shares(V.table(spark, sf_dir, "lineitem")))
 
 
 @query("w21_row_text", V.duck("box", body="lg as (select *, lag(x+w) over (partition by frame_id, row_idx order by x, id) as pe from box) select frame_id, row_idx, string_agg(concat(case when x-pe>6 then ' ' else '' end, coalesce(glyph,'?')), '' order by x, id) as text from lg group by 1,2"))
