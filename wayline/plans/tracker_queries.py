@@ -9,6 +9,7 @@ from wayline.operators import tracks as K
 from wayline.plans import geometry_queries as GQ
 from wayline.plans import views as V
 from wayline.plans.registry import dr, query, r
+from wayline.session import settle
 
 B = V.BLOCK_S
 
@@ -258,8 +259,10 @@ def r1(spark, sf_dir):
         r(F.col("pitch_off"), 3).alias("pitch_off"), "confident", r(F.col("coord_age_s")).alias("coord_age_s"))
 
 
-def _silent(spark, sf_dir):
-    return S.silent_changes(tracked(spark, sf_dir), session_commands(spark, sf_dir), _TUNE, _GRACE, B)
+def _silent(spark, sf_dir, event, steps):
+    """One kind of change, from those steps of the replay that it depends on; commands are read twice, so stored once."""
+    commands = settle(session_commands(spark, sf_dir))
+    return S.silent_changes(steps(session_ticks(spark, sf_dir), commands, _TUNE, _GRACE, B), commands, _TUNE, _GRACE, B, (event,))
 
 
 _SILENT = _replay_sql() + f""", ev as (select sid, t, 5 as rk, seq, n, true as mv from kr union all
@@ -270,9 +273,9 @@ sl as (select kr.*, nx.nt, nx.nm from kr join nx on nx.sid=kr.sid and nx.n=kr.n)
 
 @query("r7_silent_loss", V.duck("target_event", "poi", recursive=True, body=_SILENT + f" select sid, seq, {dr('t + (2 - age)')} as t_lost from sl where not lost and (nm is null or t + (2 - age) < nm)"))
 def r7(spark, sf_dir):
-    return _silent(spark, sf_dir).filter("event = 'integrity'").select("sid", "seq", r(F.col("t_change")).alias("t_lost"))
+    return _silent(spark, sf_dir, "integrity", S.filtered).select("sid", "seq", r(F.col("t_change")).alias("t_lost"))
 
 
 @query("r8_grace_expiry", V.duck("target_event", "poi", recursive=True, body=_SILENT + f" select sid, seq, {dr(f't_set + {_GRACE}')} as t_out from sl where in_zone and hit=0 and tx is not null and t_ooc is not null and (nt is null or t_set + {_GRACE} < nt)"))
 def r8(spark, sf_dir):
-    return _silent(spark, sf_dir).filter("event = 'zone'").select("sid", "seq", r(F.col("t_change")).alias("t_out"))
+    return _silent(spark, sf_dir, "zone", S.located).select("sid", "seq", r(F.col("t_change")).alias("t_out"))
