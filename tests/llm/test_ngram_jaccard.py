@@ -99,3 +99,28 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[k] == 100 for k in range(100, 181)) and all(got[k] == 7 for k in range(300, 340)) and got[340] == got[1] == 1 and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tokens_are_stored_once_and_not_shuffled(docs_of, monkeypatch):
+    seen, plain = [], N.settle
+    monkeypatch.setattr(N, "settle", lambda df: seen.append(df.columns) or plain(df))
+    N.groups(docs_of([" ".join(f"v{k}" for k in range(j, j + 60)) for j in range(20)])).collect()
+    assert [c for c in seen if "tokens" in c and "mark" in c] == [["doc_id", "n", "key", "tokens", "mark"]]
+    assert sum("tokens" in c for c in seen) == 2  # once more for the sets where components meet
+
+
+def test_classes_of_tokens(spark):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << N.TOKEN_BITS, 3000) & ~np.int64(0xFFFFFF) | np.arange(3000)  # places apart
+    times = rng.choice([1, 2, 3, 4, 9], len(low))
+    sets = [[int(t) for t, c in zip(low, times) if c > k] for k in range(9)]
+    rows = spark.createDataFrame([(k, len(t), t) for k, t in enumerate(sets)], "node long, n long, tokens array<long>").repartition(4)
+    for bits in (24, 30):
+        common, frequent = N._classes(rows, N.Rule(80, 100, 1.0), 3, bits)
+        assert (N.in_bit_table(common, low) == (times > 1)).all() and (N.in_bit_table(frequent, low) == (times > 3)).all()
+
+
+def test_copies_of_one_text_give_one_whole_set(docs_of):
+    docs = N.pick(docs_of(["a b c d e f g"] * 300 + ["x y z u v w"] * 2, [7] * 300 + [7, 8]), doc_id="doc_id", text="text")
+    got = N._full_sets(docs, 5, docs.sparkSession.createDataFrame([(7,)], "node long")).collect()
+    assert [(r.node, len(r.tokens)) for r in sorted(got, key=lambda r: len(r.tokens))] == [(7, 2), (7, 3)]

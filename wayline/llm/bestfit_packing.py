@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from wayline.llm import ngram_jaccard
 from wayline.llm.common import ascii_lower, pick, settle
 
+WORD = r"[^ \t\n\r\x0B\f]+"
 SCHEMA = "bin_id long, offset long, doc_id long, piece long, first_token long, n_tokens long"
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
@@ -76,7 +77,8 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens
     n_tokens and cluster are expressions over text; by default the number of
     words, and a digest of the text in lower case, so that equal texts are one
     cluster. near, if given, has the clusters of texts as near_copies() tells
-    them; cluster then holds for other texts only. Null sources conflict with
+    them; cluster then holds for other texts only, by default for those without
+    words. Null sources conflict with
     nothing; a null text is empty and conflicts with no other, and a text
     without tokens is one piece of none. No two pieces in a bin share a source or a cluster, except that what is left
     of a document never meets its own full pieces, which fill bins by
@@ -86,6 +88,8 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
     words = word_count(F.col("text")) if n_tokens is None else n_tokens
     group = F.md5(ascii_lower(F.col("text")).cast("binary")) if cluster is None else cluster
+    if near is not None and cluster is None:
+        group = F.when(~F.col("text").rlike(WORD), group)
     shards = max(1, -(-docs.count() // shard_docs))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"), F.col("source").cast("string").alias("source"), group.cast("string").alias("cluster"),
                         F.xxhash64("text").alias("text_id"))

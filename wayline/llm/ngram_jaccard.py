@@ -141,9 +141,15 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
 
 
-def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray) -> DataFrame:
+def _held(batch: pa.RecordBatch, held: np.ndarray | None) -> pa.RecordBatch:
+    """The rows whose mark (the last column) is in the table; all rows without one."""
+    return batch if held is None else batch.filter(pa.array(in_bit_table(held, batch.column(batch.num_columns - 1).to_numpy())))
+
+
+def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray, held: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
+            batch = _held(batch, held)
             if not batch.num_rows:
                 continue
             flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
@@ -154,27 +160,97 @@ def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: n
                         column.append(values)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["sig", "node", "n", "pos"])
 
-    return sets.where("n > 1").select("node", "n", "tokens").mapInArrow(run, "sig long, node long, n long, pos long")
+    return _columns(sets, ["node", "n", "tokens"], held).mapInArrow(run, "sig long, node long, n long, pos long")
+
+
+def _columns(sets: DataFrame, names: list[str], held: np.ndarray | None) -> DataFrame:
+    return sets.where("n > 1").select(*names, *([] if held is None else ["mark"]))
 
 
 def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """node, tokens: the whole set of each wanted node."""
+    """node, tokens: the whole set of each wanted node, or sets if its texts differ; each once, however many copies there are."""
     table, _ = bit_table(wanted, F.col("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of this task's rows
         for batch in pieces(batches):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             some = batch.filter(pa.array(in_bit_table(table, ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([some.column(0), lists([tokens_of(t, width) for t in some.column(1).to_pylist()])], ["node", "tokens"])
+            nodes, sets = [], []
+            for node, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                own = node, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+                if own not in seen:
+                    seen.add(own)
+                    nodes.append(node)
+                    sets.append(tokens_of(text, width))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(sets)], ["node", "tokens"])
 
-    return docs.mapInArrow(run, "node long, tokens array<long>").join(wanted, "node", "left_semi")
+    found = docs.mapInArrow(run, "node long, tokens array<long>").join(wanted, "node", "left_semi")
+    return found.groupBy("node", F.xxhash64("tokens")).agg(F.first("tokens").alias("tokens")).select("node", "tokens")
 
 
-def _classes(sets: DataFrame, rule: Rule, frequent_from: int, table_bits: int) -> list[np.ndarray]:
-    """Tables of the tokens in several sets, and of those in more than frequent_from."""
-    counted = (sets.where("n > 1").select(F.explode("tokens").alias("t")).where(F.col("t") < rule.counted)
-               .groupBy("t").count().where("count > 1"))
-    return bit_table(counted, F.col("t"), table_bits, F.col("count") > frequent_from)
+def _classes(sets: DataFrame, rule: Rule, frequent_from: int, table_bits: int, held: np.ndarray | None = None) -> list[np.ndarray]:
+    """Tables of the tokens in several sets, and of those in more than frequent_from.
+
+    A bucket is a stretch of both tables. Tokens go to their bucket as sorted
+    words of 32 bits: their place in it and further bits, so that tokens of one
+    place are counted apart (a collision takes a rare token for a shared one).
+    """
+    top = min(10, max(0, table_bits - 6))
+    low = min(32, table_bits - top)
+    again = frequent_from + 1
+
+    def packed(tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        t = np.concatenate(tokens).astype(np.uint64)
+        place, more = t & np.uint64((1 << low) - 1), t >> np.uint64(low + top)
+        bucket = (t >> np.uint64(low)) & np.uint64((1 << top) - 1)
+        word = (bucket << np.uint64(32)) | place | ((more << np.uint64(low)) & np.uint64((1 << 32) - 1))
+        word.sort()
+        keep = np.ones(len(word), bool)  # one more than frequent_from of a kind say as much as all
+        keep[again:] = word[again:] != word[:-again]
+        word = word[keep]
+        bucket = (word >> np.uint64(32)).astype(np.int32)
+        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        values = word.astype(np.uint32).astype("<u4")
+        parts = [values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(word)])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "words"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in pieces(batches):
+            batch = _held(batch, held)
+            t = batch.column(0).flatten().to_numpy()
+            t = t[t < rule.counted]
+            if len(t):
+                waiting.append(t)
+                size += len(t)
+            if size >= 1 << 21:
+                yield from packed(waiting)
+                waiting, size = [], 0
+        if size:
+            yield from packed(waiting)
+
+    def count(group: pa.Table) -> pa.Table:
+        words = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column(1)]))
+        first = np.concatenate([[0], np.flatnonzero(words[1:] != words[:-1]) + 1])
+        times = np.diff(np.append(first, len(words)))
+        found = words[first].astype(np.int64) & ((1 << low) - 1)
+        tables = []
+        for least in (1, frequent_from):
+            marked = np.zeros(1 << low, bool)
+            marked[found[times > least]] = True
+            tables.append(np.packbits(marked, bitorder="little").tobytes())
+        return pa.table({"bucket": pa.array([group.column(0)[0].as_py()], pa.int32()), "common": pa.array([tables[0]], pa.binary()), "frequent": pa.array([tables[1]], pa.binary())})
+
+    dealt = _columns(sets, ["tokens"], held).mapInArrow(send, "bucket int, words binary")
+    found = dealt.groupBy("bucket").applyInArrow(count, "bucket int, common binary, frequent binary").toArrow()
+    out = []
+    for name in ("common", "frequent"):
+        table = np.zeros((1 << top, (1 << low) // 8), np.uint8)
+        for bucket, part in zip(found["bucket"].to_pylist(), found[name].to_pylist()):
+            table[bucket] = np.frombuffer(part, np.uint8)
+        out.append(table.reshape(-1).view("<u8"))
+    return out
 
 
 def _linked(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
@@ -200,27 +276,31 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequ
     """
     rule = Rule(num, den)
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = settle(_sets(docs, width, rule))
-    sets = settle(rows.where("key is not null and doc_id is not null").groupBy("key")
-                  .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-    named = settle(rows.select("doc_id", "n", "key").join(sets.select("key", "node"), "key", "left").select("doc_id", "n", "node"))
+    # Tokens are stored once and never shuffled: a table of bits says which row stands for its set. A row
+    # that it names by mistake is a copy, which has the same links as the row that stands for it.
+    rows = settle(_sets(docs, width, rule).withColumn("mark", F.xxhash64(F.monotonically_increasing_id())))
+    own = rows.where("key is not null and doc_id is not null")
+    chosen = settle(own.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("own")).select("key", F.col("own.doc_id").alias("node"), F.col("own.mark").alias("mark")))
+    named = settle(rows.select("doc_id", "n", "key").join(chosen.select("key", "node"), "key", "left").select("doc_id", "n", "node"))
+    held, _ = bit_table(chosen, F.col("mark"), table_bits)
+    sets = own.select(F.col("doc_id").alias("node"), "n", "tokens", "mark")
     several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc_id", "a")
     same = several.join(named, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()  # texts of one id
 
-    signatures = _signature_rows(sets, rule, *_classes(sets, rule, frequent_from, table_bits))
+    signatures = _signature_rows(sets, rule, *_classes(sets, rule, frequent_from, table_bits, held), held)
     met = signatures.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
     shared = settle(signatures.join(met, "sig"))
     may = f"{num + den} * least(l.n - l.pos, r.n - r.pos) >= {num} * (l.n + r.n)"
     pivots = shared.groupBy("sig").agg(F.min(F.struct("pos", "node", "n")).alias("p")).select("sig", F.col("p.node").alias("node"), F.col("p.n").alias("n"), F.col("p.pos").alias("pos"))
     stars = settle(shared.alias("l").join(pivots.alias("r"), F.expr(f"l.sig = r.sig and l.node <> r.node and {may}"))
                    .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct())
-    full = _full_sets(docs, width, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    full = _full_sets(docs, width, settle(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     links = settle(_linked(stars, full, rule).unionByName(same))
     first = components(links)
 
     # Where components meet, all tokens of their sets are counted, so that the order tells more of them apart.
     placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = _several(placed).join(shared, "sig").select("node").distinct()
+    open_ = settle(_several(placed).join(shared, "sig").select("node").distinct())
     rest = settle(_full_sets(docs, width, open_).withColumn("n", F.size("tokens").cast("long")))
     whole = Rule(num, den, 1.0)
     finer = _signature_rows(rest, whole, *_classes(rest, whole, frequent_from, table_bits)).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
