@@ -86,3 +86,11 @@ def test_random_families_by_brute_force(docs_of):
     got = T.dedup(docs_of([t for _, t in rows], [i for i, _ in rows])).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted(brute(rows))
     assert any(r.n_dropped for r in got) and any(r.n_lines and not r.n_dropped for r in got)
+
+
+def test_only_likely_templates_are_exchanged_again(spark):
+    every = spark.range(-30000, 30000).selectExpr("id as doc_id", "id as row", "xxhash64(id) as template")
+    recurring = every.where("doc_id % 100 = 0").selectExpr("template", "doc_id as owner")
+    got = {r.doc_id for r in T._likely(every, recurring).select("doc_id").collect()}
+    assert got >= set(range(-30000, 30000, 100)) and len(got) < 700
+    assert T._likely(every, recurring, 6).count() == 60000 and T._likely(every, recurring.limit(0)).count() == 0

@@ -95,13 +95,25 @@ def dedup(docs: DataFrame, depth: int = 3, similarity: int = 70, id_col: str = "
     return _without(rows, _dropped(rows, depth, similarity)).select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.col("cleaned").alias("text"))
 
 
+def _likely(each: DataFrame, recurring: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of each whose template may be recurring; most others need no exchange then.
+
+    The low bits of recurring templates mark a table of 2**bits bits, broadcast
+    as words of 64: 2**20 rows at most, whatever the number of templates.
+    """
+    word, bit = F.expr(f"shiftright(template & {(1 << bits) - 1}, 6)"), F.expr("cast(template & 63 as int)")
+    words = recurring.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("marks"))
+    met = each.withColumn("word", word).join(F.broadcast(words), "word").withColumn("bit", bit)
+    return met.where("shiftright(marks, bit) & 1 = 1").select(*each.columns)
+
+
 def _dropped(rows: DataFrame, depth: int, similarity: int) -> DataFrame:
     """doc_id, text_id and the places of the lines to drop."""
     keys = settle(_templates(rows.where("doc_id is not null"), depth, similarity).withColumn("row", F.monotonically_increasing_id()))
     each = keys.select("doc_id", "row", F.explode("templates").alias("template"))
     # Stored, so that the join below has an exchange of its own on both sides, which Spark can split at a common template.
     recurring = settle(each.groupBy("template").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner <> hi").select("template", "owner"))
-    lines = each.join(recurring, "template").where("doc_id <> owner").select("row").distinct()
+    lines = _likely(each, recurring).join(recurring, "template").where("doc_id <> owner").select("row").distinct()
     return keys.select("doc_id", "text_id", "no", "row").join(lines, "row", "left_semi").groupBy("doc_id", "text_id").agg(F.collect_list("no").alias("gone"))
 
 
