@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -124,21 +125,33 @@ def notice(s: Session, event: str, **values) -> dict:
     return {**base, "event": event, "t_capture": s.t, "target": s.target["name"] if s.target else None, **values}
 
 
+def column(kind: str, values: list) -> pd.Series | np.ndarray:
+    """The values of one column, of its Spark type; None is null."""
+    if kind == "double":
+        return np.array([np.nan if v is None else v for v in values], np.float64)
+    if kind == "boolean":
+        return pd.array(values, dtype="boolean")
+    if kind == "long":
+        return pd.array(values, dtype="Int64")
+    return pd.to_datetime(pd.Series(values)) if kind == "timestamp" else pd.Series(values, dtype=object)
+
+
+#: Columns of the output without the key, and their types.
+KINDS = {f.name: f.dataType.typeName() for f in schemas.SESSION_OUTPUT.fields if f.name != "sid"}
+
+
 def frame(sid, rows: list[dict]) -> pd.DataFrame:
-    names = [f.name for f in schemas.SESSION_OUTPUT.fields]
-    out = pd.DataFrame(rows, columns=[n for n in names if n != "sid"])
-    out.insert(0, "sid", sid)
-    for f in schemas.SESSION_OUTPUT.fields:
-        kind = f.dataType.typeName()
-        if kind == "double":
-            out[f.name] = out[f.name].astype("float64")
-        elif kind == "boolean":
-            out[f.name] = out[f.name].astype("boolean")
-        elif kind == "timestamp":
-            out[f.name] = pd.to_datetime(out[f.name])
-        elif f.name == "seq":
-            out[f.name] = out[f.name].astype("Int64")
-    return out[names]
+    """Rows of one key. Made of whole columns, as a session has few rows and a conversion costs more than its values."""
+    return pd.DataFrame({"sid": [sid] * len(rows)} | {name: column(kind, [r[name] for r in rows]) for name, kind in KINDS.items()}, copy=False)
+
+
+RANK = {e: k for k, e in enumerate(COMMANDS)}
+
+
+def in_order(row: dict) -> tuple:
+    """By capture time, commands before ticks, then by number; what is missing comes last."""
+    t, seq = row["t_capture"], row["seq"]
+    return t is None, t or 0.0, RANK.get(row["event"], len(COMMANDS)), seq is None, seq or 0
 
 
 class SessionTracker(StatefulProcessor):
@@ -154,13 +167,11 @@ class SessionTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key's rows of one micro-batch; the trigger's rate limit bounds them.
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch["_rank"] = batch["event"].map({e: k for k, e in enumerate(COMMANDS)}).fillna(len(COMMANDS))
-        batch = batch.sort_values(["t_capture", "_rank", "seq"], kind="stable")
-        s, out = self._session(), []
-        names = list(batch.columns)
-        for values in zip(*[nullable_list(batch[c]) for c in names]):
-            row = dict(zip(names, values))
+        batch = [dict(zip(part.columns, values)) for part in rows for values in zip(*[nullable_list(part[c]) for c in part.columns])]
+        batch.sort(key=in_order)
+        known = self.state.exists()
+        s, out = self._session() if known else Session(), []
+        for row in batch:
             if row["event"] != "tick":
                 command(s, row)
                 continue
@@ -169,14 +180,14 @@ class SessionTracker(StatefulProcessor):
                 out.append(result)
             if row["ts"] is not None:
                 s.wall_ms = max(s.wall_ms or 0, int(pd.Timestamp(row["ts"]).value // 1_000_000))
-        self._schedule(s)
+        self._schedule(s, known)
         self.state.update((s.dump(),))
         if out:
             yield frame(key[0], out)
 
-    def _schedule(self, s: Session) -> None:
-        """Wake up when the track goes stale and when the zone grace ends."""
-        for timer in list(self.handle.listTimers()):
+    def _schedule(self, s: Session, known: bool) -> None:
+        """Wake up when the track goes stale and when the zone grace ends. A session not known before has no timers yet."""
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
         if s.wall_ms is None:
             return
