@@ -124,3 +124,16 @@ def test_copies_of_one_text_give_one_whole_set(docs_of):
     docs = N.pick(docs_of(["a b c d e f g"] * 300 + ["x y z u v w"] * 2, [7] * 300 + [7, 8]), doc_id="doc_id", text="text")
     got = N._full_sets(docs, 5, docs.sparkSession.createDataFrame([(7,)], "node long")).collect()
     assert [(r.node, len(r.tokens)) for r in sorted(got, key=lambda r: len(r.tokens))] == [(7, 2), (7, 3)]
+
+
+def test_rounds_on_few_links_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long").repartition(30))
+        assert got.rdd.getNumPartitions() <= 8 and {r.component for r in got.collect()} == {0} and got.count() == 41
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
