@@ -76,3 +76,11 @@ def test_query_keeps_near_copies_apart(spark, tmp_path):
     assert all(bins[3 * k] != bins[3 * k + 1] for k in range(6)) and bins[102] != bins[103]
     # Three copies in each group, so three bins, each with one copy of every group.
     assert sorted(Counter(r.bin_id for r in got if r.n_tokens).values()) == [6, 6, 6]
+
+
+def test_near_copies_bring_the_words_of_texts(docs_of, monkeypatch):
+    docs = docs_of(["a b  c\td", "a b  c\td", "é\x0bx", " \n", None], [1, 2, None, 4, 5])
+    near = B.near_copies(docs)
+    assert sorted(r.n_words for r in near.collect()) == [2, 4]
+    monkeypatch.setattr(B, "word_count", None)  # so texts are not searched for words again
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in B.pack(docs, near=near).collect()) == [(0, 2), (1, 4), (2, 4), (4, 0), (5, 0)]

@@ -137,3 +137,43 @@ def test_rounds_on_few_links_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(8)
+    for size in (1, 40, 300, 2000):
+        x = np.unique(rng.integers(0, 1 << N.TOKEN_BITS, size))
+        for gone in (0, 1, size // 5, size):
+            y = np.union1d(x[gone:], rng.integers(0, 1 << N.TOKEN_BITS, gone))
+            bits = int(np.bitwise_count((N.sketch(x) ^ N.sketch(y)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(x, y)) and (bits == 0) == (gone == 0)
+
+
+def test_unlike_copies_of_one_text_are_not_all_paired(docs_of, monkeypatch):
+    random.seed(12)
+    base = [f"v{k}" for k in range(146)]
+    texts = []
+    for _ in range(120):  # eight words left out of each: all share most of a text, few are alike
+        own = [w for k, w in enumerate(base) if k not in set(random.sample(range(5, 140), 8))]
+        texts.append(" ".join(own))
+    seen, plain = [], N._linked
+    monkeypatch.setattr(N, "_linked", lambda pairs, full, rule: seen.append(pairs.count()) or plain(pairs, full, rule))
+    got = N.groups(docs_of(texts), frequent_from=3).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute([*enumerate(texts)], 5, 80, 100)
+    assert seen[1] < 1000  # of 7,140
+
+
+def test_signatures_are_stored_once_a_set(docs_of, monkeypatch):
+    seen, plain = [], N.settle
+    monkeypatch.setattr(N, "settle", lambda df: seen.append(df.columns) or plain(df))
+    N.groups(docs_of([" ".join(f"v{k}" for k in range(j, j + 60)) for j in range(20)])).collect()
+    assert ["node", "n", "sigs", "before"] in seen
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    random.seed(2)
+    texts = [None, "", " one ", "a b", *(" ".join(random.choices("abcdef", k=random.randint(0, 40))) for _ in range(200))]
+    for chars in (1, 50, 1 << 17):
+        got = list(N.token_sets(texts, 3, chars))
+        assert [n for n, _ in got] == [len((t or "").split()) for t in texts]
+        assert all(np.array_equal(s, N.tokens_of(t, 3)) and (np.diff(s) > 0).all() for t, (_, s) in zip(texts, got))

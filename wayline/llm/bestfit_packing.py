@@ -60,14 +60,14 @@ def bits(values: list) -> list[int]:
 
 
 def near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text_col: str = "text") -> DataFrame:
-    """text_id, near: the near-duplicate group of each text that has words.
+    """text_id, near, n_words: the near-duplicate group and the number of words of each text that has words.
 
     Texts are told apart by their hash, not by the id of their row, so that
     repeated ids and rows without one have groups too.
     """
     texts = pick(docs, text=text_col).select(F.xxhash64("text").alias("text_id"), "text")
-    found = ngram_jaccard.groups(texts, width, num, den, id_col="text_id").where("n_shingles > 0")
-    return settle(found.groupBy(F.col("doc_id").alias("text_id")).agg(F.min("component_id").cast("string").alias("near")))
+    found = ngram_jaccard.groups(texts, width, num, den, id_col="text_id", words=True).where("n_shingles > 0")
+    return settle(found.groupBy(F.col("doc_id").alias("text_id")).agg(F.min("component_id").cast("string").alias("near"), F.max("n_words").alias("n_words")))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id",
@@ -76,9 +76,9 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens
 
     n_tokens and cluster are expressions over text; by default the number of
     words, and a digest of the text in lower case, so that equal texts are one
-    cluster. near, if given, has the clusters of texts as near_copies() tells
-    them; cluster then holds for other texts only, by default for those without
-    words. Null sources conflict with
+    cluster. near, if given, has the clusters and words of all texts with words
+    as near_copies() tells them, so that texts are not searched for words again;
+    cluster then holds for other texts only, by default for those without words. Null sources conflict with
     nothing; a null text is empty and conflicts with no other, and a text
     without tokens is one piece of none. No two pieces in a bin share a source or a cluster, except that what is left
     of a document never meets its own full pieces, which fill bins by
@@ -86,15 +86,19 @@ def pack(docs: DataFrame, capacity: int = 2048, shard_docs: int = 4096, n_tokens
     follows the rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
-    words = word_count(F.col("text")) if n_tokens is None else n_tokens
+    counted = near is not None and n_tokens is None
+    some = F.col("text").rlike(WORD)
+    words = F.when(some, F.lit(None)).otherwise(0) if counted else word_count(F.col("text")) if n_tokens is None else n_tokens
     group = F.md5(ascii_lower(F.col("text")).cast("binary")) if cluster is None else cluster
     if near is not None and cluster is None:
-        group = F.when(~F.col("text").rlike(WORD), group)
+        group = F.when(~some, group)
     shards = max(1, -(-docs.count() // shard_docs))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("n"), F.col("source").cast("string").alias("source"), group.cast("string").alias("cluster"),
                         F.xxhash64("text").alias("text_id"))
     if near is not None:
         rows = rows.join(near, "text_id", "left").withColumn("cluster", F.coalesce("near", "cluster"))
+        if counted:
+            rows = rows.withColumn("n", F.coalesce("n", "n_words", F.raise_error(F.lit("near does not have all texts")).cast("long")))
     rows = (rows.select("doc_id", "n", "source", "cluster")
             .withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(shards))))
 

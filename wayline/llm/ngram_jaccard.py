@@ -22,6 +22,7 @@ components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,50 @@ TOKEN_BITS = 62
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def tokens_of(text: str | None, width: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted integers; with fewer words than width all of them are one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(width, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """A token for each run of size words, from the words' hashes."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
     for k in range(size):
-        out = mixed(out + h[k:len(h) - size + 1 + k] * ODD[k % 64])
-    return np.unique(out >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
+        out = mixed(out + h[k:k + len(out)] * ODD[k % 64])
+    return (out >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
+
+
+def token_sets(texts: list[str | None], width: int, chars: int = 1 << 17) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of words of each text, and its distinct shingles as sorted integers; with fewer words than width all of them are one.
+
+    Short texts are hashed together, about so many characters at a time.
+    """
+    waiting: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        waiting.append((text or "").encode("utf-8", "surrogatepass").lower().split())
+        size += len(text or "")
+        if size >= chars:
+            yield from _token_sets(waiting, width)
+            waiting, size = [], 0
+    yield from _token_sets(waiting, width)
+
+
+def _token_sets(texts: list[list[bytes]], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    at = np.concatenate([[0], np.cumsum([len(words) for words in texts], dtype=np.int64)]).tolist()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64, at[-1])
+    every = _shingles(h, width)  # those across two texts are not used
+    for a, b in pairwise(at):
+        own = np.sort(every[a:b - width + 1] if b - a >= width else _shingles(h[a:b], b - a)) if b > a else np.zeros(0, np.int64)
+        again = own[1:] == own[:-1]
+        yield b - a, own[np.append(True, ~again)] if again.any() else own
+
+
+def tokens_of(text: str | None, width: int) -> np.ndarray:
+    return next(token_sets([text], width))[1]
 
 
 class Rule:
@@ -122,23 +151,33 @@ class Rule:
 
 
 def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """doc_id, n, key (null if empty) and the tokens that are kept."""
+    """doc_id, n, words, key (null if empty) and the tokens that are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            n, key, kept = [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = tokens_of(text, width)
+            n, words, key, kept = [], [], [], []
+            for count, tokens in token_sets(batch.column(1).to_pylist(), width):
                 n.append(len(tokens))
+                words.append(count)
                 key.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 kept.append(rule.kept(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists(kept)], ["doc_id", "n", "key", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(key, pa.binary()), lists(kept)],
+                                             ["doc_id", "n", "words", "key", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, words long, key binary, tokens array<long>")
 
 
-def lists(parts: list[np.ndarray]) -> pa.Array:
+def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each value of the tokens' low nine bits whether an odd number of tokens has it, in eight words.
+
+    Where the sketches of two sets differ, a token is in one of them only, so
+    that their differing bits are no more than the tokens that are not common.
+    """
+    return np.packbits(np.bincount(tokens & 511, minlength=512) & 1 == 1, bitorder="little").view("<i8")
 
 
 def _held(batch: pa.RecordBatch, held: np.ndarray | None) -> pa.RecordBatch:
@@ -146,21 +185,38 @@ def _held(batch: pa.RecordBatch, held: np.ndarray | None) -> pa.RecordBatch:
     return batch if held is None else batch.filter(pa.array(in_bit_table(held, batch.column(batch.num_columns - 1).to_numpy())))
 
 
-def _signature_rows(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray, held: np.ndarray | None = None) -> DataFrame:
+SKETCH = [f"s{k}" for k in range(8)]
+
+
+def _signatures(sets: DataFrame, rule: Rule, common: np.ndarray, frequent: np.ndarray, held: np.ndarray | None = None, sketched: bool = False) -> DataFrame:
+    """node, n, the set's signatures and what stands before them, and the sketch if it is asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             batch = _held(batch, held)
             if not batch.num_rows:
                 continue
             flat, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for k, (node, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                for signature, before in rule.signatures(flat[at[k]:at[k + 1]], n, common, frequent):
-                    for column, values in zip(out, (signature, np.full(len(signature), node), np.full(len(signature), n), before)):
-                        column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["sig", "node", "n", "pos"])
+            found: list[np.ndarray] = []
+            before: list[np.ndarray] = []
+            for k, n in enumerate(batch.column(1).to_pylist()):
+                of = rule.signatures(flat[at[k]:at[k + 1]], n, common, frequent)
+                found.append(np.concatenate([x for x, _ in of]))
+                before.append(np.concatenate([x for _, x in of]))
+            columns = [batch.column(0), batch.column(1), lists(found), lists(before, np.int32)]
+            if sketched:
+                bits = np.array([sketch(flat[a:b]) for a, b in pairwise(at)])
+                columns += [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sigs", "before", *more])
+
+    more = SKETCH if sketched else []
+    return _columns(sets, ["node", "n", "tokens"], held).mapInArrow(run, "node long, n long, sigs array<long>, before array<int>" + "".join(f", {x} long" for x in more))
+
 
-    return _columns(sets, ["node", "n", "tokens"], held).mapInArrow(run, "sig long, node long, n long, pos long")
+def _signature_rows(signatures: DataFrame) -> DataFrame:
+    """sig, node, n, pos and the other columns."""
+    rest = [x for x in signatures.columns if x not in ("sigs", "before")]
+    each = signatures.select(*rest, F.inline(F.arrays_zip("sigs", "before")))
+    return each.select(F.col("sigs").alias("sig"), F.col("before").cast("long").alias("pos"), *rest)
 
 
 def _columns(sets: DataFrame, names: list[str], held: np.ndarray | None) -> DataFrame:
@@ -176,13 +232,14 @@ def _full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             some = batch.filter(pa.array(in_bit_table(table, ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
-            nodes, sets = [], []
+            nodes, texts = [], []
             for node, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                 own = node, xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                 if own not in seen:
                     seen.add(own)
                     nodes.append(node)
-                    sets.append(tokens_of(text, width))
+                    texts.append(text)
+            sets = [tokens for _, tokens in token_sets(texts, width)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(sets)], ["node", "tokens"])
 
     found = docs.mapInArrow(run, "node long, tokens array<long>").join(wanted, "node", "left_semi")
@@ -254,16 +311,17 @@ def _classes(sets: DataFrame, rule: Rule, frequent_from: int, table_bits: int, h
 
 
 def _linked(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs a, b whose whole sets are similar enough."""
+    """The pairs (a, b and other columns) whose whole sets are similar enough."""
     both = (pairs.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
             .join(full.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
     shared = F.size(F.array_intersect("x", "y"))
     return (both.withColumn("shared", shared)
-            .where((rule.num + rule.den) * F.col("shared").cast("long") >= rule.num * (F.size("x") + F.size("y")).cast("long")).select("a", "b").distinct())
+            .where((rule.num + rule.den) * F.col("shared").cast("long") >= rule.num * (F.size("x") + F.size("y")).cast("long")).select(*pairs.columns).distinct())
 
 
-def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequent_from: int = 32, table_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id: the smallest doc_id that links reach. One row for each row of docs.
+def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequent_from: int = 32, table_bits: int = 26, id_col: str = "doc_id", text_col: str = "text",
+           words: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and, if words, n_words. One row for each row of docs.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; texts
     link when num / den of their distinct shingles of `width` words, or more,
@@ -278,16 +336,18 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequ
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Tokens are stored once and never shuffled: a table of bits says which row stands for its set. A row
     # that it names by mistake is a copy, which has the same links as the row that stands for it.
-    rows = settle(_sets(docs, width, rule).withColumn("mark", F.xxhash64(F.monotonically_increasing_id())))
+    extra = ["words"] if words else []
+    rows = settle(_sets(docs, width, rule).select("doc_id", "n", *extra, "key", "tokens", F.xxhash64(F.monotonically_increasing_id()).alias("mark")))
     own = rows.where("key is not null and doc_id is not null")
     chosen = settle(own.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("own")).select("key", F.col("own.doc_id").alias("node"), F.col("own.mark").alias("mark")))
-    named = settle(rows.select("doc_id", "n", "key").join(chosen.select("key", "node"), "key", "left").select("doc_id", "n", "node"))
+    named = settle(rows.select("doc_id", "n", *extra, "key").join(chosen.select("key", "node"), "key", "left").select("doc_id", "n", *extra, "node"))
     held, _ = bit_table(chosen, F.col("mark"), table_bits)
     sets = own.select(F.col("doc_id").alias("node"), "n", "tokens", "mark")
     several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").select("doc_id", "a")
     same = several.join(named, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()  # texts of one id
 
-    signatures = _signature_rows(sets, rule, *_classes(sets, rule, frequent_from, table_bits, held), held)
+    # Signatures are made once and stored as two arrays a set.
+    signatures = _signature_rows(settle(_signatures(sets, rule, *_classes(sets, rule, frequent_from, table_bits, held), held)))
     met = signatures.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
     shared = settle(signatures.join(met, "sig"))
     may = f"{num + den} * least(l.n - l.pos, r.n - r.pos) >= {num} * (l.n + r.n)"
@@ -303,13 +363,25 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, frequ
     open_ = settle(_several(placed).join(shared, "sig").select("node").distinct())
     rest = settle(_full_sets(docs, width, open_).withColumn("n", F.size("tokens").cast("long")))
     whole = Rule(num, den, 1.0)
-    finer = _signature_rows(rest, whole, *_classes(rest, whole, frequent_from, table_bits)).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    finer = (_signature_rows(settle(_signatures(rest, whole, *_classes(rest, whole, frequent_from, table_bits), sketched=True)))
+             .join(first, "node", "left").withColumn("component", F.coalesce("component", "node")))
     finer = settle(finer.join(_several(finer), "sig"))
-    pairs = (finer.alias("l").join(finer.alias("r"), F.expr(f"l.sig = r.sig and l.node < r.node and l.component <> r.component and {may}"))
-             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
-    found = components(links.unionByName(_linked(pairs, rest, rule)))
+    # Linked sets differ in (den - num) / (den + num) of their tokens at most, and in no fewer than their sketches do.
+    near = f"{num + den} * ({' + '.join(f'bit_count(l.{x} ^ r.{x})' for x in SKETCH)}) <= {den - num} * (l.n + r.n)"
+    # A pair is made at its first common signature only: rare tokens stand in one order, all else behind them, so that
+    # nowhere fewer tokens stand before it in either set, and what fails `may` there fails it at all others.
+    own_sigs = finer.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "sig"))).alias("own")).select("node", F.transform("own", lambda x: x["sig"]).alias("sigs"))
+    finer = finer.join(own_sigs, "node")
+    once = "l.sig = element_at(array_intersect(l.sigs, r.sigs), 1)"
+    pairs = (finer.alias("l").join(finer.alias("r"), F.expr(f"l.sig = r.sig and l.node < r.node and l.component <> r.component and {may} and {near} and {once}"))
+             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.col("l.component").alias("ca"), F.col("r.component").alias("cb")).distinct())
+    # Further links join whole components, so that only those go through the rounds again.
+    joined = components(_linked(pairs, rest, rule).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    again = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    found = again.unionByName(joined.join(first, "node", "left_anti").select("node", "component"))
     return (named.join(found, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
+                    *[F.col(x).alias("n_words") for x in extra]))
 
 
 def _several(placed: DataFrame) -> DataFrame:
