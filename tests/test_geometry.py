@@ -69,6 +69,17 @@ def test_straight_back_keeps_the_sign_of_zero(spark):
     assert one(spark, G.absolute_bearing(at(1, 7, 0), at(1, 2, 3), F.lit("space")))["yaw_deg"] == -180.0
 
 
+def test_straight_ahead_keeps_the_sign_of_zero(spark):
+    """As in ``math.atan2``: -0 for a difference of zero, which the text shows."""
+    rows = spark.createDataFrame([(0.0, 5.0), (-0.0, 5.0)], "dx double, dy double")
+    got = [r["h"] for r in rows.select(G.heading(F.col("dx"), F.col("dy")).alias("h")).collect()]
+    assert [math.copysign(1, h) for h in got] == [-1, 1] and got == [0, 0]
+    ahead = spark.createDataFrame([(1.0, 2.0, 0.0, 1.0, 7.0, 0.0)], "px double, py double, pz double, tx double, ty double, tz double")
+    text = D.format_axis_delta(G.great_circle_bearing(G.vec("p"), G.vec("t")) * 7.0)
+    assert ahead.select(text.alias("o")).first()["o"] == f"{math.degrees(math.atan2(-0.0, 5.0)) * 7:+.1f}" == "-0.0"
+    assert [one(spark, D.fixed(F.lit(v), 0, signed=True)) for v in (0.0, -0.0, -0.2)] == ["+0", "-0", "-0"]
+
+
 def test_numbers_as_text(spark):
     axis = [(5.4, "+5.4"), (50.0, "+50"), (1500.0, "+1.5k"), (-0.02, "-0.0"), (-2.5, "-2.5"), (12.5, "+12"), (13.5, "+14")]
     for km, want in axis:

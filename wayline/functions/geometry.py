@@ -59,9 +59,9 @@ def flat_distance(a: Vec, b: Vec) -> Column:
 
 
 def turned_from_y(dx: Column, dy: Column) -> Column:
-    """``atan2(-dx, dy)`` in degrees. Spark's ``atan2`` drops the sign of a zero, which tells -180 from 180."""
+    """``atan2(-dx, dy)`` in degrees. Spark's ``atan2`` drops the sign of a zero, which tells -180 from 180 and -0 from 0."""
     back = F.when(dx.cast("string") == "-0.0", F.lit(180.0)).otherwise(F.lit(-180.0))
-    return F.when((dx == 0) & (dy < 0), back).otherwise(F.degrees(F.atan2(-dx, dy)))
+    return F.when((dx == 0) & (dy < 0), back).when((dx == 0) & (dy > 0), -dx).otherwise(F.degrees(F.atan2(-dx, dy)))
 
 
 def heading(dx: Column, dy: Column) -> Column:
