@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import check_oracles as C
+from wayline.functions import text as X
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +43,24 @@ def test_entry_runs(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+ODD_TEXTS = [None, "", "   ", " a ", "\u00a0b\u3000", "\x0bc\x0c", "\u2028d \u2028", "\x1ce\x85", "\tf\n", "\u200bg", "h\r\n\ti"]
+
+
+@pytest.mark.parametrize("name,texts", [("s5_label_lines", ODD_TEXTS)])
+def test_labels_of_odd_texts_match_the_oracle(spark, tmp_path, name, texts):
+    rows = [(i, texts[i % len(texts)], "en", "web 1" if i % 4 else None, 0) for i in range(27 * len(texts) if len(texts) > 1 else 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    con = C.duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    query, sql = entry_module.queries()[name], entry_module.oracle_sql()[name]
+    state, _, _, note = C.compare(spark, con, name, query, sql, str(tmp_path))
+    assert state == "ok", note
+
+
+def test_space_characters_are_trimmed_as_in_the_oracle(spark):
+    want = C.duckdb.connect().execute("select i from range(1, 65536) t(i) where i not between 55296 and 57343 and trim(chr(i::int)) = ''").fetchall()
+    text = spark.createDataFrame([(i, chr(i)) for i in range(1, 65536) if not 55296 <= i <= 57343], "i int, c string")
+    got = text.filter(X.without_spaces(F.concat("c", F.lit("x"), "c")) == "x").select("i").collect()
+    assert sorted(r["i"] for r in got) == sorted(r[0] for r in want)

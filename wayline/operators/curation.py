@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,17 @@ UNIT = "km"
 SEPARATOR = ":_ "
 
 
-def parse_labels(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``relpath<TAB>transcript``; only the first tab separates."""
+def parse_labels(lines: DataFrame, value: str = "value", trim: Callable[[Column], Column] | None = X.stripped) -> DataFrame:
+    """``relpath<TAB>transcript``; only the first tab separates.
+
+    Lines without a transcript after ``trim`` are left out. Without ``trim``
+    transcripts stay as written, empty ones too.
+    """
     parts = F.split(F.col(value), "\t", 2)
     others = [c for c in lines.columns if c != value]
-    return (lines.filter(F.col(value).contains("\t"))
-            .select(*others, parts[0].alias("relpath"), X.stripped(parts[1]).alias("transcript"))
-            .filter(F.col("transcript") != ""))
+    transcript = parts[1] if trim is None else trim(parts[1])
+    out = lines.filter(F.col(value).contains("\t")).select(*others, parts[0].alias("relpath"), transcript.alias("transcript"))
+    return out if trim is None else out.filter(F.col("transcript") != "")
 
 
 def route(char: Column, score: Column) -> Column:
