@@ -48,7 +48,7 @@ def test_oracles_belong_to_queries():
 ODD_TEXTS = [None, "", "   ", " a ", "\u00a0b\u3000", "\x0bc\x0c", "\u2028d \u2028", "\x1ce\x85", "\tf\n", "\u200bg", "h\r\n\ti"]
 
 
-@pytest.mark.parametrize("name,texts", [("s5_label_lines", ODD_TEXTS)])
+@pytest.mark.parametrize("name,texts", [("s5_label_lines", ODD_TEXTS), ("s6_label_files", ODD_TEXTS), ("s6_label_files", ["only one"]), ("s6_label_files", [None])])
 def test_labels_of_odd_texts_match_the_oracle(spark, tmp_path, name, texts):
     rows = [(i, texts[i % len(texts)], "en", "web 1" if i % 4 else None, 0) for i in range(27 * len(texts) if len(texts) > 1 else 1)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))

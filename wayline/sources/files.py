@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import posixpath
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline import schemas
-from wayline.functions.text import decode_label
+from wayline.functions.text import decode_label, stripped
 from wayline.operators.catalogue import WIRE, wire_form
 from wayline.operators.curation import parse_labels
 
@@ -104,9 +105,14 @@ def export_one(pois: DataFrame, name: str, path: str) -> None:
     write_catalogue(pois.filter(F.col("name") == name), path)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label lines read as text: quotes are data, so no CSV reader."""
-    return parse_labels(spark.read.text(path))
+def read_labels(spark: SparkSession, path: str, trim: Callable[[Column], Column] | None = stripped) -> DataFrame:
+    """Label lines read as text: quotes are data, so no CSV reader.
+
+    ``split`` is that of the folder, where ``write_labels`` made one. ``trim`` is
+    that of ``parse_labels``.
+    """
+    split = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/split=([^/]+)/[^/]+$", 1), F.lit(""))
+    return parse_labels(spark.read.text(path).select("value", split.alias("split")), trim=trim)
 
 
 def write_labels(labels: DataFrame, path: str, stems_only: bool = False) -> None:
