@@ -194,6 +194,9 @@ def test_text_becomes_one_fix_per_frame(spark):
     helped = {r["frame_id"]: (r["x"], r["decided"]) for r in X.text_to_fix(df, key, glyphs).collect()}
     assert helped == {1: (None, "best"), 2: (1.25, "consensus"), 3: (1.0, "best"), 4: (7.0, "consensus")}
     assert X.text_to_fix(df.limit(0), key, glyphs.limit(0)).count() == 0
+    # Votes are stored: nothing that reads them parses a text again.
+    assert "RLIKE" in X.read_passes(df, key, glyphs)._jdf.queryExecution().toString()
+    assert "RLIKE" not in X.text_to_fix(df, key, glyphs)._jdf.queryExecution().toString()
 
 
 def test_five_thousand_classes_are_scored_in_blocks(spark):

@@ -172,3 +172,9 @@ def test_a_large_scan_is_dealt_to_more_tasks_than_cores(spark, tmp_path):
         assert spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 40
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_white_space_is_what_patterns_take_for_it(spark):
+    df = spark.createDataFrame([(chr(i),) for i in range(1, 65536) if not 55296 <= i <= 57343], "c string").select(F.concat("c", F.lit("a b"), "c", "c").alias("t"))
+    assert df.filter(X.stripped(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+\z", "")).count() == 0
+    assert df.filter(X.stripped(F.col("t")) == "a b").count() == len(X.WHITE)

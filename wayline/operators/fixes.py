@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import text as X
 from wayline.operators import votes as O
+from wayline.session import settle
 
 VOTE = ["ord", "pass", "score", "x", "y", "z", "ooc", "location"]
 
@@ -21,21 +22,32 @@ def read_passes(passes: DataFrame, keys: list[str], glyphs: DataFrame | None = N
     usable line votes with nulls.
     """
     who = [*keys, "ord", "pass"]
-    text = passes.select(*who, X.rejoin_orphans(X.correct_literals(F.col("text"))).alias("_t"))
-    read = X.with_parsed(X.text_lines(text, "_t", "_line", "_at"), "_line", X.reading_of, "_r").select(*who, "_at", "_r.*")
+
+    def told(line: Column) -> Column:
+        return X.let(X.reading_of(line), lambda r: F.struct(
+            *[r[c].alias(c) for c in ("is_position", "location", "ooc", "x", "y", "z")], F.lower(r["fixed"]).contains("km").alias("km")))
+
+    def placed(line: Column) -> Column:
+        at = {c: line[c] if glyphs is None else F.when(line["is_position"], F.coalesce(F.col(f"_g.{c}"), line[c])) for c in "xyz"}
+        return F.struct(*[at[c].alias(c) for c in "xyz"], line["ooc"].alias("ooc"))
+
+    # All lines of a pass stay in its row; one that has no text has no lines.
+    read = X.with_parsed(passes.select(*who, "text"), "text", lambda text: F.transform(
+        X.trimmed_lines(X.rejoin_orphans(X.correct_literals(text))), told), "_lines").drop("text")
     if glyphs is not None:
         first = glyphs.filter(F.col("x").isNotNull()).select(*keys, F.struct("x", "y", "z").alias("_g"))
-        read = read.join(first, keys, "left").withColumns(
-            {c: F.when(F.col("is_position"), F.coalesce(F.col(f"_g.{c}"), F.col(c))) for c in "xyz"}).drop("_g")
-        read = read.withColumn("accepted", F.coalesce(X.in_range(F.col("x"), F.col("y"), F.col("z")), F.lit(False)))
-    good, system = F.count_if("accepted"), F.col("location").isNotNull()
-    score = 10 * F.count_if(system) + 10 * good + F.when(good > 0, 5).otherwise(0) + F.when(F.bool_or(F.lower("fixed").contains("km")), 5).otherwise(0)
-    told = read.groupBy(*who).agg(
-        score.cast("double").alias("score"), F.max_by(F.struct("x", "y", "z", "ooc"), F.when(F.col("accepted"), F.col("_at"))).alias("_p"),
-        F.max_by("location", F.when(system, F.col("_at"))).alias("location"))
-    return (passes.select(*who).join(told, who, "left")
-            .select(*who, F.coalesce("score", F.lit(0.0)).alias("score"), "_p.*", F.coalesce("location", F.lit("Unknown")).alias("location"))
-            .select(*keys, *VOTE))
+        read = read.join(first, keys, "left")
+    good = F.filter(F.transform("_lines", placed), lambda p: X.in_range(p["x"], p["y"], p["z"]))
+    named = F.filter(F.transform("_lines", lambda r: r["location"]), lambda name: name.isNotNull())
+
+    def vote(good: Column, named: Column) -> Column:
+        some = F.size(good) > 0
+        score = 10 * F.size(named) + 10 * F.size(good) + F.when(some, 5).otherwise(0) + F.when(F.exists("_lines", lambda r: r["km"]), 5).otherwise(0)
+        p = F.when(some, F.element_at(good, -1))
+        return F.struct(F.coalesce(score.cast("double"), F.lit(0.0)).alias("score"), *[p[c].alias(c) for c in ("x", "y", "z", "ooc")],
+                        F.when(F.size(named) > 0, F.element_at(named, -1)).otherwise("Unknown").alias("location"))
+
+    return read.select(*who, X.let(F.struct(good.alias("g"), named.alias("n")), lambda v: vote(v["g"], v["n"])).alias("_v")).select(*who, "_v.*").select(*keys, *VOTE)
 
 
 def text_to_fix(passes: DataFrame, keys: list[str], glyphs: DataFrame | None = None) -> DataFrame:
@@ -46,10 +58,11 @@ def text_to_fix(passes: DataFrame, keys: list[str], glyphs: DataFrame | None = N
     (``glyph``). A frame without any usable line keeps a row.
     """
     fields = ["x", "y", "z", "ooc", "location"]
-    votes = read_passes(passes, keys, glyphs)
+    # Votes are read several times below: each text is parsed once.
+    votes = settle(read_passes(passes, keys, glyphs))
     extra = None
     if glyphs is not None:
-        extra = O.glyph_votes(votes, glyphs, keys)
+        extra = settle(O.glyph_votes(votes, glyphs, keys))
         votes = O.with_glyph_votes(votes, extra)
     agreed = O.consensus(votes, keys, extra=("ooc", "location")).select(*keys, F.struct(*fields).alias("_agreed"))
     best = O.best_pass(votes, keys)
