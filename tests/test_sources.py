@@ -140,3 +140,18 @@ def test_a_session_is_written_by_one_task(spark):
     folders = glob.glob(f"{written}/session=*")
     assert rows == 10000 and len(folders) > 100
     assert all(len(glob.glob(f"{f}/part-*")) == 1 for f in folders)
+
+
+def test_small_folders_are_written_as_by_spark(spark, tmp_path):
+    """The same folders and lines as Spark's writer, but no second file for each one."""
+    names = ["telemetry-20240101-000001", "a b", "x/y:z=1", "50%", "#1", "\u00fc", "", None]
+    rows = [(names[i % len(names)], None if i == 3 else f"line {i} \u00e4") for i in range(400)]
+    df = spark.createDataFrame(rows, "session string, value string").repartition(4, "session")
+    S.write_folders(df, str(tmp_path / "ours"), "session")
+    df.write.partitionBy("session").text(str(tmp_path / "sparks"))
+    told = lambda name: sorted((r["session"] or "", r["value"]) for r in spark.read.text(str(tmp_path / name)).collect())
+    folders = lambda name: sorted(p.name for p in (tmp_path / name).iterdir() if p.is_dir())
+    assert folders("ours") == folders("sparks") and told("ours") == told("sparks") and len(told("ours")) == 400
+    assert all(f.name.startswith("part-") for f in (tmp_path / "ours").glob("*/*"))
+    S.write_folders(df.limit(0), str(tmp_path / "none"), "session")
+    assert S.read_telemetry(spark, str(tmp_path / "none")).count() == 0

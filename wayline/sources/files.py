@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,9 @@ from wayline.functions.text import decode_label, stripped
 from wayline.operators.catalogue import WIRE, wire_form
 from wayline.operators.curation import parse_labels
 
-# Session files carry their launch time; images have these endings.
+# Session files carry their launch time; images have these endings; names of folders spell out these characters.
 SESSION_FILE = r"telemetry-(\d{8}-\d{6})"
+UNSAFE = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
 IMAGE_FILE = r"(?i)\.(png|jpg|bmp)$"
 
 
@@ -30,6 +34,51 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder's plain path where it is on a mounted disk, else None."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def write_folders(lines: DataFrame, path: str, folder: str, value: str = "value") -> None:
+    """Text of very many small folders ``<folder>=<name>``, one file a folder and task.
+
+    On a mounted disk Spark's own writer starts two processes a file to set its
+    mode, and the driver moves the files one after another. Tasks then write the
+    files themselves: under a hidden name first, so that a repeated task puts the
+    same file in its place.
+    """
+    local = _local_folder(lines.sparkSession, path)
+    if local is None:
+        lines.select(folder, value).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(folder).text(path)
+        return
+    os.makedirs(local)
+
+    def write(batches):
+        task, name, out, n = TaskContext.get(), None, None, 0
+        hidden, shown = f".part-{task.partitionId():05d}-{task.taskAttemptId()}", f"part-{task.partitionId():05d}.txt"
+
+        def close():
+            if out is not None:
+                out.close()
+                os.replace(f"{name}/{hidden}", f"{name}/{shown}")
+
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = f"{local}/{folder}={UNSAFE.sub(lambda c: f'%{ord(c[0]):02X}', key)}"
+                if key != name:
+                    close()
+                    os.makedirs(key, exist_ok=True)
+                    name, out, n = key, open(f"{key}/{hidden}", "wb"), n + 1
+                out.write((line or b"") + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    rows = lines.select(F.coalesce(F.nullif(F.col(folder), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")), F.col(value).cast("binary"))
+    rows.sortWithinPartitions(rows.columns[0]).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Telemetry lines of many sessions, whatever keys each of them has.
 
