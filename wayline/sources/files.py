@@ -44,8 +44,8 @@ def _local_folder(spark: SparkSession, path: str) -> str | None:
 def write_folders(lines: DataFrame, path: str, folder: str, value: str = "value") -> None:
     """Text of very many small folders ``<folder>=<name>``, one file a folder and task.
 
-    On a mounted disk Spark's own writer starts two processes a file to set its
-    mode, and the driver moves the files one after another. Tasks then write the
+    On a mounted disk Spark's own writer starts a process to set a file's mode,
+    and the driver moves the files one after another. Tasks then write the
     files themselves: under a hidden name first, so that a repeated task puts the
     same file in its place.
     """
